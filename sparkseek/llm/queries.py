@@ -31,6 +31,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -50,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op3_mixing, op4_sentencepiece, op6_lines, op7_token_counts, op10_sharding)
+    own = (op1_simhash, op2_suffixes, op3_mixing, op4_sentencepiece, op6_lines, op7_token_counts, op10_sharding)
     return {f.__name__: f for f in own}
 
 
