@@ -49,6 +49,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hashing import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .graph import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shards
 
@@ -56,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_suffixes, op3_mixing, op4_sentencepiece, op6_lines, op7_token_counts, op10_sharding)
+    own = (op1_simhash, op2_suffixes, op3_mixing, op4_sentencepiece, op5_hashing, op6_lines, op7_token_counts, op8_graph, op9_quality, op10_sharding)
     return {f.__name__: f for f in own}
 
 
