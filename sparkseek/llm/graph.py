@@ -188,7 +188,7 @@ def recall(vectors: DataFrame, found: DataFrame, least: float = 0.93, queries: i
 
     The vectors audited are the first by hash that have a link by either count, so that the figure is about links.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("label").isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
     picked = rows.join(found.filter("n_links > 0").select("vec_id"), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id")).limit(queries).unionByName(rows.orderBy(F.xxhash64("vec_id", F.lit(2))).limit(queries)).dropDuplicates(["vec_id"]).collect()
     if not picked:
         return 1.0
