@@ -45,6 +45,18 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded(rows: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
+    """n rows at most, the first by hash of key: a sample for fitting.
+
+    All but about twice n rows are left out where they are read, by their hash alone, so that what meets in one place is bounded
+    by n and does not grow with the number of tasks.
+    """
+    there = rows.count()
+    low = F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))  # even in [0, 1)
+    some = rows if there <= 2 * n else rows.filter(low < min(1.0, (2 * n + 100) / there))
+    return some.orderBy(F.xxhash64(key), key, *ties).limit(n)
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of [^\\x20\\x09-\\x0D]; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, forest
-from .vectors import matrix, sample_of, usable
+from .vectors import kept_type, matrix, sample_of, usable
 
 SAMPLE = 8192
 SHARD = 2048
@@ -56,6 +56,12 @@ def centroids(sample: list, n: int) -> dict[int, np.ndarray]:
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (from, to, cosine) of the robust-pruned graph over unit vectors."""
     m = len(x)
@@ -129,7 +135,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     vec_id are one vector, the first by hash of its content. Rows with a null vec_id have no links, a null component and are not
     kept. Empty tables give no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), kept_type(vectors, vector_col).alias("v"))
     once = rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min_by(F.struct("label", "v"), F.xxhash64("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
     once = cut(once, "vectors")
     good = once.filter(usable(F.col("v")) & F.col("label").isNotNull())
@@ -142,13 +148,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     of = centroids([(r.label, r.v) for r in sample if len(r.v) == d], good.count())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector in its shards, with unit length; other is the shard it also is in, or -1."""
+        """Each vector in its shards; other is the shard it also is in, or -1."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(2))
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(matrix(batch.column(2)))
             label = batch.column(1).to_numpy()
             two = np.full((len(x), 2), -1)
             two[:, 0] = 0
@@ -159,11 +163,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
             for j in (0, 1):
                 at = np.flatnonzero(two[:, j] >= 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.array(label[at]), pa.array(two[at, j].astype(np.int32)), pa.array(two[at, 1 - j].astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(x[at].ravel()), d).cast(pa.list_(pa.float64()))],
+                    [batch.column(0).take(pa.array(at)), pa.array(label[at]), pa.array(two[at, j].astype(np.int32)), pa.array(two[at, 1 - j].astype(np.int32)), batch.column(2).take(pa.array(at))],
                     ["vec_id", "label", "shard", "other", "v"],
                 )
 
-    placed = cut(good.select("vec_id", "label", "v").mapInArrow(place, "vec_id long, label long, shard int, other int, v array<double>"), "placed")
+    kind = good.schema["v"].dataType.simpleString()
+    placed = cut(good.select("vec_id", "label", "v").mapInArrow(place, f"vec_id long, label long, shard int, other int, v {kind}"), "placed")
     blocks = placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     keyed = lambda df: df.withColumn("k", F.col("label").bitwiseXOR(F.lit(1))).drop("label")
     dealt = keyed(placed).join(keyed(blocks), ["k", "shard"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
@@ -171,7 +176,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, x = t.column("vec_id").to_numpy(), matrix(t.column("v").combine_chunks())
+        ids, x = t.column("vec_id").to_numpy(), unit(matrix(t.column("v").combine_chunks()))
         found = links(ids, x, t.column("part").to_numpy(), t.column("other").to_numpy(), key[1].as_py(), key[2].as_py() != key[3].as_py(), least)
         return pa.table([pa.array(f) for f in found], names=["vec_id", "n", "root"])
 

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import dots, matrix, sample_of, usable
+from .vectors import dots, kept_type, matrix, sample_of, usable
 
 SAMPLE = 4096
 REACH = 0.96
-BLOCK = 512
+BLOCK = 4096
 SHARD = 16_384
 PIECE = 8
 
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     another length than the sample's first. A row is no candidate of its own id. Ties go to the smaller id. With fewer than k
     candidates all are returned. Repeated rows are found as often as they occur, a repeated query once. Empty tables give no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v"))).filter("vec_id is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), kept_type(vectors, vector_col).alias("v")).filter(usable(F.col("v"))).filter("vec_id is not null")
     picked = sample_of(rows, SAMPLE, "vec_id", "v")
     schema = "query_id long, rank int, vec_id long, score double"
     if not picked:

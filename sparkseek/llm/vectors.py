@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 
 def usable(v: Column) -> Column:
     """Whether a vector takes part: not null, no null or non-finite component, not all zero, not empty."""
@@ -26,6 +28,12 @@ def dots(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (rows * one).sum(axis=1)
 
 
+def kept_type(vectors: DataFrame, column: str) -> Column:
+    """A vector column as it is moved: floats stay floats (a double holds each exactly), anything else becomes doubles."""
+    kind = vectors.schema[column].dataType
+    return F.col(column) if kind.simpleString() == "array<float>" else F.col(column).cast("array<double>")
+
+
 def sample_of(rows: DataFrame, n: int, *columns: str) -> list:
     """n rows at most, the first by hash of vec_id: a bounded sample for fitting."""
-    return rows.select(*columns).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()
+    return bounded(rows.select("vec_id", *(c for c in columns if c != "vec_id")), n, "vec_id").collect()
