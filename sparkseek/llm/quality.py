@@ -6,7 +6,8 @@ utilities of the labelled sample, at the share of bad documents that parts the l
 in the distance from it, and the score at the threshold is CUT.
 
 Labels are those of at most SAMPLE rows, the first by hash of doc_id among those whose crc32(doc_id as text) mod 5 is not 0; that
-is the only bound, and it holds for fitting alone. Language, source and doc_id never enter a score.
+is the only bound, and it holds for fitting alone. The sample's texts stay on the executors: the driver gets 20 numbers of each and
+the COMMON most frequent words. Language, source and doc_id never enter a score.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded, cut
+
 SAMPLE = 20_000
 COMMON = 200
 BINS = 16
@@ -73,16 +76,8 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Ranker:
-    """A ranker from labelled texts; without both labels, one that prefers nothing."""
-    seen: dict[str, int] = {}
-    for t in texts:
-        for w in set((t or "").split()):
-            seen[w] = seen.get(w, 0) + 1
-        if len(seen) > 400_000:  # only words of many texts matter here
-            seen = {w: n for w, n in seen.items() if n > 1}
-    common = frozenset(sorted(seen, key=lambda w: (-seen[w], w))[:COMMON])
-    x = np.array([features(t, common) for t in texts], float).reshape(len(texts), N_FEATURES)
+def fit(x: np.ndarray, labels: np.ndarray, common: frozenset, seed: int = 7) -> Ranker:
+    """A ranker from features of labelled texts; without both labels, one that prefers nothing."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     half = np.r_[good, bad] if not len(good) or not len(bad) else np.r_[np.resize(good, max(len(good), len(bad))), np.resize(bad, max(len(good), len(bad)))]
     edges = np.array([np.quantile(x[half, j], np.linspace(0, 1, BINS + 1)[1:-1]) if len(half) else np.zeros(BINS - 1) for j in range(N_FEATURES)])
@@ -119,13 +114,47 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _featured(docs: DataFrame, common: frozenset) -> DataFrame:
+    """docs with __x, the features of its text, each row where it is."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([features(t, common) for t in part.column(text).to_pylist()], pa.list_(pa.float64()))], [*part.schema.names, "__x"])
+
+    return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0.0)).alias("__x")).schema)
+
+
+def common_words(texts: DataFrame, n: int = COMMON) -> frozenset:
+    """The n words that most of the texts have; ties go to the lesser word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for w in set((t or "").split()):
+                    seen[w] = seen.get(w, 0) + 1
+                if len(seen) > 200_000:  # counts so far go on; they are summed up afterwards
+                    yield table()
+                    seen.clear()
+        yield table()
+
+    counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r.word for r in counts.orderBy(F.desc("n"), "word").limit(n).collect())
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
-    """Fit on at most `sample` labelled rows that are not held out."""
+    """Fit on at most `sample` labelled rows that are not held out; their texts stay on the executors, features come to the driver."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")  # `sample` rows at most
-    got = sorted(found.collect(), key=lambda r: (r.doc_id, r.quality, r.text or ""))
-    return fit([r.text for r in got], np.array([r.quality for r in got], int))
+    some = bounded(rows, sample, "doc_id", "quality")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # `sample` rows at most
+    found = cut(found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled")
+    common = common_words(found)
+    got = sorted(_featured(found, common).select("doc_id", "quality", "__x").collect())
+    return fit(np.array([r[2] for r in got], float).reshape(len(got), N_FEATURES), np.array([r[1] for r in got], int), common)
 
 
 def scored(docs: DataFrame, model: Ranker) -> DataFrame:
@@ -148,7 +177,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     """One row per row of docs: (doc_id, held_out, score, predicted).
 
     Null texts score as empty ones. Labels other than 0 and 1, and of no document, are passed over; repeated labels count once, a
-    document with both labels counts for both. Without labels of both kinds every score is CUT and every prediction 1. Rows with
+    document with both labels counts for both; of rows that repeat a labelled doc_id the least text is learned from. Without labels of both kinds every score is CUT and every prediction 1. Rows with
     equal texts have equal scores. Empty tables give no rows.
     """
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), learn(docs, labels, sample))
