@@ -51,6 +51,11 @@ def split_chain(text: str) -> list[str]:
     return [x.strip() for x in (*out, text[start:]) if x.strip()]
 
 
+def raw(spec: str | None) -> bool:
+    """Whether a normalizer leaves texts as they are."""
+    return spec in (None, "", "none")
+
+
 def _options(args: list) -> dict:
     return dict(zip(args[::2], args[1::2]))
 
@@ -76,7 +81,7 @@ def normalize_with_offsets(text: str, spec: str | None = "auto", substitutions:
     """
     for target, by in substitutions:
         text = text.replace(target, by)
-    if spec is None or spec == "none":
+    if raw(spec):
         return text, list(range(len(text)))
     if spec == "lower":
         pairs = [(x, i) for i, c in enumerate(text) for x in c.lower()]
@@ -135,7 +140,7 @@ def normalize(col: Column, spec: str | None = "auto", substitutions: tuple = ())
     """A column normalised. 'auto', 'lower' and None stay native; named normalizers run by Arrow batches."""
     for target, by in substitutions:
         col = F.replace(col, F.lit(target), F.lit(by))
-    if spec is None or spec == "none":
+    if raw(spec):
         return col
     if spec == "lower":
         return F.lower(col)
@@ -152,4 +157,4 @@ def normalize(col: Column, spec: str | None = "auto", substitutions: tuple = ())
 
 def normalize_elements(col: Column, spec: str | None = "auto") -> Column:
     """An array column, its elements normalised by native functions."""
-    return F.transform(col, lambda x: normalize(x, spec if spec in (None, "lower", "auto", "none") else "auto"))
+    return F.transform(col, lambda x: normalize(x, spec if raw(spec) or spec in ("lower", "auto") else "auto"))

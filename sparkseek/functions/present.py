@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..conf import FULL_TEXT, Analyzer
 from .normalize import normalize_text, normalize_with_offsets
+from .tokenize import located, query_terms, tokens_of
 
 TAG = ('<span class="keyword">', "</span>")
 
@@ -24,7 +25,13 @@ def _pattern(keywords: tuple[str, ...], normalizer: str | None) -> re.Pattern |
 
 
 def spans(text: str, keywords, a: Analyzer = FULL_TEXT) -> list[tuple[int, int]]:
-    """[start, end) of keyword matches in characters of the original text, leftmost and longest first."""
+    """[start, end) of keyword matches in characters of the original text, leftmost and longest first.
+
+    If the analyzer's tokenizer reports source locations, matches are of whole tokens in sequence, and begin with the blanks before
+    their first token; otherwise they are of the normalised text.
+    """
+    if located(a):
+        return _token_spans(text, tuple(k for k in keywords if k), a)
     pattern = _pattern(tuple(k for k in keywords if k is not None), a.normalizer)
     if pattern is None:
         return []
@@ -39,6 +46,25 @@ def spans(text: str, keywords, a: Analyzer = FULL_TEXT) -> list[tuple[int, int]]
     return out
 
 
+def _token_spans(text: str, keywords: tuple[str, ...], a: Analyzer) -> list[tuple[int, int]]:
+    tokens = tokens_of(text, a)
+    place = {t.position: i for i, t in enumerate(tokens)}
+    wanted = [w for w in (query_terms(k, a) for k in keywords) if w]
+    out: list[tuple[int, int]] = []
+    for t in tokens:
+        best = 0
+        for w in wanted:
+            at = [place.get(t.position + k - w[0][0]) for k, _, _ in w]
+            if all(i is not None and (tokens[i].value.startswith(v) if gram else tokens[i].value == v) for i, (_, v, gram) in zip(at, w)):
+                last = tokens[at[-1]]
+                best = max(best, last.end if not w[-1][2] else min(last.end, last.start + len(w[-1][1])))
+        if best and (not out or t.start >= out[-1][1]):
+            out.append((max(t.blank, out[-1][1]) if out else t.blank, best))
+        elif best and best > out[-1][1]:  # overlaps the match before: one longer match
+            out[-1] = (out[-1][0], best)
+    return out
+
+
 def match_positions_character(text: str, keywords, a: Analyzer = FULL_TEXT) -> list[list[int]]:
     return [[s, e - s] for s, e in spans(text, keywords, a)]
 
@@ -63,6 +89,8 @@ def _html(s: str) -> str:
 
 def snippet_html(text: str, keywords, width: int = 200, most: int = 3, a: Analyzer = FULL_TEXT) -> list[str]:
     """At most three stretches of `width` bytes around matches, as HTML with the matches tagged."""
+    if width < 1:
+        raise ValueError(f"width must be a positive number: {width}")
     raw, out, upto = text.encode(), [], 0
     found = [(s, s + n) for s, n in match_positions_byte(text, keywords, a)]
     while found and len(out) < most:
@@ -156,9 +184,12 @@ def expand_query(query: str, synonyms: dict[str, list]) -> str:
 
 def expand_queries(queries: DataFrame, query_col: str, synonyms: DataFrame, term_col: str, synonyms_col: str) -> DataFrame:
     """queries with `expanded`: each word joined to the synonym table, any size of either, and put together again."""
-    array = synonyms.schema[synonyms_col].dataType.typeName() == "array"
+    array, terms = (synonyms.schema[c].dataType.typeName() == "array" for c in (synonyms_col, term_col))
+    if not array and synonyms.schema[synonyms_col].dataType.typeName() != "string":
+        raise ValueError(f"the synonyms are neither text nor an array of texts: {synonyms_col}")
     made = F.concat_ws(" OR ", F.transform(F.filter(synonyms_col, lambda x: x.isNotNull()), lambda x: F.concat(F.lit("("), x, F.lit(")")))) if array else F.concat(F.lit("("), F.col(synonyms_col), F.lit(")"))
-    table = synonyms.select(F.lower(term_col).alias("__key"), made.alias("__made")).filter("__made <> ''").groupBy("__key").agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("__made")), " OR "), F.lit(")")).alias("__group"))
+    each = synonyms.select((F.explode(term_col) if terms else F.col(term_col)).alias("__term"), made.alias("__made"))
+    table = each.select(F.lower("__term").alias("__key"), "__made").filter("__made <> ''").groupBy("__key").agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("__made")), " OR "), F.lit(")")).alias("__group"))
     words = queries.select(query_col).distinct().select(query_col, F.posexplode(F.regexp_extract_all(F.col(query_col), F.lit(r'"(?:[^"\\]|\\.)*"|[()]|[^\s()"]+|\s+'), F.lit(0))).alias("__at", "__word"))
     joined = words.withColumn("__key", F.lower("__word")).join(table, "__key", "left")
     whole = joined.groupBy(query_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", F.coalesce("__group", "__word").alias("w")))), lambda x: x["w"]), "").alias("expanded"))

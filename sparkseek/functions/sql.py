@@ -33,6 +33,16 @@ NATIVE = [
     ("seek_regexp", "t STRING, p STRING", "BOOLEAN", "p <> '' AND regexp_like(seek_normalize(t), p)"),
     ("seek_regexp_array", "t ARRAY<STRING>, p STRING", "BOOLEAN", "p <> '' AND exists(t, x -> regexp_like(lower(x), p))"),
     ("seek_regexp_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", "exists(ps, x -> x <> '' AND regexp_like(lower(t), x))"),
+    ("seek_match_in_array", "t ARRAY<STRING>, terms ARRAY<STRING>", "BOOLEAN", "exists(terms, y -> y <> '' AND exists(t, x -> contains(lower(x), lower(y))))"),
+    ("seek_prefix_in_array", "t ARRAY<STRING>, ps ARRAY<STRING>", "BOOLEAN", "exists(ps, y -> y <> '' AND exists(t, x -> startswith(lower(x), lower(y))))"),
+    ("seek_contain_all", "t ARRAY<STRING>, vs ARRAY<STRING>", "BOOLEAN", "size(array_except(vs, t)) = 0"),
+    ("seek_command_escape_value", "t STRING", "STRING", r"""concat('"', replace(regexp_replace(t, r'(["\\])', r'\\$1'), '\n', r'\n'), '"')"""),
+    ("seek_escape", "t STRING", "STRING", r"""concat('"', regexp_replace(t, r'(["\\])', r'\\$1'), '"')"""),
+    ("seek_escape_boolean", "v BOOLEAN", "STRING", "cast(v AS STRING)"),
+    ("seek_escape_long", "v BIGINT", "STRING", "cast(v AS STRING)"),
+    ("seek_escape_double", "v DOUBLE", "STRING", "cast(v AS STRING)"),
+    ("seek_escape_timestamp", "v TIMESTAMP", "STRING", "if(unix_micros(v) % 1000000 = 0, cast(unix_seconds(v) AS STRING), cast(unix_micros(v) / 1000000 AS STRING))"),
+    ("seek_cosine", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / nullif(sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)), 0D)"),
     ("seek_query_escape", "t STRING", "STRING", r"regexp_replace(t, r'([+\-<>~*()\"\\:])', r'\\$1')"),
 ]
 
@@ -46,6 +56,47 @@ def _scan(text: str | None, query: str | None) -> bool | None:
     return fold(tree, lambda x: bool(x.text) and normalize_text(x.text) in folded, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
 
 
+def _over_array(texts, query: str | None) -> bool:
+    """Query language over elements: terms may be in different ones."""
+    tree = parse(query)
+    if tree is None:
+        return False
+    folded = [normalize_text(t) for t in texts if t is not None]
+    return fold(tree, lambda x: bool(x.text) and any(normalize_text(x.text) in t for t in folded), lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
+
+
+def _equal_over_array(texts, query: str) -> bool:
+    tree = parse(query)
+    if tree is None:
+        return False
+    folded = {normalize_text(t) for t in texts if t is not None}
+    leaf = lambda x: any(t.startswith(normalize_text(x.text)) for t in folded) if x.kind == "prefix" else normalize_text(x.text) in folded
+    return fold(tree, leaf, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
+
+
+def _json_strings(text: str) -> list[str]:
+    return [normalize_text(x["string"]) for x in jsonsearch.flatten(text) or () if x["string"] is not None]
+
+
+def _json_match(text: str, term: str) -> bool:
+    return bool(term) and any(normalize_text(term) in s for s in _json_strings(text))
+
+
+def _json_query(text: str, query: str) -> bool:
+    tree = parse(query, strict=True)
+    leaf = lambda s: lambda x: bool(x.text) and normalize_text(x.text) in s
+    return tree is not None and any(fold(tree, leaf(s), lambda a, b: a and b, lambda a, b: a or b, lambda a: not a) for s in _json_strings(text))
+
+
+def _json_contains(text: str, part: str) -> bool:
+    have, wanted = jsonsearch.flatten(text), jsonsearch.flatten(part)
+    if have is None or wanted is None:
+        return False
+    key = lambda x: (x["path"], x["type"], x.get(x["type"]))
+    known = {key(x) for x in have}
+    return all(key(w) in known for w in wanted if not (w["type"] in ("array", "object") and w["size"]))
+
+
 def _each(function, strict: bool = True):
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([None if strict and any(v is None for v in row) else function(*row) for row in zip(*columns)], dtype=object)
@@ -71,6 +122,17 @@ def register(spark: SparkSession) -> list[str]:
         arrow("seek_query", "boolean", 2, _scan),
         arrow("seek_query_in", "boolean", 2, lambda t, qs: any(_scan(t, q) for q in qs if q)),
         arrow("seek_prefix_rk", "boolean", 2, reads_as),
+        arrow("seek_query_array", "boolean", 2, _over_array),
+        arrow("seek_query_in_array", "boolean", 2, lambda ts, qs: any(_over_array(ts, q) for q in qs if q)),
+        arrow("seek_equal_query_array", "boolean", 2, _equal_over_array),
+        arrow("seek_prefix_rk_in", "boolean", 2, lambda t, ps: any(reads_as(t, p) for p in ps if p)),
+        arrow("seek_prefix_rk_array", "boolean", 2, lambda ts, p: any(t is not None and reads_as(t, p) for t in ts)),
+        arrow("seek_prefix_rk_in_array", "boolean", 2, lambda ts, ps: any(t is not None and reads_as(t, p) for t in ts for p in ps if p)),
+        arrow("seek_json_match", "boolean", 2, _json_match),
+        arrow("seek_json_query", "boolean", 2, _json_query),
+        arrow("seek_json_contains", "boolean", 2, _json_contains),
+        arrow("seek_highlight_html_array", "array<string>", 2, lambda ts, ks: [None if t is None else present.highlight_html(t, ks) for t in ts]),
+        arrow("seek_snippet_html_width", "array<string>", 3, lambda t, ks, width: present.snippet_html(t, ks, int(width))),
         arrow("seek_normalize_with", "string", 2, normalize_text),
         arrow("seek_tokenize", SCHEMA, 2, lambda t, tokenizer: tokenize(t, Analyzer(tokenizer=tokenizer))),
         arrow("seek_highlight_html", "string", 2, present.highlight_html),

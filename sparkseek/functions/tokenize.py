@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..conf import FULL_TEXT, Analyzer
-from .normalize import normalize, normalize_with_offsets, parse_call
+from .normalize import normalize, normalize_with_offsets, parse_call, raw, split_chain
 from .stem import stem
 
 #: Scripts written without spaces, cut into overlapping pairs.
@@ -24,13 +26,15 @@ _BREAK = "\x01"
 def tokens_column(col: Column, analyzer: Analyzer = FULL_TEXT) -> Column:
     """array<string> of tokens in order, by native functions: runs of letters, digits and signs, and pairs of unspaced scripts."""
     text = normalize(col, analyzer.normalizer, analyzer.substitutions)
-    name, _ = parse_call(analyzer.tokenizer)
+    name, args = parse_call(analyzer.tokenizer)
     if name in ("none", ""):
         return F.when(text.isNotNull(), F.array(text))
-    if name == "TokenDelimit":
+    if name == "TokenDelimit" and not args and not analyzer.token_filters:
         return F.filter(F.split(text, " "), lambda x: x != "")
-    if name != "TokenBigram" or analyzer.token_filters:
+    if name not in ("TokenBigram", "TokenNgram") or args or analyzer.token_filters:
         return F.transform(tokenize_column(col, analyzer), lambda t: t["value"])
+    if raw(analyzer.normalizer):  # nothing is folded, and nothing is known of kinds of characters: all pairs
+        return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(2))), lambda x: x != "")
     paired = F.regexp_replace(text, f"([{_PAIRED}])(?=([{_PAIRED}]))", f"$1$2{_BREAK}")
     return F.regexp_extract_all(paired, F.lit(_JAVA_TOKEN), F.lit(0))
 
@@ -99,35 +103,118 @@ def _spans(text: str, name: str, args: list, folded: bool) -> Iterator[tuple[int
             i = j
 
 
-def tokenize(text: str, analyzer: Analyzer = FULL_TEXT) -> list[dict]:
-    """Tokens of one text: value, position, whether a prefix search is forced, and where it comes from in the original (bytes)."""
+_NAMES = re.compile("Token(Bigram|Unigram|Trigram)(IgnoreBlank)?(Split(Symbol(Alpha(Digit)?)?)?)?|TokenNgram|TokenDelimit|TokenDelimitNull|TokenRegexp|none|")
+
+
+@dataclass(frozen=True)
+class Token:
+    """value; position among the tokens; [start, end) in characters of the original text, and where blanks before it begin; whether
+    it is a pair, or longer gram, cut short by the end of its run."""
+
+    value: str
+    position: int
+    start: int
+    end: int
+    blank: int
+    short: bool = False
+
+
+def tokens_of(text: str, analyzer: Analyzer = FULL_TEXT) -> list[Token]:
     name, args = parse_call(analyzer.tokenizer)
+    if not _NAMES.fullmatch(name):
+        raise ValueError(f"unknown tokenizer: {name}")
     options = dict(zip(args[::2], args[1::2]))
     folded, back = normalize_with_offsets(text, analyzer.normalizer, analyzer.substitutions)
-    if options.get("loose_symbol"):
-        keep = [i for i, c in enumerate(folded) if _kind(c) not in ("sign", "space")]
+    if options.get("loose_symbol") or options.get("loose_blank"):
+        loose = {k for k, o in (("sign", "loose_symbol"), ("space", "loose_blank")) if options.get(o)}
+        keep = [i for i, c in enumerate(folded) if _kind(c) not in loose]
         folded, back = "".join(folded[i] for i in keep), [back[i] for i in keep]
-    size = [len(c.encode()) for c in text]
-    at = [0]
-    for s in size:
-        at.append(at[-1] + s)
-    out = []
-    for position, (a, b) in enumerate(_spans(folded, name, args, analyzer.normalizer not in (None, "none"))):
+    out: list[Token] = []
+    spans = list(_spans(folded, name, args, not raw(analyzer.normalizer)))
+    for position, (a, b) in enumerate(spans):
         value = folded[a:b]
         for f in analyzer.token_filters:
             fname, fargs = parse_call(f)
             if fname == "TokenFilterStem":
                 value = stem(value)
             elif fname.startswith("TokenFilterNFKC"):
-                value = normalize_with_offsets(value, "NormalizerNFKC" + f[len("TokenFilterNFKC") :])[0]
-            elif fname == "TokenFilterStopWord" and value in fargs:
-                value = ""
+                value = normalize_with_offsets(value, "NormalizerNFKC" + f.strip()[len("TokenFilterNFKC") :])[0]
+            elif fname == "TokenFilterStopWord":
+                value = "" if value in fargs else value
+            elif fname not in ("", "none"):
+                raise ValueError(f"unknown token filter: {fname}")
         if value:
-            first, end = back[a], back[b] if b < len(back) else len(text)
-            out.append({"value": value, "position": position, "force_prefix_search": position != 0, "source_offset": at[first], "source_length": at[max(end, first + 1)] - at[first], "source_first_character_length": size[first]})
+            start, end = back[a], back[b - 1] + 1
+            while end < len(text) and (unicodedata.combining(text[end]) or text[end] in "ﾞﾟ"):  # marks that fold into the last character
+                end += 1
+            blank = start
+            while blank and text[blank - 1].isspace():
+                blank -= 1
+            before = spans[position - 1] if position else (0, 0)
+            out.append(Token(value, len(out), start, end, blank, before[1] > a and before[1] == b))
     return out
 
 
+def located(analyzer: Analyzer) -> bool:
+    """Whether the tokenizer reports where in the original its tokens stand."""
+    _, args = parse_call(analyzer.tokenizer)
+    return bool(dict(zip(args[::2], args[1::2])).get("report_source_location"))
+
+
+def tokenize(text: str, analyzer: Analyzer = FULL_TEXT) -> list[dict]:
+    """Tokens of one text: value, position, whether it is not the first, and, where the tokenizer reports it, its place in the
+    original in bytes. Blanks before a token belong to it there, as in the tokenizer's own report."""
+    report, out, at = located(analyzer), [], [0]
+    if report:
+        for c in text:
+            at.append(at[-1] + len(c.encode()))
+    for t in tokens_of(text, analyzer):
+        token = {"value": t.value, "position": t.position, "force_prefix_search": t.position != 0, "source_offset": None, "source_length": None, "source_first_character_length": None}
+        if report:
+            token |= {"source_offset": at[t.blank], "source_length": at[t.end] - at[t.blank], "source_first_character_length": at[t.start + 1] - at[t.blank]}
+        out.append(token)
+    return out
+
+
+def analyzer_of(options: dict[str, str | bool], column: str | None = None, use: str = "full_text_search", base: Analyzer | None = None) -> Analyzer:
+    """The analyzer that index options describe for a column. use: full_text_search, regexp_search, prefix_search or term_search.
+
+    Options: tokenizer, tokenizer_mapping, normalizer, normalizers, normalizers_mapping, <use>_normalizer, token_filters,
+    lexicon_type, query_allow_column; mappings are JSON from column to value and win. plugins and flags of storage change no
+    result and are passed over; a name that is none of these is an error.
+    """
+    known = {"tokenizer", "tokenizer_mapping", "normalizer", "normalizers", "normalizers_mapping", "full_text_search_normalizer", "regexp_search_normalizer", "prefix_search_normalizer", "token_filters", "plugins", "lexicon_type", "query_allow_column", "index_flags_mapping", "lexicon_flags_mapping", "model", "n_gpu_layers", "passage_prefix", "query_prefix"}
+    if unknown := sorted(set(options) - known):
+        raise ValueError(f"unknown option: {unknown[0]}")
+
+    def pick(single: tuple[str, ...], mapping: str, default: str | None) -> str | None:
+        of = json.loads(str(options.get(mapping) or "{}"))
+        if column in of:
+            return of[column]
+        return next((str(options[k]) for k in single if k in options), default)
+
+    default = base or (FULL_TEXT if use == "full_text_search" else Analyzer(tokenizer="TokenRegexp") if use == "regexp_search" else Analyzer(tokenizer="none"))
+    tokenizer = pick(("tokenizer",), "tokenizer_mapping", default.tokenizer) if use == "full_text_search" else default.tokenizer
+    normalizer = pick((f"{use}_normalizer", "normalizers", "normalizer"), "normalizers_mapping", default.normalizer)
+    if normalizer in ("NormalizerAuto",):
+        normalizer = "auto"
+    filters = tuple(f for f in split_chain(str(options.get("token_filters") or "")) if f != "none")
+    allow = options.get("query_allow_column", False) in (True, "true", "on", "1")
+    return Analyzer(None if raw(normalizer) else normalizer, tokenizer or "none", filters, allow, options.get("lexicon_type") != "hash_table", default.substitutions)
+
+
+def tokenize_with(text: str, *options: str) -> list[dict]:
+    """Tokens of a text with options given as names and values in turn: tokenizer, normalizer, normalizers, token_filters."""
+    given: dict[str, str] = {}
+    for i in range(0, len(options), 2):
+        if options[i] not in ("tokenizer", "normalizer", "normalizers", "token_filters"):
+            raise ValueError(f"unknown parameter name: <{options[i]}>")
+        if i + 1 == len(options):
+            raise ValueError(f"parameter value is missing: <{options[i]}>")
+        given[options[i]] = options[i + 1]
+    return tokenize(text, analyzer_of(given, base=Analyzer(normalizer=None)))
+
+
 SCHEMA = "array<struct<value:string,position:int,force_prefix_search:boolean,source_offset:int,source_length:int,source_first_character_length:int>>"
 
 
@@ -143,6 +230,23 @@ def tokenize_column(col: Column, analyzer: Analyzer = FULL_TEXT) -> Column:
 
 
 @lru_cache(maxsize=4096)
+def query_terms(text: str, analyzer: Analyzer = FULL_TEXT) -> tuple[tuple[int, str, bool], ...]:
+    """(place, token, whether it is a prefix) of a query term.
+
+    A gram cut short by the end of its run says nothing that the grams before it do not, and is left out; a run shorter than a
+    gram stands for all grams that begin with it.
+    """
+    name, args = parse_call(analyzer.tokenizer)
+    n = 0 if name in ("none", "", "TokenDelimit", "TokenDelimitNull") else {"TokenUnigram": 1, "TokenTrigram": 3}.get(re.sub("(Split|Ignore).*", "", name), dict(zip(args[::2], args[1::2])).get("n", 2))
+    out = []
+    for t in tokens_of(text, analyzer):
+        if t.short:
+            continue
+        gram = bool(n) and len(t.value) < n and (raw(analyzer.normalizer) or name == "TokenRegexp" or _kind(t.value[0]) == "pair")
+        out.append((t.position, t.value, gram))
+    return tuple(out)
+
+
 def query_tokens(text: str, analyzer: Analyzer = FULL_TEXT) -> tuple[str, ...]:
     """Token values of a query term."""
-    return tuple(t["value"] for t in tokenize(text, analyzer))
+    return tuple(t for _, t, _ in query_terms(text, analyzer))

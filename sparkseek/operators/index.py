@@ -8,30 +8,33 @@ words, and is the only thing broadcast.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import FULL_TEXT, Analyzer, EngineConf
-from ..functions.tokenize import query_tokens, tokenize_column, tokens_column
+from ..functions.tokenize import query_terms, query_tokens, tokens_column, tokens_of
 from ..plans.query import Leaf, fold, leaves, parse
 from .predicates import Condition
 
-POSTINGS = "token string, doc_id long, section int, position int"
+def postings_schema(id_type: str = "bigint") -> str:
+    return f"token string, doc_id {id_type}, section int, position int"
 
 
-def postings_of(df: DataFrame, id_col: str, columns: list[str], analyzer: Analyzer = FULL_TEXT) -> DataFrame:
+def postings_of(df: DataFrame, id_col: str | list[str], columns: list[str], analyzer: Analyzer = FULL_TEXT) -> DataFrame:
     """Postings of text columns, or of the elements of array columns; null values have none."""
     parts = []
     for n, name in enumerate(columns):
         col = F.col(name)
         if df.schema[name].dataType.typeName() == "array":
-            rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(col).alias("section", "value"))
+            rows = df.select(key_column(id_col).alias("doc_id"), F.posexplode(col).alias("section", "value"))
         else:
-            rows = df.select(F.col(id_col).alias("doc_id"), F.lit(n).alias("section"), col.alias("value"))
+            rows = df.select(key_column(id_col).alias("doc_id"), F.lit(n).alias("section"), col.alias("value"))
         found = rows.select("doc_id", "section", F.posexplode(tokens_column(F.col("value"), analyzer)).alias("position", "token"))
-        parts.append(found.filter("token <> ''").select("token", F.col("doc_id").cast("long").alias("doc_id"), "section", "position"))
+        parts.append(found.filter("token <> ''").select("token", "doc_id", "section", "position"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -40,7 +43,10 @@ def postings_of(df: DataFrame, id_col: str, columns: list[str], analyzer: Analyz
 
 @dataclass
 class TokenIndex:
-    """postings: rows of POSTINGS; documents: doc_id of every indexed row; sections: how many a document has."""
+    """postings: rows (token, doc_id, section, position); documents: doc_id of every indexed row; sections: how many a document has.
+
+    doc_id is of the type of the indexed table's key, a struct if the key is of several columns.
+    """
 
     postings: DataFrame
     documents: DataFrame
@@ -58,15 +64,15 @@ class TokenIndex:
         spark = self.postings.sparkSession
         rows, any_token = [], []
         for n, x in enumerate(wanted):
-            tokens = query_tokens(x.text, self.analyzer)
-            for k, t in enumerate(tokens):
-                start = (x.kind == "prefix" or loose and self.analyzer.prefix_search) and k == len(tokens) - 1
+            tokens = query_terms(x.text, self.analyzer)
+            for i, (k, t, gram) in enumerate(tokens):
+                start = gram or (x.kind == "prefix" or loose and self.analyzer.prefix_search) and i == len(tokens) - 1
                 reach = int(fuzzy * len(t)) if fuzzy else 0
                 rows.append((n, k, len(tokens), t, start, reach))
                 token = F.col("token")
                 any_token.append(F.levenshtein(token, F.lit(t)) <= reach if reach else token.startswith(t) if start else token == t)
         if not rows:
-            return spark.createDataFrame([], "doc_id long, section int, leaf int, tf long, bonus long")
+            return self.documents.select("doc_id", F.lit(0).alias("section"), F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("bonus")).limit(0)
         some = self.postings.filter(_any(any_token))
         if len(rows) == 1:  # one token: no positions to compare
             _, _, _, t, _, reach = rows[0]
@@ -87,9 +93,8 @@ class TokenIndex:
         Sections of weight 0 and beyond the weights given are not searched.
         """
         condition = query if isinstance(query, Condition) else Condition(query)
-        spark = self.postings.sparkSession
         tree = parse(condition.query or "", self.analyzer.query_allow_column)
-        empty = spark.createDataFrame([], "doc_id long, score double")
+        empty = self.documents.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         if condition.weights is not None and not len(condition.weights):
             raise ValueError("weights are empty")
         if tree is None:
@@ -172,12 +177,26 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
-def build_index(df: DataFrame, id_col: str, columns: list[str], analyzer: Analyzer = FULL_TEXT) -> TokenIndex:
-    """An index over columns of df, computed as it is searched; sources.store keeps one on disk."""
-    return TokenIndex(postings_of(df, id_col, columns, analyzer), df.select(F.col(id_col).cast("long").alias("doc_id")), analyzer, len(columns), tuple(columns))
+def key_column(id_col: str | list[str]) -> Column:
+    """A table's key: a column, or several as a struct."""
+    return F.col(id_col) if isinstance(id_col, str) else F.struct(*id_col)
+
+
+def build_index(df: DataFrame, id_col: str | list[str], columns: list[str], analyzer: Analyzer = FULL_TEXT) -> TokenIndex:
+    """An index over columns of df, computed as it is searched; sources.store keeps one on disk. id_col: the key, of any type."""
+    return TokenIndex(postings_of(df, id_col, columns, analyzer), df.select(key_column(id_col).alias("doc_id")), analyzer, len(columns), tuple(columns))
+
+
+TOKEN_ROWS = "array<struct<value:string,position:int,source_offset:int,source_length:int>>"
 
 
 def token_positions(df: DataFrame, id_col: str, column: str, analyzer: Analyzer = FULL_TEXT) -> DataFrame:
-    """(doc_id, value, position, source_offset, source_length) of each token, with offsets in the original text."""
-    each = df.select(F.col(id_col).alias("doc_id"), F.explode(tokenize_column(F.col(column), analyzer)).alias("t"))
-    return each.select("doc_id", "t.value", "t.position", "t.source_offset", "t.source_length")
+    """(doc_id, value, position, source_offset, source_length) of each token, in characters of the original text."""
+
+    @F.pandas_udf(TOKEN_ROWS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: None if t is None else [{"value": x.value, "position": x.position, "source_offset": x.start, "source_length": x.end - x.start} for x in tokens_of(t, analyzer)])
+
+    each = df.select(F.col(id_col).alias("doc_id"), F.explode(run(F.col(column))).alias("t"))
+    return each.select("doc_id", "t.*")

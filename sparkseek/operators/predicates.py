@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..conf import FULL_TEXT, Analyzer
 from ..functions.normalize import normalize, normalize_elements
 from ..functions.romaji import reads_as, reads_as_any
+from ..functions.tokenize import query_terms, tokens_column
 from ..plans.query import Leaf, leaves, parse
 from ..plans.scan import query_condition
 
@@ -148,6 +149,28 @@ def query_array(col: Column, q, a: Analyzer = FULL_TEXT) -> Column:
     return query_condition(text, leaf) & col.isNotNull()
 
 
+def query_tokens_of(col: Column, q, a: Analyzer = FULL_TEXT) -> Column:
+    """Query language with the rule of a token index, on a scan: words and phrases match whole tokens of the analyzer."""
+    text, weights = _unpack(q)
+    if not text or not text.strip() or _off(weights):
+        return _never(col)
+    tokens = tokens_column(col, a)
+
+    def leaf(x: Leaf) -> Column:
+        want = query_terms(x.text, a)
+        if not want:
+            return F.lit(False)
+        same = lambda have, i: have.startswith(want[i][1]) if want[i][2] or x.kind == "prefix" and i == len(want) - 1 else have == want[i][1]
+        if len(want) == 1:
+            return _yes(F.exists(tokens, lambda t: same(t, 0)))
+        # a phrase stands where its first token does and the others at their distances
+        at = lambda i, k: F.coalesce(same(F.get(tokens, i + F.lit(want[k][0] - want[0][0])), k), F.lit(False))
+        places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
+        return _yes(F.exists(places, lambda i: reduce(lambda x, y: x & y, [at(i, k) for k in range(len(want))])))
+
+    return _yes(query_condition(text, leaf, a.query_allow_column)) & col.isNotNull()
+
+
 def query_any(col: Column, queries: Iterable[str | None], a: Analyzer = FULL_TEXT) -> Column:
     return _any(query(col, q, a) for q in queries if q)
 

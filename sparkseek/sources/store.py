@@ -1,22 +1,26 @@
-"""Token indexes on disk: segments of postings in Parquet, tombstones of deleted documents, and one manifest for each index.
+"""Token indexes on disk: segments of postings in Parquet, tombstones of deleted documents, and a row of manifests for each index.
 
 A segment's postings are range-partitioned and sorted by token, so that a search prunes files and row groups by its tokens. A
-segment becomes visible when the manifest that names it is renamed into place; appends with the same key replace each other, so
-that a streaming batch that is run again leaves one segment.
+segment becomes visible with the manifest that names it. Manifests are numbered and never replaced: each change writes the next
+number by a rename that fails if that number is taken, and is then made anew on what the other writer left. An append whose key is
+in the manifest already has been made, so that a streaming batch that is run again adds nothing.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import FULL_TEXT, Analyzer
-from ..operators.index import POSTINGS, TokenIndex, postings_of
+from ..operators.index import TokenIndex, key_column, postings_of, postings_schema
 
 
 class ReadOnly(RuntimeError):
@@ -30,44 +34,76 @@ class IndexStore:
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> dict:
-        at = self._p(f"{self.path}/{name}/manifest.json")
+    def _versions(self, name: str) -> list[int]:
+        at = self._p(f"{self.path}/{name}")
         if not self._fs.exists(at):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n)))
+
+    def _read(self, name: str) -> dict:
+        versions = self._versions(name)
+        if not versions:
             raise KeyError(f"no index {name!r}")
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._p(f"{self.path}/{name}/manifest-{versions[-1]}.json"))
         try:
-            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            found = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
+        return found | {"version": versions[-1]}
 
-    def _write(self, name: str, manifest: dict) -> None:
-        manifest["version"] = manifest.get("version", 0) + 1
-        manifest["changed"] = time.time()
-        draft, final = self._p(f"{self.path}/{name}/.manifest-{uuid.uuid4().hex}"), self._p(f"{self.path}/{name}/manifest.json")
+    def _write(self, name: str, manifest: dict) -> bool:
+        """Whether the manifest became the next one; not so if another writer was first."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        version = manifest.get("version", 0) + 1
+        draft, final = self._p(f"{self.path}/{name}/.manifest-{uuid.uuid4().hex}"), self._p(f"{self.path}/{name}/manifest-{version}.json")
         stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.write(bytearray(json.dumps(manifest | {"version": version, "changed": time.time()}).encode()))
         stream.close()
         if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(draft, final)
+            self._fs.delete(draft, False)
+            return False
+        rename = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            rename.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def _change(self, name: str, change: Callable[[dict], dict | None]) -> None:
+        """Apply a change to the newest manifest, again if another writer came first; None leaves all as it is."""
+        for _ in range(100):
+            new = change(self._read(name))
+            if new is None or self._write(name, new):
+                return
+        raise RuntimeError(f"index {name!r} changes too often")
 
     def _check(self) -> None:
         if not self.writable:
             raise ReadOnly("the store is not writable")
 
-    def _segment(self, name: str, key: str, postings: DataFrame, documents: DataFrame) -> None:
+    def _segment(self, name: str, key: str, postings: DataFrame, documents: DataFrame, id_type: str | None = None) -> None:
+        if id_type:
+            postings, documents = (d.withColumn("doc_id", F.col("doc_id").cast(id_type)) for d in (postings, documents))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         postings.repartitionByRange(n, "token", "doc_id").sortWithinPartitions("token", "doc_id", "section", "position").write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/postings")
         documents.write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/documents")
 
-    def create(self, name: str, df: DataFrame | None, id_col: str, columns: list[str], analyzer: Analyzer = FULL_TEXT, table: str | None = None) -> TokenIndex:
-        """Build an index; without df an empty one."""
+    def create(self, name: str, df: DataFrame | None, id_col: str | list[str], columns: list[str], analyzer: Analyzer = FULL_TEXT, table: str | None = None, id_type: str = "bigint") -> TokenIndex:
+        """Build an index; without df an empty one. id_type is needed there alone, and for keys that are not long."""
         self._check()
-        manifest = {"name": name, "id": id_col, "columns": list(columns), "analyzer": asdict(analyzer), "table": table or name, "segments": [], "deleted": [], "sections": len(columns)}
+        if self._versions(name):
+            raise FileExistsError(f"index {name!r} is there already")
+        id_type = df.select(key_column(id_col).alias("k")).schema["k"].dataType.simpleString() if df is not None else id_type
+        manifest = {"name": name, "id": id_col, "id_type": id_type, "columns": list(columns), "analyzer": asdict(analyzer), "table": table or name, "segments": [], "deleted": [], "sections": len(columns)}
         if df is not None:
-            self._segment(name, "segment-0", postings_of(df, id_col, list(columns), analyzer), df.select(F.col(id_col).cast("long").alias("doc_id")))
-            manifest["segments"].append("segment-0")
-        self._write(name, manifest)
+            self._segment(name, first := f"segment-{uuid.uuid4().hex}", postings_of(df, id_col, list(columns), analyzer), df.select(key_column(id_col).alias("doc_id")))
+            manifest["segments"].append(first)
+        if not self._write(name, manifest):
+            raise FileExistsError(f"index {name!r} is there already")
         return self.open(name)
 
     def _analyzer(self, manifest: dict) -> Analyzer:
@@ -76,59 +112,73 @@ class IndexStore:
         return Analyzer(**a)
 
     def append(self, name: str, df: DataFrame, key: str | None = None) -> None:
-        """Index more rows as a segment of their own."""
+        """Index more rows as a segment of their own; an append with a key that was made before does nothing."""
         self._check()
         m = self._read(name)
         key = f"segment-{key or uuid.uuid4().hex}"
-        self._segment(name, key, postings_of(df, m["id"], m["columns"], self._analyzer(m)), df.select(F.col(m["id"]).cast("long").alias("doc_id")))
-        if key not in m["segments"]:
-            m["segments"].append(key)
-        self._write(name, m)
+        if key in m["segments"]:
+            return
+        self._segment(name, key, postings_of(df, m["id"], m["columns"], self._analyzer(m)), df.select(key_column(m["id"]).alias("doc_id")), m["id_type"])
+        self._change(name, lambda m: None if key in m["segments"] else m | {"segments": [*m["segments"], key]})
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        """Documents (first column of ids) that no search finds from now on, in the segments there are now."""
+        """Documents (by the key columns in ids) that no search finds from now on, in the segments there are now."""
         self._check()
         m = self._read(name)
         key = f"deleted-{uuid.uuid4().hex}"
-        ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct().write.parquet(f"{self.path}/{name}/{key}")
-        m["deleted"].append([key, list(m["segments"])])
-        self._write(name, m)
+        ids.select((F.col(ids.columns[0]) if isinstance(m["id"], str) else F.struct(*ids.columns)).cast(m["id_type"]).alias("doc_id")).distinct().write.parquet(f"{self.path}/{name}/{key}")
+        self._change(name, lambda m: m | {"deleted": [*m["deleted"], [key, list(m["segments"])]]})
 
     def open(self, name: str) -> TokenIndex:
         m = self._read(name)
         analyzer, spark = self._analyzer(m), self.spark
-        postings, documents = spark.createDataFrame([], POSTINGS), spark.createDataFrame([], "doc_id long")
+        rows, ids = postings_schema(m["id_type"]), f"doc_id {m['id_type']}"
+        postings, documents = spark.createDataFrame([], rows), spark.createDataFrame([], ids)
         groups: dict[tuple, list[str]] = {}
         for s in m["segments"]:
             groups.setdefault(tuple(k for k, of in m["deleted"] if s in of), []).append(s)
         first = True
         for gone, segments in groups.items():
-            p = spark.read.schema(POSTINGS).parquet(*[f"{self.path}/{name}/{s}/postings" for s in segments])
-            d = spark.read.schema("doc_id long").parquet(*[f"{self.path}/{name}/{s}/documents" for s in segments])
+            p = spark.read.schema(rows).parquet(*[f"{self.path}/{name}/{s}/postings" for s in segments])
+            d = spark.read.schema(ids).parquet(*[f"{self.path}/{name}/{s}/documents" for s in segments])
             if gone:
-                dead = spark.read.schema("doc_id long").parquet(*[f"{self.path}/{name}/{k}" for k in gone])
+                dead = spark.read.schema(ids).parquet(*[f"{self.path}/{name}/{k}" for k in gone])
                 p, d = p.join(dead, "doc_id", "left_anti").select(*postings.columns), d.join(dead, "doc_id", "left_anti")
             postings, documents = (p, d) if first else (postings.unionByName(p), documents.unionByName(d))
             first = False
         return TokenIndex(postings, documents, analyzer, m["sections"], tuple(m["columns"]))
 
-    def vacuum(self, name: str) -> None:
-        """One segment of what is alive; files that no manifest names go."""
+    def vacuum(self, name: str, grace: float = 3600.0) -> None:
+        """One segment of what is alive, in place of the segments and tombstones there are now; their files go.
+
+        Files that no manifest names, left by writers that failed, go when they are older than `grace` seconds.
+        """
         self._check()
-        m, live = self._read(name), self.open(name)
+        old, live = self._read(name), self.open(name)
         key = f"segment-{uuid.uuid4().hex}"
         self._segment(name, key, live.postings, live.documents)
-        m["segments"], m["deleted"] = [key], []
-        self._write(name, m)
+        gone = {*old["segments"], *(k for k, _ in old["deleted"])}
+
+        def change(m: dict) -> dict | None:
+            if not set(old["segments"]) <= set(m["segments"]):
+                return None  # another compaction was first
+            later = [[k, [key if s in gone else s for s in of]] for k, of in m["deleted"] if k not in gone]
+            return m | {"segments": [key, *(s for s in m["segments"] if s not in gone)], "deleted": [[k, list(dict.fromkeys(of))] for k, of in later]}
+
+        self._change(name, change)
+        now = self._read(name)
+        named = {*now["segments"], *(k for k, _ in now["deleted"])}
         for status in self._fs.listStatus(self._p(f"{self.path}/{name}")):
             n = status.getPath().getName()
-            if n not in (key, "manifest.json"):
+            late = status.getModificationTime() / 1000 < time.time() - grace
+            stale = n.startswith("manifest-") and n != f"manifest-{now['version']}.json"
+            if stale or n not in named and (n in gone or late and not n.startswith("manifest-")):
                 self._fs.delete(status.getPath(), True)
 
     def names(self) -> list[str]:
         if not self._fs.exists(self._p(self.path)):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._p(self.path)) if self._fs.exists(self._p(f"{self.path}/{s.getPath().getName()}/manifest.json")))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._p(self.path)) if self._versions(s.getPath().getName()))
 
     def table_name(self, name: str) -> str:
         return self._read(name)["table"]
@@ -156,7 +206,8 @@ class IndexStore:
     def lagged(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows of a table that the index does not have yet."""
         m = self._read(name)
-        return rows.join(self.open(name).documents, rows[m["id"]] == F.col("doc_id"), "left_anti")
+        have = self.open(name).documents.select(F.col("doc_id").alias("__have"))
+        return rows.withColumn("__key", key_column(m["id"]).cast(m["id_type"])).join(have, F.col("__key") == F.col("__have"), "left_anti").drop("__key")
 
     def flush(self, name: str) -> bool:
         """True: what is written is committed already."""

@@ -7,7 +7,7 @@ from sparkseek.functions import present
 from sparkseek.functions.normalize import normalize, normalize_text
 from sparkseek.functions.romaji import reads_as, to_romaji
 from sparkseek.functions.stem import stem
-from sparkseek.functions.tokenize import tokenize, tokens_column
+from sparkseek.functions.tokenize import analyzer_of, query_terms, tokenize, tokenize_with, tokens_column
 from sparkseek.operators import jsonsearch as J
 from sparkseek.operators import predicates as P
 from sparkseek.operators import vectors as V
@@ -182,12 +182,48 @@ def test_tokenize(spark):
     assert values("test", tokenizer='TokenNgram("n", 3)', normalizer=None) == ["tes", "est", "st", "t"]
     assert values("works worked", token_filters=("TokenFilterStem",)) == ["work", "work"]
     assert values("(090)1234-5678", tokenizer='TokenNgram("loose_symbol", true)') == ["09012345678"]
-    first, second = tokenize("one two")
-    assert (second["source_offset"], second["source_length"], first["force_prefix_search"], second["force_prefix_search"]) == (4, 3, False, True)
+    first, second = tokenize("one two", Analyzer(tokenizer='TokenNgram("report_source_location", true)'))
+    assert (second["source_offset"], second["source_length"], second["source_first_character_length"], first["force_prefix_search"], second["force_prefix_search"]) == (3, 4, 2, False, True)
+    assert [t["source_offset"] for t in tokenize("one two")] == [None, None]
+    assert [t["value"] for t in tokenize_with("これはペン。", "tokenizer", "TokenNgram", "token_filters", 'TokenFilterNFKC100("unify_kana", true)')] == ["これ", "れは", "はぺ", "ぺん", "ん。", "。"]
+    for wrong in (("tokenizer", "invalid"), ("tokenizer",), ("unknown", "x")):
+        with pytest.raises(ValueError):
+            tokenize_with("a pen", *wrong)
+    assert values("a-b c", tokenizer='TokenNgram("loose_symbol", true)') == ["ab", "c"]
+    assert query_terms("りんご") == ((0, "りん", False), (1, "んご", False)) and query_terms("検") == ((0, "検", True),) and query_terms("ab", Analyzer(normalizer=None)) == ((0, "ab", False),)
+    assert spark.createDataFrame([("This",)], "t string").select(tokens_column(F.col("t"), Analyzer(normalizer=None)).alias("v")).first().v == ["Th", "hi", "is", "s"]
     t = spark.createDataFrame([("Spark 4.1は速い engine!",)], "t string")
     assert t.select(tokens_column(F.col("t")).alias("v")).first().v == values("Spark 4.1は速い engine!")
 
 
+def test_options():
+    a = analyzer_of({"tokenizer_mapping": '{"tags": "TokenNgram(\\"n\\", 3)"}', "normalizers": 'NormalizerNFKC130("unify_kana", true), NormalizerNFKC130("unify_middle_dot", true)', "token_filters": "none", "lexicon_type": "hash_table", "plugins": "token_filters/stem"}, "tags")
+    assert a.tokenizer == 'TokenNgram("n", 3)' and not a.prefix_search and not a.token_filters and [x["value"] for x in tokenize("グル∙ンガ", a)] == ["ぐる", "る", "·", "んが", "が"]
+    assert analyzer_of({"normalizer": "none", "full_text_search_normalizer": "NormalizerNFKC51"}).normalizer == "NormalizerNFKC51" and analyzer_of({"normalizer": ""}).normalizer is None
+    assert analyzer_of({}, use="term_search").tokenizer == "none" and analyzer_of({"query_allow_column": "true"}).query_allow_column
+    with pytest.raises(ValueError):
+        analyzer_of({"tokeniser": "x"})
+
+
+def test_unspaced_and_raw_pairs_on_index(spark):
+    rows = [(1, "りんごはおいしい"), (2, "青リンゴ"), (3, "検索エンジン"), (4, "Postbase SQL")]
+    t = spark.createDataFrame(rows, "id long, c string")
+    i = build_index(t, "id", ["c"])
+    assert sorted(scores(i.search("りんご"))) == [1] and sorted(scores(i.search("検"))) == [3] and sorted(scores(i.search("索エンジ"))) == [3] and scores(i.search("ごり")) == {}
+    kana = build_index(t, "id", ["c"], analyzer_of({"normalizers": 'NormalizerNFKC100("unify_kana", true)'}))
+    assert sorted(scores(kana.search("りんご"))) == [1, 2]
+    raw = build_index(t, "id", ["c"], analyzer_of({"normalizer": ""}))
+    assert scores(raw.search("postbase")) == {} and sorted(scores(raw.search("Postbase"))) == [4] and sorted(scores(raw.search("base SQL"))) == [4] and scores(raw.search('"SQL base"')) == {}
+    loose = build_index(spark.createDataFrame([(1, "tel (090)1234-5678 now")], "id long, c string"), "id", ["c"], analyzer_of({"tokenizer": 'TokenNgram("loose_symbol", true)'}))
+    assert sorted(scores(loose.search("090-12345678"))) == [1]
+
+
+def test_keys_of_any_type(spark):
+    t = spark.createDataFrame([("a", 1, "Rustle is fast"), ("b", 2, "Postbase uses Rustle Rustle")], "id string, n int, c string")
+    assert scores(build_index(t, "id", ["c"]).search("rustle")) == {"a": 1.0, "b": 2.0}
+    assert {tuple(k): v for k, v in scores(build_index(t, ["id", "n"], ["c"]).search("uses")).items()} == {("b", 2): 1.0}
+
+
 def test_stem():
     assert [stem(w) for w in ("works", "worked", "working", "ponies", "caresses", "hopping", "relational", "sky")] == ["work", "work", "work", "poni", "caress", "hop", "relat", "sky"]
 
@@ -199,6 +235,14 @@ def test_highlight_and_positions(spark):
     assert present.match_positions_character("100㍉メートル", ["ミリ"]) == [[3, 1]] and present.match_positions_byte("あa あ", ["あ"]) == [[0, 3], [5, 3]]
     assert present.snippet_html("Rustle is fast", ["Rustle"], 5) == [] and present.snippet_html("Rustle is", ["rustle"], 6) == [tag.format("Rustle")]
     assert present.snippet_html("x Rustle y", ["rustle"], 7) == [" " + tag.format("Rustle")] and len(present.snippet_html("ab " * 500, ["ab"])) == 3
+    with pytest.raises(ValueError):
+        present.snippet_html("a", ["a"], 0)
+    located = analyzer_of({"tokenizer": 'TokenNgram("report_source_location", true)', "normalizer": "NormalizerNFKC100"})
+    assert present.highlight_html("one two three four five two six three", ["two three", "five"], located) == "one" + tag.format(" two three") + " four" + tag.format(" five") + " two six three"
+    loose = analyzer_of({"tokenizer": 'TokenNgram("loose_symbol", true, "report_source_location", true)', "normalizer": 'NormalizerNFKC100("unify_kana", true)'})
+    assert present.highlight_html("この店のリンゴはよい。番号は０９０-12345678だ。", ["りんご", "（090）1234５６７８"], loose) == "この店の" + tag.format("リンゴ") + "はよい。番号は" + tag.format("０９０-12345678") + "だ。"
+    term = analyzer_of({"normalizers": 'NormalizerNFKC130("unify_kana", true)'}, use="term_search")
+    assert present.highlight_html("はろー ハロー", ["は"], term) == tag.format("は") + "ろー " + tag.format("ハ") + "ロー"
     got = spark.createDataFrame([("a Rustle",), (None,)], "t string").select(present.highlight_html_column(F.col("t"), ["rustle"]).alias("h"), present.match_positions_character_column(F.col("t"), ["rustle"]).alias("p")).collect()
     assert got[0].h == "a " + tag.format("Rustle") and got[0].p == [[2, 6]] and got[1].h is None
 
@@ -223,6 +267,10 @@ def test_expansion_and_keywords(spark):
     assert extract_keywords("Rustle content:@Postbase", columns=True) == ["Rustle", "Postbase"] and parse("  ") is None
     queries = spark.createDataFrame([("rustle OR x",), (None,)], "q string")
     got = present.expand_queries(queries, "q", spark.createDataFrame([("Rustle", "a"), ("rustle", "b")], "t string, s string"), "t", "s").collect()
+    groups = spark.createDataFrame([(["Rustle", None, "Senna"],)], "s array<string>")
+    assert {r.q: r.expanded for r in present.expand_queries(queries, "q", groups, "s", "s").collect()} == {"rustle OR x": "((Rustle) OR (Senna)) OR x", None: None}
+    with pytest.raises(ValueError):
+        present.expand_queries(queries, "q", spark.createDataFrame([("a", 1)], "t string, s int"), "t", "s")
     assert {r.q: r.expanded for r in got} == {"rustle OR x": "((a) OR (b)) OR x", None: None}
 
 
@@ -250,6 +298,31 @@ def test_select(spark):
         select(t, filter="missing == 1")
 
 
+def test_command(spark):
+    import json
+
+    from sparkseek.sources.command import command
+
+    t = spark.createDataFrame([("Postbase is a RDBMS.", 3), ("Rustle is fast.", 1)], "content string, n int").withColumn("at", F.expr("timestamp '2018-02-02 00:00:00'"))
+    tables = {"Sources1": t}
+    head, body = json.loads(command(spark, tables, "select Sources1 --output_columns content --sort_keys n"))
+    assert head[0] == 0 and body == [[[2], [["content", "LongText"]], ["Rustle is fast."], ["Postbase is a RDBMS."]]]
+    out = json.loads(command(spark, tables, "select", ["table", "Sources1", "filter", "n > 1", "output_columns", "n, at", "command_version", "3"]))
+    assert out["body"] == {"n_hits": 1, "columns": [{"name": "n", "type": "Int32"}, {"name": "at", "type": "Time"}], "records": [[3, 1517529600.0]]}
+    assert json.loads(command(spark, tables, "select Sources1 --match_columns content --query rustle --limit 0"))[1] == [[[1], [["content", "LongText"], ["n", "Int32"], ["at", "Time"]]]]
+    assert isinstance(json.loads(command(spark, tables, "status")), list) and isinstance(json.loads(command(spark, tables, "status", ["command_version", "3"])), dict)
+    assert json.loads(command(spark, tables, "object_exist Sources1"))[1] is True and "Sources1" in json.loads(command(spark, tables, "schema"))[1]["tables"] and json.loads(command(spark, tables, "table_list"))[1][1][1] == "Sources1"
+    assert present.result_rows(spark, command(spark, tables, "select Sources1 --output_columns content --sort_keys -n")).first().content == "Postbase is a RDBMS."
+    assert json.loads(command(spark, tables, "select Missing"))[0][0] != 0 and json.loads(command(spark, tables, "nonsense"))[0][0] != 0
+
+
+def test_tokens_on_scan(memos, index):
+    for q in ("rustle", "PRustle OR Rustle", "rustle -prustle", '"full text"', "exten*", "-rustle", "(", '"is a postbase"', "", "rus"):
+        assert ids(memos.filter(P.query_tokens_of(C(), q))) == sorted(set(scores(index.search(q))) - {4})  # an index holds the row of a null value as an empty one
+    stemmed = Analyzer(token_filters=("TokenFilterStem",))
+    assert ids(memos.filter(P.query_tokens_of(C(), "extensions", stemmed))) == [3]
+
+
 def test_store(spark, memos, tmp_path):
     store = IndexStore(spark, f"file://{tmp_path}/s")
     store.create("m", None, "id", ["content"], table="memos")
@@ -267,6 +340,14 @@ def test_store(spark, memos, tmp_path):
     assert scores(store.open("m").search("rustle")) == {2: 1.0, 3: 1.0}
     assert (store.names(), store.table_name("m"), store.column_name("m", 0), store.column_name("m", "content"), store.column_name("m", "no"), store.broken(), store.flush("m")) == (["m"], "memos", "content", "content", None, [], True)
     assert store.status().first().segments == 1
+    with pytest.raises(FileExistsError):
+        store.create("m", None, "id", ["content"])
+    before = store._read("m")
+    store.append("m", memos.filter("id = 2"))
+    assert not store._write("m", before)  # another writer has taken the number
+    store.delete("m", spark.createDataFrame([(1,)], "id long"))
+    store.vacuum("m")
+    assert store.status().first().segments == 1 and scores(store.open("m").search("rustle")) == {2: 2.0, 3: 1.0} and store._versions("m") == [store._read("m")["version"]]
     store.set_writable(False)
     with pytest.raises(ReadOnly):
         store.append("m", memos)
@@ -287,6 +368,14 @@ def test_sql_functions(spark):
         seek_equal('ＡＢ', 'ab') e, seek_regexp('Spark', '^s.*k$') f, seek_query_escape('a+b') g, seek_highlight_html('a Spark', array('spark')) h,
         seek_query_extract_keywords('a -b c') i, size(seek_tokenize('one two', 'TokenBigram')) j, seek_contain(array('a'), 'a') k, seek_prefix_rk('ポスト', 'po') l, seek_match(NULL, 'x') m"""
     ).first()
+    other = spark.sql(
+        r"""SELECT seek_query_array(array('a OSS b', 'full'), 'oss full') a, seek_match_in_array(array('xy'), array('', 'X')) b, seek_prefix_in_array(array('Ab'), array('aB')) c, seek_equal_query_array(array('SQL', 'x'), 'grn OR sql') d,
+        seek_prefix_rk_in('ポスト', array('gu', 'po')) e, seek_json_match('{"k": ["Apple"]}', 'app') f, seek_json_query('{"k": "a b", "l": "c"}', 'a c') g, seek_json_contains('{"k": [1, "x"]}', '{"k": ["x"]}') h,
+        seek_escape('a"') i, seek_escape_timestamp(timestamp '2016-11-29 01:23:45') j, seek_highlight_html_array(array('ab', NULL), array('a')) k, seek_snippet_html_width('ab', array('b'), 1) l, round(seek_cosine(array(1D, 0D), array(1D, 1D)), 3) m, seek_contain_all(array('a', 'b'), array('b')) n,
+        seek_command_escape_value('a"b') o"""
+    ).first()
+    tag = '<span class="keyword">{}</span>'
+    assert list(other) == [True, True, True, True, True, True, False, True, '"a\\""', "1480382625", [tag.format("a") + "b", None], [tag.format("b")], 0.707, True, '"a\\"b"']
     assert list(row) == [True, True, True, True, True, True, "a\\+b", 'a <span class="keyword">Spark</span>', ["a", "c"], 2, True, True, None]
 
 
