@@ -108,6 +108,7 @@ scan("like_as_regexp", *PART, lambda: F.regexp_like(NAME(), F.lit(P.like_as_rege
 LIST = "string_split(p_name, ' ')"
 scan("array_match", *PART, lambda: P.match_array(WORDS(), "RE"), f"len(list_filter({LIST}, lambda x: contains(lower(x), 're'))) > 0")
 scan("array_match_any_of", *PART, lambda: P.match_array_any(WORDS(), ["re", "ee"]), f"len(list_filter({LIST}, lambda x: contains(lower(x), 're') OR contains(lower(x), 'ee'))) > 0")
+scan("tokens_query", *DOC, lambda: P.query_tokens_of(text(), '"of the" attio* -thtion'), f"doc_id IN (SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE contains(chr(1) || array_to_string(t, chr(1)) || chr(1), chr(1) || 'of' || chr(1) || 'the' || chr(1)) AND len(list_filter(t, lambda x: starts_with(x, 'attio'))) > 0 AND NOT list_contains(t, 'thtion'))")
 scan("array_query", *PART, lambda: P.query_array(WORDS(), "r -b"), f"len(list_filter({LIST}, lambda x: contains(lower(x), 'r'))) > 0 AND NOT len(list_filter({LIST}, lambda x: contains(lower(x), 'b'))) > 0")
 scan("array_query_any_of", *PART, lambda: P.query_array_any(WORDS(), ["r b", "ee"]), f"(len(list_filter({LIST}, lambda x: contains(lower(x), 'r'))) > 0 AND len(list_filter({LIST}, lambda x: contains(lower(x), 'b'))) > 0) OR len(list_filter({LIST}, lambda x: contains(lower(x), 'ee'))) > 0")
 scan("array_weights", *PART, lambda: P.match_array(WORDS(), Condition("r", weights=(0, 1))), f"contains(lower({LIST}[2]), 'r')")
@@ -116,7 +117,7 @@ scan("array_prefix", *PART, lambda: P.prefix_array(WORDS(), "b"), f"len(list_fil
 scan("array_prefix_any_of", *PART, lambda: P.prefix_array_any(WORDS(), ["b", "r"]), f"len(list_filter({LIST}, lambda x: starts_with(lower(x), 'b') OR starts_with(lower(x), 'r'))) > 0")
 scan("array_regexp", *PART, lambda: P.regexp_array(WORDS(), r"\A[a-f].*e\z"), rf"len(list_filter({LIST}, lambda x: regexp_matches(lower(x), '\A[a-f].*e\z'))) > 0")
 scan("array_contains", *PART, lambda: P.contains_element(WORDS(), "red"), f"list_contains({LIST}, 'red')")
-scan("array_contains_all", *PART, lambda: P.contains_all(WORDS(), ["small", "red"]), f"list_contains({LIST}, 'small') AND list_contains({LIST}, 'red')")
+scan("array_contains_all", *PART, lambda: P.contains_all(WORDS(), ["small", "ring"]), f"list_contains({LIST}, 'small') AND list_contains({LIST}, 'ring')")
 
 # scripts and commands
 query("script", "SELECT p_partkey FROM part WHERE (p_size >= 10 AND starts_with(lower(p_name), 's')) OR (p_size < 5 AND NOT contains(lower(p_type), 'a'))")(
@@ -147,26 +148,26 @@ def indexed(name: str, q, where: str, **options) -> None:
 
 has = lambda w: f"list_contains(t, '{w}')"
 phrase = lambda *w: "contains(chr(1) || array_to_string(t, chr(1)) || chr(1), " + "chr(1) || " + " || chr(1) || ".join(f"'{x}'" for x in w) + " || chr(1))"
-indexed("token_match_index", "hea", has("hea"))
-indexed("index_and", "hea thtion", f"{has('hea')} AND {has('thtion')}")
-indexed("index_or", "hea OR quevi OR schau", f"{has('hea')} OR {has('quevi')} OR {has('schau')}")
-indexed("index_not", "the -hea", f"{has('the')} AND NOT {has('hea')}")
+indexed("token_match_index", "ther", has("ther"))
+indexed("index_and", "ther thtion", f"{has('ther')} AND {has('thtion')}")
+indexed("index_or", "ther OR quevi OR schau", f"{has('ther')} OR {has('quevi')} OR {has('schau')}")
+indexed("index_not", "the -ther", f"{has('the')} AND NOT {has('ther')}")
 indexed("index_leading_not", "-the", f"NOT {has('the')}")
 indexed("index_phrase", '"of the"', phrase("of", "the"))
-indexed("index_phrase_and_not", '"of the" -"to the" -hea', f"{phrase('of', 'the')} AND NOT {phrase('to', 'the')} AND NOT {has('hea')}")
+indexed("index_phrase_and_not", '"of the" -"to the" -ther', f"{phrase('of', 'the')} AND NOT {phrase('to', 'the')} AND NOT {has('ther')}")
 indexed("index_prefix", "thtion*", "len(list_filter(t, lambda x: starts_with(x, 'thtion'))) > 0")
-indexed("index_group", "(hea OR que) (the OR de) -eaux", f"({has('hea')} OR {has('que')}) AND ({has('the')} OR {has('de')}) AND NOT {has('eaux')}")
+indexed("index_group", "(ther OR que) (the OR de) -eaux", f"({has('ther')} OR {has('que')}) AND ({has('the')} OR {has('de')}) AND NOT {has('eaux')}")
 indexed("index_literal_sign", "|", has("|"))
-indexed("index_escalated", "thtionbleour", "len(list_filter(t, lambda x: starts_with(x, 'thtionbleour'))) > 0", conf=EngineConf(escalate=True))
+indexed("index_escalated", "attio", "len(list_filter(t, lambda x: starts_with(x, 'attio'))) > 0", conf=EngineConf(escalate=True))
 indexed("index_forced_escalation", "thti blean", "len(list_filter(t, lambda x: starts_with(x, 'thti'))) > 0 AND len(list_filter(t, lambda x: starts_with(x, 'blean'))) > 0", conf=EngineConf(force_match_escalation=True))
 TF = "len(list_filter(t, lambda x: x = '{}'))"
 T = f"(SELECT doc_id, {TOKENS} AS t FROM documents)"
 query("score_tf", f"SELECT doc_id, ({TF.format('the')} + {TF.format('of')})::DOUBLE AS score FROM {T} WHERE {has('the')} OR {has('of')}")(lambda spark, d: documents_index(spark, d).search("the OR of"))
-query("score_tf_at_most", f"SELECT doc_id, (5.0 * (least({TF.format('the')}, 2.5) + least({TF.format('hea')}, 2.5)))::DOUBLE AS score FROM {T} WHERE {has('the')} AND {has('hea')}")(
-    lambda spark, d: documents_index(spark, d).search(Condition("the hea", weights=(5,), scorers=("scorer_tf_at_most($index, 2.5)",)))
+query("score_tf_at_most", f"SELECT doc_id, (5.0 * (least({TF.format('the')}, 2.5) + least({TF.format('ther')}, 2.5)))::DOUBLE AS score FROM {T} WHERE {has('the')} AND {has('ther')}")(
+    lambda spark, d: documents_index(spark, d).search(Condition("the ther", weights=(5,), scorers=("scorer_tf_at_most($index, 2.5)",)))
 )
-query("score_tf_idf", f"WITH t AS {T}, h AS (SELECT doc_id, {TF.format('hea')} AS tf FROM t WHERE {has('hea')}) SELECT doc_id, round(tf * (1.0 + ln((SELECT count(*) FROM documents)::DOUBLE / (SELECT count(*) FROM h))), 6) AS score FROM h")(
-    lambda spark, d: documents_index(spark, d).search(Condition("hea", scorers=("scorer_tf_idf($index)",))).select("doc_id", F.round("score", 6).alias("score"))
+query("score_tf_idf", f"WITH t AS {T}, h AS (SELECT doc_id, {TF.format('ther')} AS tf FROM t WHERE {has('ther')}) SELECT doc_id, round(tf * (1.0 + ln((SELECT count(*) FROM documents)::DOUBLE / (SELECT count(*) FROM h))), 6) AS score FROM h")(
+    lambda spark, d: documents_index(spark, d).search(Condition("ther", scorers=("scorer_tf_idf($index)",))).select("doc_id", F.round("score", 6).alias("score"))
 )
 PARTS = "(SELECT p_partkey, string_split(lower(p_name), ' ') AS n, string_split(lower(p_type), ' ') AS y FROM part)"
 COUNT = "len(list_filter({}, lambda x: x = '{}'))"
@@ -181,20 +182,20 @@ query("fuzzy", f"SELECT doc_id, max(2 - levenshtein(regexp_replace(x, '[^a-z]',
 query("topk_search", f"SELECT doc_id, ({TF.format('the')} + {TF.format('que')})::DOUBLE AS score FROM {T} WHERE {has('the')} OR {has('que')} ORDER BY score DESC, doc_id LIMIT 25")(
     lambda spark, d: documents_index(spark, d).search("the OR que").orderBy(F.desc("score"), "doc_id").limit(25)
 )
-query("search_with_rows", f"SELECT d.doc_id, lang, source, {TF.format('hea')}::DOUBLE AS score FROM documents d JOIN {T} t USING (doc_id) WHERE {has('hea')}")(
-    lambda spark, d: table(spark, d, "documents").join(documents_index(spark, d).search("hea"), "doc_id").select("doc_id", "lang", "source", "score")
+query("search_with_rows", f"SELECT d.doc_id, lang, source, {TF.format('ther')}::DOUBLE AS score FROM documents d JOIN {T} t USING (doc_id) WHERE {has('ther')}")(
+    lambda spark, d: table(spark, d, "documents").join(documents_index(spark, d).search("ther"), "doc_id").select("doc_id", "lang", "source", "score")
 )
 query("search_then_group", f"SELECT lang, count(*) AS n, sum({TF.format('la')})::DOUBLE AS score FROM documents d JOIN {T} t USING (doc_id) WHERE {has('la')} GROUP BY lang")(
     lambda spark, d: table(spark, d, "documents").join(documents_index(spark, d).search("la"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 )
 query("lexicon", f"SELECT x AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS x FROM {T}) GROUP BY x")(lambda spark, d: documents_index(spark, d).lexicon())
-query("similar", f"SELECT doc_id, n::DOUBLE AS score FROM (SELECT doc_id, {' + '.join(f'{has(w)}::INT' for w in ('the', 'hea', 'tion', 'of'))} AS n FROM {T}) WHERE n >= 2")(lambda spark, d: documents_index(spark, d).similar("the hea of tion"))
+query("similar", f"SELECT doc_id, n::DOUBLE AS score FROM (SELECT doc_id, {' + '.join(f'{has(w)}::INT' for w in ('the', 'ther', 'tion', 'of'))} AS n FROM {T}) WHERE n >= 2")(lambda spark, d: documents_index(spark, d).similar("the ther of tion"))
 query("tokens_delimited", "SELECT p_partkey, unnest(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) AS token FROM part")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.explode(tokens_column(F.col("p_name"), Analyzer(tokenizer="TokenDelimit"))).alias("token")))
 query("row_policy", f"SELECT doc_id FROM {T} t JOIN documents d USING (doc_id) WHERE source = 'src1' AND {has('the')}")(
     lambda spark, d: build_index(table(spark, d, "documents").filter("source = 'src1'"), "doc_id", ["text"]).search("the").select("doc_id")
 )
-query("index_union", f"SELECT doc_id FROM {T} WHERE {has('hea')} UNION SELECT doc_id FROM documents WHERE starts_with(lower(text), 'th')")(
-    lambda spark, d: documents_index(spark, d).search("hea").select("doc_id").union(table(spark, d, "documents").filter(P.prefix(text(), "th")).select("doc_id")).distinct()
+query("index_union", f"SELECT doc_id FROM {T} WHERE {has('ther')} UNION SELECT doc_id FROM documents WHERE starts_with(lower(text), 'th')")(
+    lambda spark, d: documents_index(spark, d).search("ther").select("doc_id").union(table(spark, d, "documents").filter(P.prefix(text(), "th")).select("doc_id")).distinct()
 )
 query("count_matches", f"SELECT count(*) AS n FROM {T} WHERE {has('the')}")(lambda spark, d: documents_index(spark, d).search("the").agg(F.count("*").alias("n")))
 query("index_only_range", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000")(lambda spark, d: table(spark, d, "orders").select("o_orderkey").filter(P.compare(F.col("o_orderkey"), ">=", 1000) & P.compare(F.col("o_orderkey"), "<", 5000)))
@@ -222,7 +223,7 @@ def store_append_delete(spark, d):
     return stored(spark, d, change)
 
 
-@query("streaming_index", f"SELECT doc_id, {TF.format('hea')}::DOUBLE AS score FROM {T} WHERE {has('hea')}")
+@query("streaming_index", f"SELECT doc_id, {TF.format('ther')}::DOUBLE AS score FROM {T} WHERE {has('ther')}")
 def streaming_index(spark, d):
     from .streaming.incremental import index_stream
 
@@ -230,7 +231,7 @@ def streaming_index(spark, d):
         rows = spark.readStream.schema(table(spark, d, "documents").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")  # a pattern, so that one file is as good as a folder
         store.create("documents", None, "doc_id", ["text"])
         index_stream(rows, store, "documents", f"{store.path}-progress").awaitTermination()
-        return store.open("documents").search("hea")
+        return store.open("documents").search("ther")
 
     return stored(spark, d, change)
 
@@ -285,7 +286,7 @@ SYNONYMS = [("the", ["le", "der"]), ("of", ["de"])]
 query("query_expand", "SELECT p_partkey, CASE WHEN string_split(p_name, ' ')[1] = 'small' THEN '((tiny) OR (little))' ELSE string_split(p_name, ' ')[1] END || ' ' || CASE WHEN string_split(p_name, ' ')[2] = 'small' THEN '((tiny) OR (little))' ELSE string_split(p_name, ' ')[2] END AS expanded FROM part")(
     lambda spark, d: present.expand_queries(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", spark.createDataFrame([("Small", ["tiny", "little"])], "term string, synonyms array<string>"), "term", "synonyms").select("p_partkey", "expanded")
 )
-query("expanded_search", f"SELECT doc_id FROM {T} WHERE ({has('hea')} OR {has('que')}) AND NOT {has('thtion')}")(lambda spark, d: documents_index(spark, d).search(present.expand_query("word -thtion", {"word": [["hea", "que"]]})).select("doc_id"))
+query("expanded_search", f"SELECT doc_id FROM {T} WHERE ({has('ther')} OR {has('que')}) AND NOT {has('thtion')}")(lambda spark, d: documents_index(spark, d).search(present.expand_query("word -thtion", {"word": [["ther", "que"]]})).select("doc_id"))
 query("extract_keywords", "SELECT unnest(['hea', 'que', 'of the']) AS keyword")(lambda spark, d: spark.createDataFrame([(k,) for k in P.keywords('(hea OR que) -thtion "of the"')], "keyword string"))
 query("result_to_rows", "SELECT * FROM (VALUES (1::BIGINT, 'a', 2.5::DOUBLE), (2, 'b', NULL)) AS t(id, title, score)")(
     lambda spark, d: present.result_rows(spark, '[[0,0.0,0.0],[[[2],[["id","UInt32"],["title","ShortText"],["score","Float"]],[1,"a",2.5],[2,"b",null]]]]')
