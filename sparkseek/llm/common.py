@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
@@ -23,10 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session may have been stopped
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lost executors cannot force the work before it again."""
+    """Write df to the shared folder and read it back: lost executors cannot force the work before it again.
+
+    Tables stand in a folder of the application, which goes when the driver ends, if drop_cut() has not deleted them before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,11 +51,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def drop_cut(*frames: DataFrame) -> None:
     """Delete tables written by cut() that no later step reads."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
 
 
 def n_parts(spark: SparkSession) -> int:

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, forest, n_parts
+from .shingles import LEAST, WIDTH, near_copies
 
 LEAF = 256
 _STEP = 1 << 16
@@ -206,14 +207,18 @@ def near_duplicates(docs: DataFrame, k: int = 2, width: int = 3, id_col: str = "
     return found.join(by_code, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 2, width: int = 3) -> DataFrame:
-    """docs without near duplicates: the rows whose doc_id is their component's smallest, one row of rows that repeat it.
+def keep_one(docs: DataFrame, k: int = 2, width: int = 3, least: float = LEAST, words: int = WIDTH) -> DataFrame:
+    """docs without near duplicates, in the columns of docs: the row of each group that has its smallest doc_id.
 
-    Rows with a null doc_id go if their component has a row with one; columns are those of docs.
+    A group is connected by fingerprints that differ in k or fewer bits and by texts that share `least` of their shingles of so
+    many words. Null, empty and blank texts are one group. Of rows that repeat a doc_id one stays, the first by hash of its text. A
+    row with a null doc_id is known by its text and stays only if its group has no row with an id; of such rows with equal texts
+    one stays. Empty tables give no rows.
     """
-    rows = near_duplicates(docs, k, width)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    kept = rows.filter("doc_id <=> component_id").select(key.alias("__k")).distinct()
-    one = docs.withColumn("__k", key).join(kept, "__k", "left_semi")
-    twice = Window.partitionBy("__k").orderBy(F.xxhash64("text"), F.length("text"))
-    return one.withColumn("__n", F.row_number().over(twice)).filter("__n = 1").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    keyed = docs.withColumn("__k", key)
+    rows = near_duplicates(keyed, k, width, id_col="__k").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = rows.filter("a <> b").unionByName(near_copies(keyed, least, words, id_col="__k"))
+    gone = cut(components(links).filter("node <> root").select(F.col("node").alias("__k")), "gone")
+    one = keyed.groupBy("__k").agg(F.min_by(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.struct(F.xxhash64("text"), F.length("text"))).alias("__r"))
+    return one.join(gone, "__k", "left_anti").select(*[F.col(f"__r.c{i}").alias(c) for i, c in enumerate(docs.columns)])
