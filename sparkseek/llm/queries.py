@@ -32,15 +32,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans: 'start-end@first_doc_id' of each span that goes, in bytes of the text."""
     from .suffixes import repeated_spans
 
-    return repeated_spans(_table(spark, sf_dir, "documents"))
+    each = F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit("@"), F.coalesce(s["first_doc_id"].cast("string"), F.lit("null"))))
+    return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_spans").cast("long").alias("n_spans"), "n_bytes", F.array_join(each, " ").alias("spans"))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """removed: 'start-end@first_doc_id:first_unit' of each line that goes, in characters of the original text."""
     from .lines import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents"))
+    each = F.transform("removed", lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit("@"), F.coalesce(s["first_doc_id"].cast("string"), F.lit("null")), F.lit(":"), s["first_unit"]))
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), F.array_join(each, " ").alias("removed"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,43 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents"))
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPANS_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM t),
+v AS (SELECT doc_id, i, piece, coalesce(sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM u),
+w AS (SELECT doc_id, start, start + strlen(piece) AS stop, {_FOLD.format("piece")} AS word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM v WHERE regexp_matches(piece, '^[^\x20\x09-\x0D]')),
+x AS (SELECT doc_id, start, lead(stop, 49) OVER (PARTITION BY doc_id ORDER BY k) AS stop, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS words FROM w),
+f AS (SELECT words, min({{'doc': doc_id, 'start': start}}) AS first FROM x WHERE stop IS NOT NULL GROUP BY words HAVING count(*) > 1),
+g AS (SELECT doc_id, start, stop, first.doc AS first FROM x JOIN f USING (words) WHERE stop IS NOT NULL AND (doc_id <> first.doc OR start <> first.start)),
+m AS (SELECT *, start > coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM g),
+n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS span FROM m),
+s AS (SELECT doc_id, min(start) AS a, max(stop) AS b, min(first) AS first FROM n GROUP BY doc_id, span)
+SELECT d.doc_id, count(s.a)::BIGINT AS n_spans, coalesce(sum(b - a), 0)::BIGINT AS n_bytes, coalesce(string_agg(a || '-' || b || '@' || first, ' ' ORDER BY a), '') AS spans
+FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+LINES_SQL = rf"""
+WITH u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS unit FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+v AS (SELECT doc_id, unit, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, regexp_extract_all({_FOLD.format("line")}, '[^\x20\x09-\x0D]+') AS words FROM u),
+f AS (SELECT words, min({{'doc': doc_id, 'unit': unit}}) AS first FROM v WHERE len(words) >= 3 GROUP BY words),
+k AS (SELECT v.*, first, len(v.words) >= 3 AND (doc_id <> first.doc OR unit <> first.unit) AS gone FROM v LEFT JOIN f ON v.words = f.words)
+SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') END AS text, count(unit)::BIGINT AS n_units, (count(*) FILTER (gone))::BIGINT AS n_removed,
+  coalesce(string_agg(start || '-' || (start + length(line)) || '@' || first.doc || ':' || first.unit, ' ' ORDER BY unit) FILTER (gone), '') AS removed
+FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""
+
+LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+l AS (SELECT a AS vec_id, min(b) AS low FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN l USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_simhash, op2_suffixes, op3_mixing, op4_sentencepiece, op5_hashing, op6_lines, op7_token_counts, op8_graph, op9_quality, op10_sharding)
     return {f.__name__: f for f in own}
@@ -81,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .mixing import MIX_SQL
 
-    return {"op3_mixing": MIX_SQL}
+    return {"op2_suffixes": SPANS_SQL, "op3_mixing": MIX_SQL, "op6_lines": LINES_SQL, "op8_graph": LINKS_SQL}
