@@ -13,7 +13,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near copies."""
+    """The document of least doc_id of each group of near copies, by fingerprints and by five-word shingles."""
     return simhash.keep_one(docs)
 
 

@@ -1,8 +1,8 @@
 """Token indexes: postings built once, searched by token, with phrases, prefixes, fuzzy terms, sections, weights and scores.
 
 Postings are rows (token, doc_id, section, position) in token order, so that a search reads the row groups of its tokens alone and
-shuffles nothing but their hits, by document. What a query brings (its tokens) is a literal relation of as many rows as it has
-words, and is the only thing broadcast.
+shuffles nothing but their hits, by document. What a query brings, its tokens, is literals of the plan; no join is needed to find
+which word a posting stands for.
 """
 
 from __future__ import annotations
@@ -61,7 +61,6 @@ class TokenIndex:
 
     def keyword_hits(self, wanted: list[Leaf], fuzzy: float | None = None, loose: bool = False) -> DataFrame:
         """(doc_id, section, leaf, tf[, bonus]) of each leaf's occurrences."""
-        spark = self.postings.sparkSession
         rows, any_token = [], []
         for n, x in enumerate(wanted):
             tokens = query_terms(x.text, self.analyzer)
@@ -75,16 +74,19 @@ class TokenIndex:
             return self.documents.select("doc_id", F.lit(0).alias("section"), F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("bonus")).limit(0)
         some = self.postings.filter(_any(any_token))
         if len(rows) == 1:  # one token: no positions to compare
-            _, _, _, t, _, reach = rows[0]
-            bonus = F.max(F.lit(reach) - F.levenshtein("token", F.lit(t)) + 1) if reach else F.lit(0)
-            return some.groupBy("doc_id", "section").agg(F.count("*").alias("tf"), F.first(F.lit(0)).alias("leaf") if not reach else F.lit(0).alias("leaf"), bonus.cast("long").alias("bonus")).select("doc_id", "section", "leaf", "tf", "bonus")
-        terms = spark.createDataFrame(rows, "leaf int, k int, n int, want string, start boolean, reach int")
-        token, want = F.col("token"), F.col("want")
-        meets = F.when(F.col("reach") > 0, F.levenshtein(token, want) <= F.col("reach")).when(F.col("start"), token.startswith(want)).otherwise(token == want)
-        hits = some.join(F.broadcast(terms), meets)  # as many rows as the query has words
-        bonus = F.max(F.when(F.col("reach") > 0, F.col("reach") - F.levenshtein(token, want) + 1).otherwise(0))
-        runs = hits.groupBy("doc_id", "section", "leaf", "n", (F.col("position") - F.col("k")).alias("at")).agg(F.count_distinct("k").alias("have"), bonus.alias("bonus"))
-        return runs.filter("have = n").groupBy("doc_id", "section", "leaf").agg(F.count("*").alias("tf"), F.max("bonus").cast("long").alias("bonus"))
+            n, _, _, t, _, reach = rows[0]
+            bonus = F.max(F.lit(reach) - F.levenshtein("token", F.lit(t)) + 1) if reach else F.max(F.lit(0))
+            return some.groupBy("doc_id", "section").agg(F.count("*").alias("tf"), bonus.cast("long").alias("bonus")).select("doc_id", "section", F.lit(n).alias("leaf"), "tf", "bonus")
+        each, nth = [], 0  # what a posting stands for: some words of the query, each at its place in its phrase
+        for i, ((n, k, size, t, _, reach), meets) in enumerate(zip(rows, any_token)):
+            nth = nth + 1 if i and rows[i - 1][0] == n else 0
+            bonus = F.lit(reach) - F.levenshtein("token", F.lit(t)) + 1 if reach else F.lit(0)
+            each.append(F.when(meets, F.struct(F.lit(n).alias("leaf"), F.lit(k).alias("k"), F.lit(size).alias("n"), F.lit(nth).alias("nth"), bonus.cast("long").alias("bonus"))))
+        hits = some.select("doc_id", "section", "position", F.explode(F.array_compact(F.array(*each))).alias("hit")).select("doc_id", "section", "position", "hit.*")
+        # the words of a phrase as bits, so that one shuffle tells whether all are there
+        have = F.bit_count(F.bit_or(F.expr("shiftleft(1L, nth)"))) if max(r[2] for r in rows) < 64 else F.count_distinct("nth")
+        runs = hits.groupBy("doc_id", "section", "leaf", "n", (F.col("position") - F.col("k")).alias("at")).agg(have.alias("have"), F.max("bonus").alias("bonus"))
+        return runs.filter("have = n").groupBy("doc_id", "section", "leaf").agg(F.count("*").alias("tf"), F.max("bonus").alias("bonus"))
 
     def search(self, query, conf: EngineConf = EngineConf(), loose: bool = False) -> DataFrame:
         """(doc_id, score) of the documents for which the query holds. query: text or a Condition.

@@ -154,9 +154,8 @@ def query_tokens_of(col: Column, q, a: Analyzer = FULL_TEXT) -> Column:
     text, weights = _unpack(q)
     if not text or not text.strip() or _off(weights):
         return _never(col)
-    tokens = tokens_column(col, a)
 
-    def leaf(x: Leaf) -> Column:
+    def leaf(tokens: Column, x: Leaf) -> Column:
         want = query_terms(x.text, a)
         if not want:
             return F.lit(False)
@@ -168,7 +167,9 @@ def query_tokens_of(col: Column, q, a: Analyzer = FULL_TEXT) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
         return _yes(F.exists(places, lambda i: reduce(lambda x, y: x & y, [at(i, k) for k in range(len(want))])))
 
-    return _yes(query_condition(text, leaf, a.query_allow_column)) & col.isNotNull()
+    # one array of one array of tokens, so that a row's tokens are made once
+    holds = F.exists(F.array(tokens_column(col, a)), lambda tokens: query_condition(text, lambda x: leaf(tokens, x), a.query_allow_column))
+    return _yes(holds) & col.isNotNull()
 
 
 def query_any(col: Column, queries: Iterable[str | None], a: Analyzer = FULL_TEXT) -> Column:

@@ -132,6 +132,19 @@ def select_command(spark, d):
     return select(table(spark, d, "part"), filter="p_size > 20", match_columns="p_name", query="e", output_columns="p_partkey, p_name", sort_keys="-p_retailprice,p_partkey", offset=5, limit=20)
 
 
+@query("command_answer", "SELECT p_partkey, p_name FROM part WHERE p_size > 40 AND contains(lower(p_name), 'bolt') ORDER BY p_partkey LIMIT 30")
+def command_answer(spark, d):
+    from .sources.command import command
+
+    answer = command(spark, {"Parts": table(spark, d, "part")}, "select Parts --match_columns p_name --query bolt --output_columns p_partkey,p_name --sort_keys p_partkey", ["filter", "p_size > 40", "limit", "30"])
+    return present.result_rows(spark, answer)
+
+
+READINGS = ("ポストグレス", "グルンガ", "ピージールンガ", "ピージーロジカル", "キャッチ", "シャシン", "ハッピ")
+query("prefix_romaji", "SELECT * FROM (VALUES ('ピージールンガ'), ('ピージーロジカル'), ('ポストグレス'), ('シャシン')) AS t(reading)")(
+    lambda spark, d: spark.createDataFrame([(r,) for r in READINGS], "reading string").filter(P.prefix_romaji_any(F.col("reading"), ["p", None, "しゃ"])).select("reading")
+)
+
 # token indexes
 def documents_index(spark, d, analyzer=Analyzer()):
     return build_index(table(spark, d, "documents"), "doc_id", ["text"], analyzer)
@@ -191,6 +204,10 @@ query("search_then_group", f"SELECT lang, count(*) AS n, sum({TF.format('la')}):
 query("lexicon", f"SELECT x AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS x FROM {T}) GROUP BY x")(lambda spark, d: documents_index(spark, d).lexicon())
 query("similar", f"SELECT doc_id, n::DOUBLE AS score FROM (SELECT doc_id, {' + '.join(f'{has(w)}::INT' for w in ('the', 'ther', 'tion', 'of'))} AS n FROM {T}) WHERE n >= 2")(lambda spark, d: documents_index(spark, d).similar("the ther of tion"))
 query("tokens_delimited", "SELECT p_partkey, unnest(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) AS token FROM part")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.explode(tokens_column(F.col("p_name"), Analyzer(tokenizer="TokenDelimit"))).alias("token")))
+query("index_text_key", "SELECT c_name AS doc_id, 1.0::DOUBLE AS score FROM customer WHERE lower(c_mktsegment) = 'building'")(lambda spark, d: build_index(table(spark, d, "customer"), "c_name", ["c_mktsegment"]).search("building"))
+query("index_array", f"SELECT p_partkey AS doc_id FROM part WHERE list_contains({LIST}, 'small') AND NOT list_contains({LIST}, 'ring')")(
+    lambda spark, d: build_index(table(spark, d, "part").select("p_partkey", WORDS().alias("words")), "p_partkey", ["words"]).search("small -ring").select("doc_id")
+)
 query("row_policy", f"SELECT doc_id FROM {T} t JOIN documents d USING (doc_id) WHERE source = 'src1' AND {has('the')}")(
     lambda spark, d: build_index(table(spark, d, "documents").filter("source = 'src1'"), "doc_id", ["text"]).search("the").select("doc_id")
 )
@@ -223,6 +240,17 @@ def store_append_delete(spark, d):
     return stored(spark, d, change)
 
 
+@query("store_vacuum", f"SELECT p_partkey AS doc_id FROM {PARTS} WHERE list_contains(n, 'small') AND list_contains(n, 'ring') AND p_partkey % 10 <> 3")
+def store_vacuum(spark, d):
+    def change(store, part):
+        store.create("parts", part, "p_partkey", ["p_name"])
+        store.delete("parts", part.filter("p_partkey % 10 = 3").select("p_partkey"))
+        store.vacuum("parts")
+        return store.open("parts").search("small ring").select("doc_id")
+
+    return stored(spark, d, change)
+
+
 @query("streaming_index", f"SELECT doc_id, {TF.format('ther')}::DOUBLE AS score FROM {T} WHERE {has('ther')}")
 def streaming_index(spark, d):
     from .streaming.incremental import index_stream

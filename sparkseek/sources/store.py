@@ -60,7 +60,7 @@ class IndexStore:
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(manifest | {"version": version, "changed": time.time()}).encode()))
         stream.close()
-        if self._fs.exists(final):
+        if version <= max(self._versions(name), default=0):
             self._fs.delete(draft, False)
             return False
         rename = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -175,6 +175,14 @@ class IndexStore:
             if stale or n not in named and (n in gone or late and not n.startswith("manifest-")):
                 self._fs.delete(status.getPath(), True)
 
+    def truncate(self, name: str) -> int:
+        """Drop manifests before the newest; how many went. Readers that have opened an older one keep their files until vacuum()."""
+        self._check()
+        old = self._versions(name)[:-1]
+        for v in old:
+            self._fs.delete(self._p(f"{self.path}/{name}/manifest-{v}.json"), False)
+        return len(old)
+
     def names(self) -> list[str]:
         if not self._fs.exists(self._p(self.path)):
             return []

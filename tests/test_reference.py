@@ -344,6 +344,7 @@ def test_store(spark, memos, tmp_path):
         store.create("m", None, "id", ["content"])
     before = store._read("m")
     store.append("m", memos.filter("id = 2"))
+    assert store.truncate("m") > 0 and store.truncate("m") == 0
     assert not store._write("m", before)  # another writer has taken the number
     store.delete("m", spark.createDataFrame([(1,)], "id long"))
     store.vacuum("m")
