@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,23 +62,42 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.score.values(), default=0.0) - 10.0
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.letters = {c for p in self.ids if len(p) > 1 for c in p}
+        #: Characters that stand in pieces but are none themselves.
+        self.inner = {c for p in self.ids if len(p) > 1 for c in p if c not in self.ids}
+        self.packed = [np.int32(i).tobytes() for i in range(len(spec.pieces))]
         #: What each id adds to a text; bytes over 127 as lone surrogates until they are joined.
         self.shown = ["" if k == 3 else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds)]
         for i, b in self.byte_of.items():
             self.shown[i] = bytes([b]).decode("utf-8", "surrogateescape")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.pair_ids: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        if self.bpe:  # a piece that merging never makes takes no part
-            self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
-
-    def merged(self, text: str) -> list[str]:
-        """Merging as defined: the best-scored neighbours that make a piece, leftmost first, until there are none."""
+        #: By piece id, which piece ids may stand after it; n_follow counts what is known.
+        self.follow: dict[int, dict[int, bool]] = {}
+        self.n_follow = 0
+        self.memo: dict[str, bytes] = {}
+        if self.bpe:
+            self._split()
+
+    def _split(self) -> None:
+        """How merging makes each piece: the two pieces of its last merge. A piece that merging never makes takes no part."""
+        self.halves: dict[str, tuple[str, str]] = {}
+        score = self.score
+        for p in [p for p in self.ids if len(p) > 1]:
+            parts = self.merged(p, 2)
+            if len(parts) == 2:
+                self.halves[p] = (parts[0], parts[1])
+            else:
+                del self.ids[p]
+        #: Pieces made by merges whose scores fall from each to the next; others, such as long runs of spaces, are merged in full.
+        self.orderly: set[str] = {p for p in self.ids if len(p) == 1}
+        for p in sorted(self.halves, key=len):
+            if all(x in self.orderly and (len(x) == 1 or score[x] > score[p]) for x in self.halves[p]):
+                self.orderly.add(p)
+
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """Merging as defined: the best-scored neighbours that make a piece, leftmost first, until there are none, or `least` parts."""
         get, none = self.score.get, float("-inf")
         parts = list(text)
         scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > none:
+        while len(parts) > least and (best := max(scores)) > none:
             i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del scores[i]
@@ -90,13 +108,29 @@ class Model:
         return parts
 
     def lasting(self, left: str, right: str) -> bool:
-        """Whether merging leaves the two pieces side by side."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return found
+        """Whether merging leaves the two pieces side by side.
+
+        Where scores fall with each merge, merges come in the order of their scores. Two pieces then, the one at the right edge of
+        what is left so far, the other at the left edge of what is right, join if they make a piece that comes before the next merge
+        of either; the left one comes first if both make the same. Otherwise merging is done.
+        """
+        if left not in self.orderly or right not in self.orderly:
+            return left + right not in self.score and self.merged(left + right) == [left, right]
+        score, halves, least = self.score, self.halves, float("-inf")
+        x, y, next_x, next_y = left, right, least, least  # the pieces at the edge, and the scores of the merges that make more of them
+        while True:
+            joined = score.get(x + y)
+            if joined is not None and joined > next_x and joined >= next_y:
+                return False
+            # go back in time: undo the later of the merges that made x and y, that at the right if both are alike
+            at_x = score[x] if len(x) > 1 else None
+            at_y = score[y] if len(y) > 1 else None
+            if at_x is None and at_y is None:
+                return True
+            if at_y is None or at_x is not None and at_x < at_y:
+                x, next_x = halves[x][1], at_x
+            else:
+                y, next_y = halves[y][0], at_y
 
     def to_ids(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -201,60 +235,79 @@ def encode_stream(model: Model, escaped: Iterable[str]) -> Iterator[list[int]]:
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-def _chunk_ids(m: Model, chunk: str) -> tuple[int, ...]:
-    """Ids of one chunk. Short chunks of a BPE model take the same recurrence over their few boundaries at once."""
-    ids, n = m.ids, len(chunk)
-    if not m.bpe or n > 64 or any(c not in ids and c in m.letters for c in chunk):
-        return tuple(i for part in encode_stream(m, [chunk]) for i in part)
-    if chunk in ids:
-        return (ids[chunk],)
-    last, begin, pairs, longest = [-1] * (n + 1), [0] * (n + 1), m.pair_ids, m.longest
-    for end in range(1, n + 1):
-        for at in range(end - 1, max(-1, end - 1 - longest), -1):  # one path at most is valid, and its last piece is short as a rule
-            piece = ids.get(chunk[at:end])
-            if piece is None:
-                if at < end - 1:
-                    continue
-                piece = -1  # a character that no piece has: any path may end here, and the next piece begins anew
+def _sorted_ids(m: Model, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+    """Ids of chunks, as bytes of 32-bit numbers. Short ones of a BPE model take the same recurrence over their few boundaries at once; what it finds of a prefix
+    holds for every chunk that begins so, and in sorted order the next chunk goes on from what it shares with the one before."""
+    ids, longest, lasting, pieces, follow, packed = m.ids, m.longest, m.lasting, m.pieces, m.follow, m.packed
+    known, last, begin, allowed = "", [-1] * 65, [0] * 65, [{}] * 65
+    for chunk in sorted(chunks):
+        n = len(chunk)
+        if chunk in ids:
+            yield chunk, packed[ids[chunk]]
+            continue
+        if not m.bpe or n > 64 or not m.inner.isdisjoint(chunk):
+            yield chunk, b"".join([packed[i] for part in encode_stream(m, [chunk]) for i in part])
+            continue
+        shared = 0
+        for c, d in zip(known, chunk):
+            if c != d:
                 break
-            before = last[at]
-            if before < 0:
-                if at == 0 or begin[at] == at - 1:
+            shared += 1
+        known = chunk
+        for end in range(shared + 1, n + 1):
+            for at in range(end - 1, max(-1, end - 1 - longest), -1):  # one path at most is valid, and its last piece is short as a rule
+                piece = ids.get(chunk[at:end])
+                if piece is None:
+                    if at < end - 1:
+                        continue
+                    piece = -1  # a character that no piece has: any path may end here, and the next piece begins anew
                     break
-                continue
-            key = before << 20 | piece
-            ok = pairs.get(key)
-            if ok is None:
-                if len(pairs) >= MEMO:
-                    pairs.clear()
-                a, b = m.pieces[before], m.pieces[piece]
-                ok = pairs[key] = a + b not in ids and m.merged(a + b) == [a, b]
-            if ok:
-                break
-        last[end], begin[end] = piece, at
-    out: list[int] = []
-    while n:
-        out += (last[n],) if last[n] >= 0 else m.to_ids(chunk[begin[n] : n])[::-1]
-        n = begin[n]
-    return tuple(out[::-1])
+                before = last[at]
+                if before < 0:
+                    if at == 0 or begin[at] == at - 1:
+                        break
+                    continue
+                ok = allowed[at].get(piece)
+                if ok is None:
+                    if m.n_follow >= MEMO:
+                        follow.clear()
+                        m.n_follow = 0
+                        allowed[1 : end] = [follow.setdefault(p, {}) if p >= 0 else {} for p in last[1:end]]
+                    m.n_follow += 1
+                    ok = allowed[at][piece] = lasting(pieces[before], pieces[piece])
+                if ok:
+                    break
+            last[end], begin[end] = piece, at
+            allowed[end] = follow.setdefault(piece, {}) if piece >= 0 else {}
+        out: list[bytes] = []
+        while n:
+            out.append(packed[last[n]] if last[n] >= 0 else b"".join([packed[i] for i in m.to_ids(chunk[begin[n] : n])]))
+            n = begin[n]
+        yield chunk, b"".join(out[::-1])
 
 
-def encode(model: Model, text: str) -> np.ndarray:
-    """Ids of a text, as the library gives them without begin and end ids."""
+def encode_all(model: Model, texts: list[str]) -> list[np.ndarray]:
+    """Ids of texts, as the library gives them without begin and end ids."""
     if not model.chunked or not model.prefix:
-        return np.fromiter((i for ids in encode_stream(model, [model.escape(text)]) for i in ids), np.int32)
-    memo = model.memo
-    if len(memo) >= MEMO:
+        return [np.fromiter((i for ids in encode_stream(model, [model.escape(t)]) for i in ids), np.int32) for t in texts]
+    memo, parts = model.memo, []
+    for t in texts:
+        if SPACE in t or "  " in t or t[:1] in ("", " ") or t[-1] == " ":
+            parts.append([c[1:] if c[0] == SPACE and c[1:2] not in ("", SPACE) else SPACE + c for c in _CHUNK.findall(model.escape(t))])
+        else:  # each word follows one space, which the keys of remembered chunks leave out
+            parts.append(t.split(" "))
+    new = set().union(*parts)
+    if len(memo) + len(new) > MEMO:
         memo.clear()
-    if SPACE in text or "  " in text or text[:1] in ("", " ") or text[-1] == " ":
-        chunks = _CHUNK.findall(model.escape(text))
-    else:  # each word follows one space
-        chunks = text.split(" ")
-        for c in set(chunks).difference(memo):
-            memo[c] = _chunk_ids(model, SPACE + c)
-        return np.fromiter(chain.from_iterable(map(memo.__getitem__, chunks)), np.int32)
-    found = {c: _chunk_ids(model, c) for c in set(chunks)}
-    return np.fromiter(chain.from_iterable(map(found.__getitem__, chunks)), np.int32)
+    new.difference_update(memo)
+    chunk_of = {k[1:] if k[:1] == SPACE else SPACE + k: k for k in new}
+    for chunk, ids in _sorted_ids(model, chunk_of):
+        memo[chunk_of[chunk]] = ids
+    return [np.frombuffer(b"".join(map(memo.__getitem__, keys)), np.int32) for keys in parts]
+
+
+def encode(model: Model, text: str) -> np.ndarray:
+    return encode_all(model, [text])[0]
 
 
 def decode(model: Model, ids: Iterable[int]) -> str:
@@ -287,10 +340,10 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_text: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = worker_model(tokenizer_path(model))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column(1).to_pylist()
-                ids = [encode(m, t or "") for t in texts]
+                ids = encode_all(m, [t or "" for t in texts])
                 flat = np.concatenate(ids)
                 ends = np.cumsum([0, *map(len, ids)])
                 back = [decode(m, x.tolist()) for x in ids]

@@ -147,6 +147,17 @@ def test_streaming_equals_the_library():
         assert sentencepieces.decode(m, want) == sp.decode(want)
 
 
+def test_lasting_pairs_are_those_that_merging_leaves():
+    m, rng = sentencepieces.Model(sentencepieces.tokenizer_path()), random.Random(6)
+    pieces = sorted(m.ids)
+    short = [p for p in pieces if len(p) <= 3 and p.isascii()]
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(4000)] + [(rng.choice(short), rng.choice(short)) for _ in range(6000)]
+    for p in rng.sample([p for p in pieces if len(p) > 3], 3000):  # near misses: a piece cut anywhere
+        k = rng.randrange(1, len(p))
+        pairs += [(a, b) for a, b in ((p[:k], p[k:]), (p[:k], p[k:] + "s"), ("a" + p[:k], p[k:])) if a in m.ids and b in m.ids]
+    assert all(m.lasting(a, b) == (m.merged(a + b) == [a, b]) for a, b in pairs) and len(m.orderly) > 31_000
+
+
 def test_streaming_commits_early_and_keeps_a_window():
     m = sentencepieces.Model(sentencepieces.tokenizer_path())
     s = sentencepieces.Streaming(m)
@@ -246,8 +257,10 @@ def test_pigeonhole_probing_finds_all():
 
 
 def test_embedding_duplicates(spark, monkeypatch):
-    rows, df = vectors(spark)
-    good = {i: (np.array(v, float), lab) for i, v, lab, _ in rows if i is not None and usable(v) and lab is not None}
+    rows, _ = vectors(spark)
+    rows += [(3000 + i, rows[17][1], rows[17][2], 0.1) for i in range(700)] + [(4000 + i, [1.0, 2.0], 1, 0.1) for i in range(3)]  # one very common vector; vectors of another length
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double").repartition(3)
+    good = {i: (np.array(v, float), lab) for i, v, lab, _ in rows if i is not None and usable(v) and lab is not None and len(v) == 16}
     ids = sorted(good)
     x = np.array([good[i][0] for i in ids])
     x /= np.linalg.norm(x, axis=1)[:, None]
