@@ -7,7 +7,8 @@ edges count in both directions, and each vector has an edge to the shard's medoi
 search then expands while vectors stay within SLACK of the threshold; whatever it reaches is verified in double precision. The
 links of all shards are united: a pair that meets in both of its shards is counted in the lower one.
 
-A shard over BLOCK vectors, one of a third of all rows for example, is cut by hash into blocks, and each pair of its blocks is one
+Equal vectors of a label are one from the start, with a number of copies, so that a very common one costs no more than any other.
+A shard over BLOCK vectors is cut by hash into blocks, and each pair of its blocks is one
 group, which counts the pairs across. Links leave a group as a count for each vector and a forest, never as pairs.
 
 Shards are small, so that candidates come from comparing a shard's vectors among themselves: that finds all the near ones, which a
@@ -94,8 +95,8 @@ def pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.r_[a, rows], np.r_[b, np.full(m, medoid)], np.r_[s, x @ x[medoid]]
 
 
-def links(ids: np.ndarray, x: np.ndarray, part: np.ndarray, other: np.ndarray, shard: int, across: bool, least: float):
-    """(ids with links, how many count here, roots): links of one group."""
+def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray, other: np.ndarray, shard: int, across: bool, least: float):
+    """(ids with links, how many count here, roots): links of one group; each vector stands for so many copies."""
     a, b, s = pruned(x)
     near = s >= least - SLACK
     node, root = forest(a[near], b[near])  # what the expansion reaches from each node
@@ -115,7 +116,7 @@ def links(ids: np.ndarray, x: np.ndarray, part: np.ndarray, other: np.ndarray, s
             mine = on & ~((other[i][:, None] == other[reached][None, :]) & (other[i][:, None] >= 0) & (other[i][:, None] < shard))
             if across:
                 mine &= part[i][:, None] != part[reached][None, :]
-            count[i] += mine.sum(axis=1)
+            count[i] += mine @ copies[reached]
             p, q = np.nonzero(on)
             p, q = forest(i[p], reached[q])
             ea.append(p)
@@ -138,14 +139,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), kept_type(vectors, vector_col).alias("v"))
     once = rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min_by(F.struct("label", "v"), F.xxhash64("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
     once = cut(once, "vectors")
-    good = once.filter(usable(F.col("v")) & F.col("label").isNotNull())
-    sample = sample_of(good, SAMPLE, "label", "v")
+    good = once.filter(usable(F.col("v")) & F.col("label").isNotNull()).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v"))
+    key = ["label", "h1", "h2"]
+    sets = cut(good.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")), "sets")
+    sample = sample_of(sets, SAMPLE, "label", "v")
     every = once.select("vec_id").unionByName(rows.filter("vec_id is null").select("vec_id"))
     if not sample:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     d = len(sample[0].v)
-    good = good.filter(F.size("v") == d)
-    of = centroids([(r.label, r.v) for r in sample if len(r.v) == d], good.count())
+    alike = sets.filter(F.size("v") == d)
+    of = centroids([(r.label, r.v) for r in sample if len(r.v) == d], alike.count())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector in its shards; other is the shard it also is in, or -1."""
@@ -163,12 +166,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
             for j in (0, 1):
                 at = np.flatnonzero(two[:, j] >= 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.array(label[at]), pa.array(two[at, j].astype(np.int32)), pa.array(two[at, 1 - j].astype(np.int32)), batch.column(2).take(pa.array(at))],
-                    ["vec_id", "label", "shard", "other", "v"],
+                    [batch.column(0).take(pa.array(at)), pa.array(label[at]), pa.array(two[at, j].astype(np.int32)), pa.array(two[at, 1 - j].astype(np.int32)), batch.column(2).take(pa.array(at)), batch.column(3).take(pa.array(at))],
+                    ["vec_id", "label", "shard", "other", "v", "copies"],
                 )
 
-    kind = good.schema["v"].dataType.simpleString()
-    placed = cut(good.select("vec_id", "label", "v").mapInArrow(place, f"vec_id long, label long, shard int, other int, v {kind}"), "placed")
+    kind = sets.schema["v"].dataType.simpleString()
+    placed = cut(alike.select("vec_id", "label", "v", "copies").mapInArrow(place, f"vec_id long, label long, shard int, other int, v {kind}, copies long"), "placed")
     blocks = placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     keyed = lambda df: df.withColumn("k", F.col("label").bitwiseXOR(F.lit(1))).drop("label")
     dealt = keyed(placed).join(keyed(blocks), ["k", "shard"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
@@ -177,13 +180,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         ids, x = t.column("vec_id").to_numpy(), unit(matrix(t.column("v").combine_chunks()))
-        found = links(ids, x, t.column("part").to_numpy(), t.column("other").to_numpy(), key[1].as_py(), key[2].as_py() != key[3].as_py(), least)
+        found = links(ids, x, t.column("copies").to_numpy(), t.column("part").to_numpy(), t.column("other").to_numpy(), key[1].as_py(), key[2].as_py() != key[3].as_py(), least)
         return pa.table([pa.array(f) for f in found], names=["vec_id", "n", "root"])
 
-    found = cut(dealt.select("k", "shard", "lo", "hi", "vec_id", "part", "other", "v").groupBy("k", "shard", "lo", "hi").applyInArrow(run, "vec_id long, n long, root long"), "links")
+    found = cut(dealt.select("k", "shard", "lo", "hi", "vec_id", "part", "other", "v", "copies").groupBy("k", "shard", "lo", "hi").applyInArrow(run, "vec_id long, n long, root long"), "links")
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("vec_id"), "root")
     n = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    out = every.join(n, "vec_id", "left").join(roots, "vec_id", "left")
+    # what holds for one vector of a set of copies holds for all, and each has links to the others
+    of_set = sets.join(n, "vec_id", "left").join(roots, "vec_id", "left")
+    same = F.when(F.size("v") == d, F.col("copies") - 1).otherwise(0)
+    of_set = of_set.select(*key, (F.coalesce("n", F.lit(0)) + same).alias("n"), F.when(F.size("v") == d, F.coalesce("root", "vec_id")).alias("root"))
+    again = lambda df: df.withColumn("j", F.col("h1").bitwiseXOR(F.lit(1))).drop("h1")  # noqa: E731  dealt anew, so that a very common vector can be split
+    linked = again(good.select("vec_id", *key)).join(again(of_set), ["j", "label", "h2"]).select("vec_id", "n", "root")
+    out = every.join(linked, "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
@@ -191,12 +200,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
 def recall(vectors: DataFrame, found: DataFrame, least: float = 0.93, queries: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> float:
     """Audit: the share of a bounded number of vectors' true links that found's n_links has, by comparing those with all rows.
 
-    The vectors audited are the first by hash that have a link by either count, so that the figure is about links.
+    The vectors audited are the first by hash that have a link by either count, so that the figure is about links. Vectors of
+    another length than most of them are left out.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
     picked = rows.join(found.filter("n_links > 0").select("vec_id"), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id")).limit(queries).unionByName(rows.orderBy(F.xxhash64("vec_id", F.lit(2))).limit(queries)).dropDuplicates(["vec_id"]).collect()
     if not picked:
         return 1.0
+    sizes = [len(r.v) for r in picked]
+    d = max(set(sizes), key=sizes.count)
+    picked, rows = [r for r in picked if len(r.v) == d], rows.filter(F.size("v") == d)
     q = np.array([r.v for r in picked])
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     ids, labels = np.array([r.vec_id for r in picked]), np.array([r.label for r in picked])
