@@ -359,6 +359,23 @@ def test_store(spark, memos, tmp_path):
         store.open("m")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, memos, tmp_path):
+    """Words reach the scan of the postings, a phrase takes one shuffle, and predicates of a scan run no Python."""
+    store = IndexStore(spark, f"file://{tmp_path}/s")
+    store.create("m", memos, "id", ["content"])
+    plan = plan_of(store.open("m").search("rustle OR uses"))
+    assert "EqualTo(token,rustle)" in plan and "EqualTo(token,uses)" in plan and "Join" not in plan
+    assert plan_of(store.open("m").search('"full text search"')).count("Exchange") <= 2
+    for c in (P.query(C(), "(a OR b) -c d*"), P.query_tokens_of(C(), '"a b" c'), P.regexp(C(), "a.b"), P.prefix(C(), "x"), P.not_prefix_any(C(), ["x"]), P.equal(C(), "y")):
+        assert "Python" not in plan_of(memos.filter(c))
+    memos.write.parquet(f"{tmp_path}/t")
+    assert "GreaterThanOrEqual(id,2)" in plan_of(spark.read.parquet(f"{tmp_path}/t").filter(P.compare(F.col("id"), ">=", 2)))
+
+
 def test_sql_functions(spark):
     from sparkseek.functions.sql import register
 
