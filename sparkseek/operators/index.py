@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,8 +60,8 @@ class TokenIndex:
         each = self.postings.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
         return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
-    def keyword_hits(self, wanted: list[Leaf], fuzzy: float | None = None, loose: bool = False) -> DataFrame:
-        """(doc_id, section, leaf, tf[, bonus]) of each leaf's occurrences."""
+    def _words(self, wanted: list[Leaf], fuzzy: float | None, loose: bool) -> tuple[list[tuple], list[Column]]:
+        """The tokens of leaves, (leaf, place, how many the leaf has, token, whether a prefix, edits allowed), and what meets each."""
         rows, any_token = [], []
         for n, x in enumerate(wanted):
             tokens = query_terms(x.text, self.analyzer)
@@ -70,6 +71,11 @@ class TokenIndex:
                 rows.append((n, k, len(tokens), t, start, reach))
                 token = F.col("token")
                 any_token.append(F.levenshtein(token, F.lit(t)) <= reach if reach else token.startswith(t) if start else token == t)
+        return rows, any_token
+
+    def keyword_hits(self, wanted: list[Leaf], fuzzy: float | None = None, loose: bool = False) -> DataFrame:
+        """(doc_id, section, leaf, tf, bonus) of each leaf's occurrences; rows of a document stand in one partition."""
+        rows, any_token = self._words(wanted, fuzzy, loose)
         if not rows:
             return self.documents.select("doc_id", F.lit(0).alias("section"), F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("bonus")).limit(0)
         some = self.postings.filter(_any(any_token))
@@ -83,7 +89,8 @@ class TokenIndex:
             bonus = F.lit(reach) - F.levenshtein("token", F.lit(t)) + 1 if reach else F.lit(0)
             each.append(F.when(meets, F.struct(F.lit(n).alias("leaf"), F.lit(k).alias("k"), F.lit(size).alias("n"), F.lit(nth).alias("nth"), bonus.cast("long").alias("bonus"))))
         hits = some.select("doc_id", "section", "position", F.explode(F.array_compact(F.array(*each))).alias("hit")).select("doc_id", "section", "position", "hit.*")
-        # the words of a phrase as bits, so that one shuffle tells whether all are there
+        hits = hits.repartition("doc_id")  # the one shuffle of all groupings from here on
+        # the words of a phrase as bits, which one grouping puts together
         have = F.bit_count(F.bit_or(F.expr("shiftleft(1L, nth)"))) if max(r[2] for r in rows) < 64 else F.count_distinct("nth")
         runs = hits.groupBy("doc_id", "section", "leaf", "n", (F.col("position") - F.col("k")).alias("at")).agg(have.alias("have"), F.max("bonus").alias("bonus"))
         return runs.filter("have = n").groupBy("doc_id", "section", "leaf").agg(F.count("*").alias("tf"), F.max("bonus").alias("bonus"))
@@ -105,19 +112,29 @@ class TokenIndex:
             loose = True
         wanted = leaves(tree)
         order = {x: i for i, x in enumerate(dict.fromkeys(wanted))}
-        hits = self.keyword_hits(list(order), condition.fuzzy_max_distance_ratio, loose)
         weight, keep = self._weights(condition)
-        if keep is not None:
-            hits = hits.filter(keep)
         positive = [order[x] for x in dict.fromkeys(leaves(tree, positive_only=True))]
-        if any("idf" in (s or "") for s in condition.scorers or ()):
-            n = self.documents.count()
-            rarity = hits.groupBy("leaf").agg((F.lit(1.0) + F.log(F.lit(float(max(1, n))) / F.count_distinct("doc_id"))).alias("idf"))
-            hits = hits.join(F.broadcast(rarity), "leaf")  # as many rows as the query has words
-        value = weight * self._scorer(condition)
-        has = [F.max(F.when(F.col("leaf") == i, True)).alias(f"has{i}") for i in order.values()]
-        score = F.sum(F.when(F.col("leaf").isin(positive), value).otherwise(0.0)) if positive else F.lit(0.0)
-        each = hits.groupBy("doc_id").agg(score.cast("double").alias("score"), *has)
+        rows, meets = self._words(list(order), condition.fuzzy_max_distance_ratio, loose)
+        if rows and all(r[2] == 1 for r in rows) and not any(condition.scorers or ()) and not condition.fuzzy_max_distance_ratio:
+            # words alone: each posting tells all it has to tell, and sums are combined before they are shuffled
+            some = self.postings.filter(_any(meets) if keep is None else _any(meets) & keep)
+            value = [F.when(c, weight).otherwise(0.0) for (leaf, *_), c in zip(rows, meets) if leaf in positive]
+            score = F.sum(reduce(lambda a, b: a + b, value)) if value else F.max(F.lit(0.0))
+            known = {leaf: c for (leaf, *_), c in zip(rows, meets)}
+            has = [(F.max(F.when(known[i], True)) if i in known else F.max(F.lit(None).cast("boolean"))).alias(f"has{i}") for i in order.values()]
+            each = some.groupBy("doc_id").agg(score.cast("double").alias("score"), *has)
+        else:
+            hits = self.keyword_hits(list(order), condition.fuzzy_max_distance_ratio, loose)
+            if keep is not None:
+                hits = hits.filter(keep)
+            if any("idf" in (s or "") for s in condition.scorers or ()):
+                n = self.documents.count()
+                rarity = hits.groupBy("leaf").agg((F.lit(1.0) + F.log(F.lit(float(max(1, n))) / F.count_distinct("doc_id"))).alias("idf"))
+                hits = hits.join(F.broadcast(rarity), "leaf")  # as many rows as the query has words
+            value = weight * self._scorer(condition)
+            has = [F.max(F.when(F.col("leaf") == i, True)).alias(f"has{i}") for i in order.values()]
+            score = F.sum(F.when(F.col("leaf").isin(positive), value).otherwise(0.0)) if positive else F.max(F.lit(0.0))
+            each = hits.groupBy("doc_id").agg(score.cast("double").alias("score"), *has)
         flag = lambda x: F.coalesce(F.col(f"has{order[x]}"), F.lit(False))
         holds = fold(tree, flag, lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a)
         if fold(tree, lambda x: False, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a):  # true of documents without any of the words
@@ -173,10 +190,7 @@ class TokenIndex:
 
 
 def _any(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p
-    return out
+    return reduce(lambda a, b: a | b, parts)
 
 
 def key_column(id_col: str | list[str]) -> Column:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,62 +18,90 @@ from ..plans.script import compile_script
 LEAVES = "array<struct<path:string,paths:array<string>,type:string,string:string,number:double,boolean:boolean,size:int>>"
 
 
-def _dot(parts: list) -> str:
+def _dot(parts: tuple) -> str:
     return "".join(f".{p}" for p in parts if p is not None)
 
 
-def _bracket(parts: list, arrays: bool) -> str:
+def _bracket(parts: tuple, arrays: bool) -> str:
     return "".join("[]" if p is None else f"[{json.dumps(p, ensure_ascii=False)}]" for p in parts if p is not None or arrays)
 
 
-def paths_of(parts: list) -> list[str]:
+@lru_cache(maxsize=65_536)
+def paths_of(parts: tuple) -> tuple[str, ...]:
     """All spellings of a path: absolute ones, and the relative ones of each tail; array steps are None."""
     out = ["." + _dot(parts)[1:], "." + _bracket(parts, False), "." + _bracket(parts, True)]
     for i in range(len(parts)):
         tail = parts[i:]
         out += [_dot(tail)[1:], _bracket(tail, False), _bracket(tail, True)]
-    return list(dict.fromkeys(p for p in out if p))
+    return tuple(dict.fromkeys(p for p in out if p))
 
 
-def flatten(text: str | None) -> list[dict] | None:
-    """Leaves of a JSON text; None for null and for what is no JSON."""
+FIELDS = ("path", "paths", "type", "string", "number", "boolean", "size")
+
+
+def _double(value: int | float) -> float:
+    try:
+        return float(value)
+    except OverflowError:
+        return float("inf") if value > 0 else float("-inf")
+
+
+def _walk(value, parts: tuple, out: list[tuple]) -> None:
+    """Leaves of a value in FIELDS order; containers follow what they hold."""
+    kind = string = number = boolean = size = None
+    if isinstance(value, bool):
+        kind, boolean = "boolean", value
+    elif isinstance(value, (int, float)):
+        kind, number = "number", _double(value)
+    elif isinstance(value, str):
+        kind, string = "string", value
+    elif isinstance(value, list):
+        kind, size = "array", len(value)
+        for v in value:
+            _walk(v, (*parts, None), out)
+    elif isinstance(value, dict):
+        kind, size = "object", len(value)
+        for k, v in value.items():
+            _walk(v, (*parts, k), out)
+    paths = paths_of(parts)
+    out.append(("." + _bracket(parts, True), paths, kind or "null", string, number, boolean, size))
+
+
+def _leaves_of(text: str | None) -> list[tuple] | None:
     if text is None:
         return None
     try:
         top = json.loads(text)
     except ValueError:
         return None
-    out: list[dict] = []
-
-    def walk(value, parts: list) -> None:
-        leaf = {"path": "." + _bracket(parts, True), "paths": paths_of(parts), "type": "null", "string": None, "number": None, "boolean": None, "size": None}
-        if isinstance(value, bool):
-            leaf |= {"type": "boolean", "boolean": value}
-        elif isinstance(value, (int, float)):
-            leaf |= {"type": "number", "number": float(value)}
-        elif isinstance(value, str):
-            leaf |= {"type": "string", "string": value}
-        elif isinstance(value, list):
-            leaf |= {"type": "array", "size": len(value)}
-            for v in value:
-                walk(v, [*parts, None])
-        elif isinstance(value, dict):
-            leaf |= {"type": "object", "size": len(value)}
-            for k, v in value.items():
-                walk(v, [*parts, k])
-        out.append(leaf)
-
-    walk(top, [])
+    out: list[tuple] = []
+    _walk(top, (), out)
     return out
 
 
-def json_leaves(col: Column) -> Column:
-    """Leaves of a column of JSON texts, by Arrow batches."""
+def flatten(text: str | None) -> list[dict] | None:
+    """Leaves of a JSON text; None for null and for what is no JSON."""
+    found = _leaves_of(text)
+    return None if found is None else [dict(zip(FIELDS, x)) | {"paths": list(x[1])} for x in found]
+
 
-    @F.pandas_udf(LEAVES)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(flatten)
+_TYPES = (pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.int32())
+
+
+def json_leaves(col: Column) -> Column:
+    """Leaves of a column of JSON texts, built column by column in Arrow batches."""
+
+    @F.arrow_udf(LEAVES)
+    def run(texts: pa.Array) -> pa.Array:
+        offsets, rows = [], []
+        for t in texts.to_pylist():
+            found = _leaves_of(t)
+            offsets.append(None if found is None else len(rows))
+            rows += found or ()
+        offsets.append(len(rows))
+        columns = zip(*rows) if rows else ((),) * len(FIELDS)
+        fields = [pa.array(c, t) for c, t in zip(columns, _TYPES)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, FIELDS))
 
     return run(col)
 

@@ -283,7 +283,7 @@ def regexp_any(col: Column, patterns: Iterable[str | None], a: Analyzer = FULL_T
 
 
 def like(col: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return _yes(col.ilike(pattern) if ignore_case else col.like(pattern))
+    return col.ilike(pattern) if ignore_case else col.like(pattern)
 
 
 def like_as_regexp(pattern: str) -> str:
@@ -303,22 +303,22 @@ def like_as_regexp(pattern: str) -> str:
 
 
 def is_in(col: Column, values: Iterable) -> Column:
-    """IN with null members passed over; an empty list holds for nothing."""
+    """IN with null members passed over; an empty list holds for nothing. Null stays null, so that the scan can take it."""
     wanted = [v for v in values if v is not None]
-    return _yes(col.isin(wanted)) if wanted else F.lit(False)
+    return col.isin(wanted) if wanted else F.lit(False)
 
 
 def compare(col: Column, op: str, value, a: Analyzer | None = None) -> Column:
-    """<, <=, =, >=, > by value; with an analyzer, of normalised text."""
+    """<, <=, =, >=, > by value; with an analyzer, of normalised text. Null stays null, so that the scan can take the comparison."""
     c, v = (normalize(col, a.normalizer), _term(value, a)) if a else (col, F.lit(value))
-    return _yes({"<": c < v, "<=": c <= v, "=": c == v, ">=": c >= v, ">": c > v}[op])
+    return {"<": c < v, "<=": c <= v, "=": c == v, ">=": c >= v, ">": c > v}[op]
 
 
 def script(col_map: dict[str, Column], text: str, arrays: frozenset = frozenset()) -> Column:
-    """The script language over named columns."""
+    """The script language over named columns. Null stays null, so that the scan can take comparisons."""
     from ..plans.script import compile_script
 
-    return _yes(compile_script(text, col_map, arrays))
+    return compile_script(text, col_map, arrays)
 
 
 def fuzzy_distance(ratio: float, term: str) -> int:
