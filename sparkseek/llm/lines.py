@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 MIN_WORDS = 3
 
@@ -53,6 +53,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                             his.append(d[0])
                             los.append(d[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], ["doc_id", "unit", "hi", "lo"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, unit int, hi long, lo long")
 
@@ -96,5 +97,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     kept.append([{"start": a, "end": b} for a, b in stay])
                     removed.append([{"start": spans[u][0], "end": spans[u][1], "first_doc_id": i, "first_unit": f} for u, (i, f) in sorted(out.items())])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(fewer, pa.int32()), pa.array(kept, pa.list_(span)), pa.array(removed, pa.list_(away))], ["doc_id", "text", "n_units", "n_removed", "kept", "removed"])
+        tidy()
 
     return both.mapInArrow(run, "doc_id long, text string, n_units int, n_removed int, kept array<struct<start:int,end:int>>, removed array<struct<start:int,end:int,first_doc_id:long,first_unit:int>>")

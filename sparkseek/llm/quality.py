@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, tidy
 
 SAMPLE = 20_000
 COMMON = 200
@@ -141,6 +141,8 @@ def common_words(texts: DataFrame, n: int = COMMON) -> frozenset:
                     yield table()
                     seen.clear()
         yield table()
+        seen.clear()
+        tidy()
 
     counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return frozenset(r.word for r in counts.orderBy(F.desc("n"), "word").limit(n).collect())
@@ -168,6 +170,7 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
                 x = np.array([features(t, model.common) for t in part.column(text).to_pylist()], float).reshape(part.num_rows, N_FEATURES)
                 score = model.score(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= CUT).astype(np.int32))], [*part.schema.names, "__score", "__predicted"])
+        tidy()
 
     schema = docs.select("*", F.lit(0.0).alias("__score"), F.lit(0).alias("__predicted")).schema
     return docs.mapInArrow(run, schema)

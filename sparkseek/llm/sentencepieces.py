@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACE = "▁"
 #: Remembered chunks and pairs in a worker; beyond this they are forgotten and found anew.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -357,6 +359,8 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_text: bool
                     columns.append(pa.array([None if t is None else b for b, t in zip(back, texts)], pa.string()))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        m.memo.clear()
+        tidy()
 
     schema = "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_crc32 long, round_trip boolean" + ", text string" * keep_text
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, n_parts
+from .common import components, cut, forest, n_parts, tidy
 from .shingles import LEAST, WIDTH, near_copies
 
 LEAF = 256
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 fps = np.fromiter((fingerprint(t or b"", width) for t in texts), np.uint64, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -163,6 +164,7 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             run, rank = run[stop:], rank[stop:]
     if len(run):
         yield from out(run, rank, first, True)
+    tidy()
 
 
 def _across(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut, n_parts, tidy
 
 MIN_WORDS = 50
 GRAM = 8
@@ -141,6 +141,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words(part.column(1))
         at = np.unique(w.anchors()[w.whole(MIN_WORDS)])
         yield _rows(w.grams(n, _B1)[at], w.grams(n, _B2)[at], _ids(part.column(0))[w.text[at]], w.start[at])
+    tidy()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +156,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = first[np.isin((w.text[anchor].astype(np.int64) << 40) | w.start[anchor], left)]
         place = (w.start[first] << 32) | w.stop[first + MIN_WORDS - 1]
         yield _rows(w.grams(MIN_WORDS, _B1)[first], w.grams(MIN_WORDS, _B2)[first], _ids(part.column(0))[w.text[first]], place)
+    tidy()
 
 
 _FOUND = "edge boolean, h long, c int, doc long, place long, first long"
@@ -207,6 +209,7 @@ def _compare(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.Reco
         last = tuple(col[-1] for col in cols)
     if head is not None:
         yield out(True, *(np.array([x], t) for x, t in zip(head, (np.int64, np.int32, np.int64, np.int64))), np.array([head[2]], np.int64))
+    tidy()
 
 
 def _sorted(rows: DataFrame, heads: bool, name: str) -> DataFrame:
@@ -295,6 +298,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [part.column(i) for i in range(part.num_columns) if i != spans]
             columns[text if text < spans else text - 1] = pa.array(new, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, [n for n in part.schema.names if n != "__spans"])
+        tidy()
 
     out = rows.mapInArrow(run, rows.drop("__spans").schema)
     if "n_chars" in docs.columns:

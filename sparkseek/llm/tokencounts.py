@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, tidy
 from .sentencepieces import tokenizer_path
 
 CACHE = "version string, hi long, lo long, size long, n_tokens long"
@@ -91,6 +91,7 @@ def token_counts(docs: DataFrame, name: str = "piece_bpe_32k.model", cache: str
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(count(part.column(3).to_pylist()), pa.int64())], [*key, "n_tokens"])
+        tidy()
 
     ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
     wanted = missed.select(ids.alias("k"), *key)
