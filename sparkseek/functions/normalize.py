@@ -74,6 +74,38 @@ def _rules(spec: str) -> tuple[dict, ...]:
     return tuple({"name": n, **_options(a)} for n, a in map(parse_call, split_chain(spec)))
 
 
+#: Characters that folding leaves alone but for their case, one to one; as a pattern of Python and of Java.
+PLAIN = r"[\t\n\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u2013\u2014\u2018-\u201E]*"
+_plain = re.compile(PLAIN)
+
+
+def _folded(text: str) -> tuple[str, list[int] | range]:
+    """Width and case folded, with the index each character comes from; runs of plain characters are taken at once."""
+    n = len(text)
+    if _plain.fullmatch(text):
+        return text.lower(), range(n)
+    marks = lambda j: j < n and (unicodedata.combining(text[j]) or text[j] in "ﾞﾟ")
+    out, back, i = [], [], 0
+    while i < n:
+        j = _plain.match(text, i).end()
+        if j > i and marks(j):
+            j -= 1
+        if j > i:
+            out.append(text[i:j].lower())
+            back += range(i, j)
+            i = j
+            continue
+        j = i + 1
+        while marks(j):
+            j += 1
+        for x in unicodedata.normalize("NFKC", text[i:j]):
+            x = x.lower()
+            out.append(x)
+            back += [i] * len(x)
+        i = j
+    return "".join(out), back
+
+
 def normalize_with_offsets(text: str, spec: str | None = "auto", substitutions: tuple = ()) -> tuple[str, list[int]]:
     """Normalised text, and for each of its characters the index of the original character it comes from.
 
@@ -86,7 +118,9 @@ def normalize_with_offsets(text: str, spec: str | None = "auto", substitutions:
     if spec == "lower":
         pairs = [(x, i) for i, c in enumerate(text) for x in c.lower()]
         return "".join(x for x, _ in pairs), [i for _, i in pairs]
-    rules = _rules("NormalizerAuto" if spec == "auto" else spec)
+    if spec == "auto":
+        return _folded(text)
+    rules = _rules(spec)
     pairs: list[tuple[str, int]] = []
     i = 0
     while i < len(text):

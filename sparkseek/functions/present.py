@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import FULL_TEXT, Analyzer
-from .normalize import normalize_text, normalize_with_offsets
+from .normalize import PLAIN, normalize_text, normalize_with_offsets
 from .tokenize import located, query_terms, tokens_of
 
 TAG = ('<span class="keyword">', "</span>")
@@ -130,24 +130,20 @@ def _rows(function, returns: str):
 
 _highlight_rows = _rows(highlight_html, "string")
 
-#: Texts of characters that normalisation leaves alone but for their case, one to one.
-_SIMPLE = r"[\t\n\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u2013\u2014\u2018-\u201E]*"
-
-
 def highlight_html_column(col: Column, keywords, a: Analyzer = FULL_TEXT, tag: tuple[str, str] = TAG) -> Column:
     """highlight_html of a text column; null stays null.
 
     Texts that normalisation changes in nothing but case are tagged by native functions, and only the others go to Python.
     """
     wanted = [k for k in keywords if k]
-    if a.normalizer != "auto" or a.substitutions or located(a) or not wanted or not all(re.fullmatch(_SIMPLE, k) for k in wanted):
+    if a.normalizer != "auto" or a.substitutions or located(a) or not wanted or not all(re.fullmatch(PLAIN, k) for k in wanted):
         return _highlight_rows(col, keywords, a, tag)
     signs = str.maketrans({c: "\\" + c for c in r"\^$.|?*+()[]{}"})
     pattern = "|".join(k.translate(signs) for k in sorted({k.lower() for k in wanted}, key=lambda k: (-len(k), k)))
     marked = F.regexp_replace(col, f"(?iu)({pattern})", "\x02$1\x03")  # signs that no such text has, until all else is escaped
     for sign, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\x02", tag[0]), ("\x03", tag[1])):
         marked = F.replace(marked, F.lit(sign), F.lit(by))
-    simple = F.regexp_like(col, F.lit(f"\\A{_SIMPLE}\\z"))
+    simple = F.regexp_like(col, F.lit(f"\\A{PLAIN}\\z"))
     return F.when(simple, marked).otherwise(_highlight_rows(F.when(~simple, col), keywords, a, tag))
 
 

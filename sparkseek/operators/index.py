@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..conf import FULL_TEXT, Analyzer, EngineConf
 from ..functions.tokenize import query_terms, query_tokens, tokens_column, tokens_of
 from ..plans.query import Leaf, fold, leaves, parse
+from ..plans.spread import spread
 from .predicates import Condition
 
 def postings_schema(id_type: str = "bigint") -> str:
@@ -28,6 +29,7 @@ def postings_schema(id_type: str = "bigint") -> str:
 def postings_of(df: DataFrame, id_col: str | list[str], columns: list[str], analyzer: Analyzer = FULL_TEXT) -> DataFrame:
     """Postings of text columns, or of the elements of array columns; null values have none."""
     parts = []
+    df = spread(df.select(*dict.fromkeys([*([id_col] if isinstance(id_col, str) else id_col), *columns])))
     for n, name in enumerate(columns):
         col = F.col(name)
         if df.schema[name].dataType.typeName() == "array":

@@ -17,6 +17,7 @@ from .operators import predicates as P
 from .operators import vectors as V
 from .operators.index import build_index
 from .operators.predicates import Condition
+from .plans.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -270,7 +271,6 @@ def events_leaves(spark, d):
 
 
 for name, condition, where in (
-    ("json_match", lambda: J.json_match(LEAF(), "8"), "false"),
     ("json_script_number", lambda: J.json_script(LEAF(), 'number <= 50 && type == "number"'), "CAST(json_extract(props, '$.k') AS DOUBLE) <= 50"),
     ("json_script_paths", lambda: J.json_script(LEAF(), 'paths @ ".k" && number > 90'), "CAST(json_extract(props, '$.k') AS DOUBLE) > 90"),
     ("json_script_type", lambda: J.json_script(LEAF(), 'type == "object" && size == 1'), "len(json_keys(props)) = 1"),
@@ -289,12 +289,13 @@ def talks(spark, d):
 query("json_query_same_leaf", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') AND NOT contains(lower(text), 'hea') OR contains(lower(role), 'the') AND NOT contains(lower(role), 'hea')")(
     lambda spark, d: talks(spark, d).filter(J.json_query(LEAF(), "the -hea")).select("conv_id", "turn")
 )
+query("json_match", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'edly') OR contains(lower(role), 'edly')")(lambda spark, d: talks(spark, d).filter(J.json_match(LEAF(), "Edly")).select("conv_id", "turn"))
 query("json_match_path", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'thtion')")(lambda spark, d: talks(spark, d).filter(J.json_script(LEAF(), 'path == ".[\\"body\\"][\\"text\\"]" && string @ "thtion"')).select("conv_id", "turn"))
 query("json_full_text", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'edly') OR contains(lower(role), 'edly')")(lambda spark, d: talks(spark, d).filter(P.match_array(J.json_full_text(LEAF()), "edly")).select("conv_id", "turn"))
 
 # presentation and scalar functions
 query("highlight_html", "SELECT doc_id, regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '(thtion)', '<span class=\"keyword\">\\1</span>', 'gi') AS html FROM documents")(
-    lambda spark, d: table(spark, d, "documents").select("doc_id", present.highlight_html_column(text(), ["thtion"]).alias("html"))
+    lambda spark, d: spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", present.highlight_html_column(text(), ["thtion"]).alias("html"))
 )
 query("match_positions", "SELECT doc_id, len(regexp_extract_all(lower(text), 'thtion')) AS n, strpos(lower(text), 'thtion') - 1 AS first_at FROM documents WHERE contains(lower(text), 'thtion')")(
     lambda spark, d: table(spark, d, "documents").filter(P.match(text(), "thtion")).select("doc_id", present.match_positions_character_column(text(), ["thtion"]).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.get(F.get("p", F.lit(0)), F.lit(0)).cast("long").alias("first_at"))
@@ -302,7 +303,7 @@ query("match_positions", "SELECT doc_id, len(regexp_extract_all(lower(text), 'th
 query("match_positions_byte", "SELECT doc_id, octet_length(encode(split_part(lower(text), 'quevi', 1)))::BIGINT AS first_at FROM documents WHERE contains(lower(text), 'quevi')")(
     lambda spark, d: table(spark, d, "documents").filter(P.match(text(), "quevi")).select("doc_id", F.get(F.get(present.match_positions_byte_column(text(), ["quevi"]), F.lit(0)), F.lit(0)).cast("long").alias("first_at"))
 )
-query("snippet_html")(lambda spark, d: table(spark, d, "documents").select("doc_id", present.snippet_html_column(text(), ["thtion", "quevi"]).alias("snippets")))
+query("snippet_html")(lambda spark, d: spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", present.snippet_html_column(text(), ["thtion", "quevi"]).alias("snippets")))
 query("normalize", "SELECT doc_id, lower(text) AS normalized FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", normalize(text()).alias("normalized")))
 query("query_escape", r"""SELECT doc_id, regexp_replace(text, '([+\-<>~*()"\\:])', '\\\1', 'g') AS escaped FROM documents""")(lambda spark, d: table(spark, d, "documents").select("doc_id", present.query_escape(text()).alias("escaped")))
 query("command_escape_value", r"""SELECT doc_id, '"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' AS escaped FROM documents""")(lambda spark, d: table(spark, d, "documents").select("doc_id", present.command_escape_value(text()).alias("escaped")))

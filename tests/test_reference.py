@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from sparkseek.conf import Analyzer, EngineConf
 from sparkseek.functions import present
-from sparkseek.functions.normalize import normalize, normalize_text
+from sparkseek.functions.normalize import normalize, normalize_text, normalize_with_offsets
 from sparkseek.functions.romaji import reads_as, to_romaji
 from sparkseek.functions.stem import stem
 from sparkseek.functions.tokenize import analyzer_of, query_terms, tokenize, tokenize_with, tokens_column
@@ -15,6 +15,7 @@ from sparkseek.operators.index import build_index
 from sparkseek.operators.predicates import Condition
 from sparkseek.plans.query import QuerySyntaxError, extract_keywords, parse
 from sparkseek.plans.script import ScriptSyntaxError
+from sparkseek.plans.spread import spread
 from sparkseek.sources.select import select
 from sparkseek.sources.store import IndexStore, ReadOnly
 
@@ -173,6 +174,21 @@ def test_normalize(spark):
     assert got[0].n == got[0].u == "abc é" and got[1].n is None
 
 
+def test_folding_by_runs_is_folding_by_characters():
+    for t in ("", "Plain TEXT é É ß", "ｶﾞ A\u0301b\u0327 x", "㍉ é \u0130 ΑΣ", "a\u0301", "\u0301a", "ÿ Ÿ …", "ﾞa"):
+        assert tuple(map(list, normalize_with_offsets(t))) == tuple(map(list, normalize_with_offsets(t, "NormalizerAuto")))
+
+
+def test_small_inputs_are_spread(spark):
+    df = spark.range(10)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        assert spread(df) is df
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_tokenize(spark):
     values = lambda t, **a: [x["value"] for x in tokenize(t, Analyzer(**a))]
     assert values("This is a pen.") == ["this", "is", "a", "pen", "."]
