@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from .common import cut, tidy
 
 MIN_WORDS = 3
@@ -55,7 +56,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], ["doc_id", "unit", "hi", "lo"])
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, unit int, hi long, lo long")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, unit int, hi long, lo long")
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from .common import bounded, cut, tidy
 
 SAMPLE = 20_000
@@ -173,7 +174,7 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
         tidy()
 
     schema = docs.select("*", F.lit(0.0).alias("__score"), F.lit(0).alias("__predicted")).schema
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from .common import tidy
 
 SPACE = "▁"
@@ -363,4 +364,4 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_text: bool
         tidy()
 
     schema = "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_crc32 long, round_trip boolean" + ", text string" * keep_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from .common import cut, drop_cut, tidy
 from .suffixes import _B1, Words, _mix, _slices
 
@@ -102,7 +103,7 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     links; ids must not be null. Rows that repeat an id add nothing. Empty tables give no rows.
     """
     again = lambda df, c: df.withColumn("j", F.col(c).bitwiseXOR(F.lit(1))).drop(c)  # noqa: E731  dealt anew, so that hot keys can be split
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    base = spread(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")))
     sets = cut(base.mapInArrow(lambda it: _sketches(it, width), "doc long, hi long, lo long, n int, bands array<long>, digests array<int>"), "sketches")
     heads = cut(sets.groupBy("hi", "lo").agg(F.min("doc").alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     equal = again(sets.select("doc", "hi", "lo"), "hi").join(again(heads.select("hi", "lo", "head"), "hi"), ["j", "lo"]).filter("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from .common import components, cut, forest, n_parts, tidy
 from .shingles import LEAST, WIDTH, near_copies
 
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
         tidy()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def _gray_rank(code: np.ndarray) -> np.ndarray:
@@ -194,7 +195,7 @@ def linked(codes: DataFrame, k: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, fp long, component_id long, doc_row_rank int).
+    """One row per row of docs: (doc_id, fp long, component_id long).
 
     Documents are linked if their fingerprints differ in k or fewer of 64 bits; component_id is the smallest doc_id reachable.
     Null, empty and blank texts have fingerprint 0 and are linked like any other. A null doc_id never becomes a component_id
