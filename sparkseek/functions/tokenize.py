@@ -20,6 +20,7 @@ from .stem import stem
 #: Scripts written without spaces, cut into overlapping pairs.
 _PAIRED = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 _JAVA_TOKEN = f"[{_PAIRED}]{{1,2}}|[\\p{{L}}\\p{{M}}&&[^{_PAIRED}]]+|\\p{{N}}+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\s\\x01]+"
+_JAVA_RUN = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s\x01]+"
 _BREAK = "\x01"
 
 
@@ -36,7 +37,9 @@ def tokens_column(col: Column, analyzer: Analyzer = FULL_TEXT) -> Column:
     if raw(analyzer.normalizer):  # nothing is folded, and nothing is known of kinds of characters: all pairs
         return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(2))), lambda x: x != "")
     paired = F.regexp_replace(text, f"([{_PAIRED}])(?=([{_PAIRED}]))", f"$1$2{_BREAK}")
-    return F.regexp_extract_all(paired, F.lit(_JAVA_TOKEN), F.lit(0))
+    pairs = F.regexp_extract_all(paired, F.lit(_JAVA_TOKEN), F.lit(0))
+    # texts without unspaced scripts need neither the pairs nor a pattern that tells them apart
+    return F.when(F.regexp_like(text, F.lit(f"[{_PAIRED}]")), pairs).otherwise(F.regexp_extract_all(text, F.lit(_JAVA_RUN), F.lit(0)))
 
 
 def _kind(c: str) -> str:
