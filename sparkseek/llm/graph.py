@@ -3,13 +3,15 @@
 Within a label, vectors go to overlapping shards: the two nearest of the label's centroids, which are fitted on a sample of at
 most SAMPLE vectors. In each shard every vector gets its nearest ones as candidates and keeps those that robust pruning leaves
 (Subramanya et al., 2019: of candidates in rising distance one is kept unless a kept one is nearer to it by the factor ALPHA);
-edges count in both directions, and each vector has an edge to the shard's medoid. From the medoid and every vector's own node the
-search then expands while vectors stay within SLACK of the threshold; whatever it reaches is verified in double precision. The
-links of all shards are united: a pair that meets in both of its shards is counted in the lower one.
+edges count in both directions, and each vector has an edge to the shard's medoid. A vector whose candidates or edges are used up
+while more may be at the threshold is compared with the whole shard instead. Then every pair at the threshold is joined by the
+graph: it is an edge, or was dropped for a vector nearer to both, whose pairs are joined likewise. From the medoid and every
+vector's own node the search then expands while vectors stay within SLACK of the threshold; whatever it reaches is verified in
+double precision. The links of all shards are united: a pair that meets in both of its shards is counted in the lower one.
 
 Equal vectors of a label are one from the start, with a number of copies, so that a very common one costs no more than any other.
 A shard over BLOCK vectors is cut by hash into blocks, and each pair of its blocks is one
-group, which counts the pairs across. Links leave a group as a count for each vector and a forest, never as pairs.
+group, in which all pairs across are verified without a graph. Links leave a group as a count for each vector and a forest, never as pairs.
 
 Shards are small, so that candidates come from comparing a shard's vectors among themselves: that finds all the near ones, which a
 greedy search over a graph still being built does not.
@@ -34,6 +36,8 @@ CANDIDATES = 32
 DEGREE = 12
 ALPHA = 1.2
 SLACK = 0.05
+#: Far above the rounding of a cosine.
+EPS = 1e-9
 
 
 def centroids(sample: list, n: int) -> dict[int, np.ndarray]:
@@ -63,13 +67,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (from, to, cosine) of the robust-pruned graph over unit vectors."""
+def pruned(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) within SLACK of `least`, of the robust-pruned graph over unit vectors; they join all pairs at `least`."""
     m = len(x)
     n = min(CANDIDATES, m - 1)
     if n < 1:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(float)
+        return none, none
     cand, sim = np.empty((m, n), np.int64), np.empty((m, n))
     for at in range(0, m, 512):
         s = x[at : at + 512] @ x.T
@@ -89,38 +93,53 @@ def pruned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for at in range(0, len(r), 1024):  # drop what the picked one is nearer to
             rr, pp = r[at : at + 1024], p[at : at + 1024]
             between = np.einsum("ijk,ik->ij", x[cand[rr]], x[cand[rr, pp]])
-            alive[rr] &= ALPHA * (1 - between) > 1 - sim[rr]
+            alive[rr] &= ALPHA * (1 - between) > 1 - sim[rr] - EPS  # nearer by more than rounding
     a, b, s = (np.concatenate(z) for z in zip(*out))
     medoid = int(np.argmax(x @ x.mean(axis=0)))
-    return np.r_[a, rows], np.r_[b, np.full(m, medoid)], np.r_[s, x @ x[medoid]]
+    a, b, s = np.r_[a, rows], np.r_[b, np.full(m, medoid)], np.r_[s, x @ x[medoid]]
+    edges = [(a[s >= least - SLACK], b[s >= least - SLACK])]
+    left = (alive & (sim >= least - EPS)).any(axis=1)
+    if n < m - 1:
+        left |= sim[:, -1] >= least - EPS
+    left = np.flatnonzero(left)
+    for at in range(0, len(left), 512):
+        i = left[at : at + 512]
+        p, q = np.nonzero(x[i] @ x.T >= least - EPS)
+        edges.append(forest(i[p], q))
+    a, b = (np.concatenate(z) for z in zip(*edges))
+    return a, b
 
 
 def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray, other: np.ndarray, shard: int, across: bool, least: float):
     """(ids with links, how many count here, roots): links of one group; each vector stands for so many copies."""
-    a, b, s = pruned(x)
-    near = s >= least - SLACK
-    node, root = forest(a[near], b[near])  # what the expansion reaches from each node
-    group = np.arange(len(ids))
-    group[node] = root
-    order = np.argsort(group, kind="stable")
-    begin = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(ids) else np.zeros(0, int)
     count, ea, eb = np.zeros(len(ids), np.int64), [], []
-    for lo, hi in zip(begin, np.r_[begin[1:], len(ids)]):
-        if hi - lo < 2:
-            continue
-        reached = order[lo:hi]
-        for at in range(0, len(reached), 512):
-            i = reached[at : at + 512]
-            on = x[i] @ x[reached].T >= least
-            on &= i[:, None] != reached[None, :]
-            mine = on & ~((other[i][:, None] == other[reached][None, :]) & (other[i][:, None] >= 0) & (other[i][:, None] < shard))
-            if across:
-                mine &= part[i][:, None] != part[reached][None, :]
-            count[i] += mine @ copies[reached]
+
+    def verify(rows: np.ndarray, cols: np.ndarray, both: bool) -> None:
+        """All pairs of rows with cols; they count for the rows, and for the cols if both."""
+        for at in range(0, len(rows), 512):
+            i = rows[at : at + 512]
+            on = x[i] @ x[cols].T >= least
+            on &= i[:, None] != cols[None, :]
+            mine = on & ~((other[i][:, None] == other[cols][None, :]) & (other[i][:, None] >= 0) & (other[i][:, None] < shard))
+            count[i] += mine @ copies[cols]
+            if both:
+                count[cols] += copies[i] @ mine
             p, q = np.nonzero(on)
-            p, q = forest(i[p], reached[q])
+            p, q = forest(i[p], cols[q])
             ea.append(p)
             eb.append(q)
+
+    if across:
+        verify(np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()), True)
+    else:
+        node, root = forest(*pruned(x, least))  # what the expansion reaches from each node
+        group = np.arange(len(ids))
+        group[node] = root
+        order = np.argsort(group, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(ids) else np.zeros(0, int)
+        for lo, hi in zip(begin, np.r_[begin[1:], len(ids)]):
+            if hi - lo > 1:
+                verify(order[lo:hi], order[lo:hi], False)
     a, b = forest(np.concatenate(ea), np.concatenate(eb)) if ea else (np.zeros(0, int), np.zeros(0, int))
     head = ids.copy()
     head[a] = ids[b]
