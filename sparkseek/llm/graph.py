@@ -1,17 +1,20 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Within a label, vectors go to overlapping shards: the two nearest of the label's centroids, which are fitted on a sample of at
-most SAMPLE vectors. In each shard every vector gets its nearest ones as candidates and keeps those that robust pruning leaves
+Within a label, each vector is at home in the shard of its nearest centroid, of those fitted on a sample of at most SAMPLE vectors,
+and visits every other shard in which a partner at the threshold could be at home: unit vectors u and v at cosine t are
+r = sqrt(2 - 2 t) apart, and if v is nearer to centroid c than to u's own centroid h, then u (h - c) <= r |h - c|. So both of a
+pair meet in the home of each. In each shard every vector at home gets its nearest ones as candidates and keeps those that robust pruning leaves
 (Subramanya et al., 2019: of candidates in rising distance one is kept unless a kept one is nearer to it by the factor ALPHA);
 edges count in both directions, and each vector has an edge to the shard's medoid. A vector whose candidates or edges are used up
 while more may be at the threshold is compared with the whole shard instead. Then every pair at the threshold is joined by the
 graph: it is an edge, or was dropped for a vector nearer to both, whose pairs are joined likewise. From the medoid and every
 vector's own node the search then expands while vectors stay within SLACK of the threshold; whatever it reaches is verified in
-double precision. The links of all shards are united: a pair that meets in both of its shards is counted in the lower one.
+double precision. Visitors are verified against all that are at home, and links count for these. The links of all shards are united.
 
 Equal vectors of a label are one from the start, with a number of copies, so that a very common one costs no more than any other.
-A shard over BLOCK vectors is cut by hash into blocks, and each pair of its blocks is one
-group, in which all pairs across are verified without a graph. Links leave a group as a count for each vector and a forest, never as pairs.
+A shard is cut by hash into blocks of about BLOCK vectors, those at home and the
+visitors apart; each pair of blocks at home, and of one at home with one of visitors, is a group, in which all pairs across are
+verified without a graph. Links leave a group as a count for each vector and a forest, never as pairs.
 
 Shards are small, so that candidates come from comparing a shard's vectors among themselves: that finds all the near ones, which a
 greedy search over a graph still being built does not.
@@ -110,20 +113,28 @@ def pruned(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray, other: np.ndarray, shard: int, across: bool, least: float):
-    """(ids with links, how many count here, roots): links of one group; each vector stands for so many copies."""
+def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home of each unit vector, whether it must be in each shard): all shards in which a vector at `least` may be at home."""
+    s = x @ c.T
+    home = np.argmax(s, axis=1)
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+    return home, s[np.arange(len(x)), home][:, None] - s <= np.sqrt(max(0.0, 2 - 2 * least)) * apart[home] + EPS
+
+
+def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray, home: np.ndarray, across: bool, least: float):
+    """(ids with links, how many count here, roots): links of one group; each vector stands for so many copies. Visitors get no count."""
     count, ea, eb = np.zeros(len(ids), np.int64), [], []
 
     def verify(rows: np.ndarray, cols: np.ndarray, both: bool) -> None:
         """All pairs of rows with cols; they count for the rows, and for the cols if both."""
+        here = cols[home[cols]]
         for at in range(0, len(rows), 512):
             i = rows[at : at + 512]
             on = x[i] @ x[cols].T >= least
             on &= i[:, None] != cols[None, :]
-            mine = on & ~((other[i][:, None] == other[cols][None, :]) & (other[i][:, None] >= 0) & (other[i][:, None] < shard))
-            count[i] += mine @ copies[cols]
-            if both:
-                count[cols] += copies[i] @ mine
+            count[i] += on @ copies[cols]
+            if both and len(here):
+                count[here] += copies[i] @ on[:, home[cols]]
             p, q = np.nonzero(on)
             p, q = forest(i[p], cols[q])
             ea.append(p)
@@ -170,39 +181,35 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     of = centroids([(r.label, r.v) for r in sample if len(r.v) == d], alike.count())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector in its shards; other is the shard it also is in, or -1."""
+        """Each vector in its shards."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(matrix(batch.column(2)))
-            label = batch.column(1).to_numpy()
-            two = np.full((len(x), 2), -1)
-            two[:, 0] = 0
+            x, label = unit(matrix(batch.column(2))) if batch.num_rows else np.zeros((0, d)), batch.column(1).to_numpy()
             for l in np.unique(label):
-                c, at = of.get(l), np.flatnonzero(label == l)
-                if c is not None and len(c) > 1:
-                    two[at] = np.argpartition(-(x[at] @ c.T), 1, axis=1)[:, :2]
-            for j in (0, 1):
-                at = np.flatnonzero(two[:, j] >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.array(label[at]), pa.array(two[at, j].astype(np.int32)), pa.array(two[at, 1 - j].astype(np.int32)), batch.column(2).take(pa.array(at)), batch.column(3).take(pa.array(at))],
-                    ["vec_id", "label", "shard", "other", "v", "copies"],
-                )
+                c, own = of.get(l), np.flatnonzero(label == l)
+                for lo in range(0, len(own), 256):
+                    at = own[lo : lo + 256]
+                    home, there = reach(x[at], c, least) if c is not None else (np.zeros(len(at), int), np.ones((len(at), 1), bool))
+                    i, shard = np.nonzero(there)
+                    for k in range(0, len(i), 8192):
+                        row, to = i[k : k + 8192], shard[k : k + 8192]
+                        rows = pa.array(at[row])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(to.astype(np.int32)), pa.array(home[row] == to), batch.column(2).take(rows), batch.column(3).take(rows)], ["vec_id", "label", "shard", "home", "v", "copies"])
 
     kind = sets.schema["v"].dataType.simpleString()
-    placed = cut(alike.select("vec_id", "label", "v", "copies").mapInArrow(place, f"vec_id long, label long, shard int, other int, v {kind}, copies long"), "placed")
-    blocks = placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cut(alike.select("vec_id", "label", "v", "copies").mapInArrow(place, f"vec_id long, label long, shard int, home boolean, v {kind}, copies long"), "placed")
+    some = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    blocks = placed.groupBy("label", "shard").agg(some(F.col("home")).alias("own"), some(~F.col("home")).alias("guests")).filter("own > 0")
     keyed = lambda df: df.withColumn("k", F.col("label").bitwiseXOR(F.lit(1))).drop("label")
-    dealt = keyed(placed).join(keyed(blocks), ["k", "shard"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
+    dealt = keyed(placed).join(keyed(blocks), ["k", "shard"]).withColumn("part", F.expr("cast(if(home, pmod(xxhash64(vec_id), own), own + pmod(xxhash64(vec_id), guests)) as int)"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, if(home, own + guests, own) - 1)"))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         ids, x = t.column("vec_id").to_numpy(), unit(matrix(t.column("v").combine_chunks()))
-        found = links(ids, x, t.column("copies").to_numpy(), t.column("part").to_numpy(), t.column("other").to_numpy(), key[1].as_py(), key[2].as_py() != key[3].as_py(), least)
+        found = links(ids, x, t.column("copies").to_numpy(), t.column("part").to_numpy(), t.column("home").to_numpy(), key[2].as_py() != key[3].as_py(), least)
         return pa.table([pa.array(f) for f in found], names=["vec_id", "n", "root"])
 
-    found = cut(dealt.select("k", "shard", "lo", "hi", "vec_id", "part", "other", "v", "copies").groupBy("k", "shard", "lo", "hi").applyInArrow(run, "vec_id long, n long, root long"), "links")
+    found = cut(dealt.select("k", "shard", "lo", "hi", "vec_id", "part", "home", "v", "copies").groupBy("k", "shard", "lo", "hi").applyInArrow(run, "vec_id long, n long, root long"), "links")
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("vec_id"), "root")
     n = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     # what holds for one vector of a set of copies holds for all, and each has links to the others

@@ -41,3 +41,18 @@ def test_tight_subgroups_are_linked_to_each_other(spark, monkeypatch):
     for block in (3072, 60):
         monkeypatch.setattr(graph, "BLOCK", block)
         held(spark, x)
+
+
+def test_all_links_over_many_shards(spark, monkeypatch):
+    """Pairs that differ by as much as they may, round directions of no structure: their nearest centroids are seldom the same."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((400, 8))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((400, 8))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, base * 0.932 + side * np.sqrt(1 - 0.932**2)])
+    monkeypatch.setattr(graph, "SHARD", 20)
+    for block in (3072, 100):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        held(spark, x)
