@@ -6,7 +6,10 @@ minima over the shingle digests (Broder, 1997), and each is verified by the exac
 
 Texts with equal shingle sets are one set from the start. A band value that several sets have is a bucket, and in a bucket each
 set is compared with one leader: the set that meets most others over all its bands, which in a family of edited copies is the text
-they were edited from. So a bucket gives as many pairs as it has sets, however many these are.
+they were edited from. So a bucket gives as many pairs as it has sets, however many these are. Where that leaves sets of a bucket
+in different groups, those of different groups are compared too: the bucket is cut by hash into blocks, each pair of blocks is one
+task's work, a pair of sets is compared in the first band that both have, and links leave as a forest. So all pairs that meet in a
+bucket are linked or verified.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spread import spread
-from .common import cut, drop_cut, tidy
+from .common import components, cut, drop_cut, forest, tidy
 from .suffixes import _B1, Words, _mix, _slices
 
 WIDTH = 5
 LEAST = 0.8
 #: A set at similarity 0.8 shares one of the bands at least with a chance of 0.998.
 BANDS, ROWS = 16, 5
+#: Sets in a block of a bucket whose sets are compared with each other.
+BLOCK = 512
 _rng = np.random.default_rng(29)
 _FACTOR, _SHIFT = (_rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -96,10 +101,65 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
     tidy()
 
 
+def _cross(key: tuple, table: pa.Table, least: float) -> pa.Table:
+    """Links between sets of different groups in one pair of blocks of a bucket: (a, b), a forest."""
+    t = table.combine_chunks()
+    band, across = key[0].as_py(), key[1].as_py() != key[2].as_py()
+    doc, part = t.column("doc").to_numpy(), t.column("part").to_numpy()
+    group = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+    lists = t.column("digests").combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    values, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    starts = np.r_[0, np.cumsum(n)]
+    mark, b, e = np.zeros(len(values), bool), [], []
+    for i in range(len(doc) - 1):
+        j = np.arange(i + 1, len(doc))
+        j = j[(group[j] != group[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]))]
+        if across:
+            j = j[part[j] != part[i]]
+        if len(j):  # in no earlier band
+            j = j[bands[j, (bands[j] == bands[i]).argmax(axis=1)] == band]
+        if not len(j):
+            continue
+        mine = word[starts[i] : starts[i + 1]]
+        mark[mine] = True
+        edges = np.r_[0, np.cumsum(n[j])]
+        at = np.arange(edges[-1]) + np.repeat(starts[j] - edges[:-1], n[j])
+        common = np.add.reduceat(mark[word[at]].astype(np.int64), edges[:-1])
+        mark[mine] = False
+        for k in j[common >= least * (n[i] + n[j] - common)]:
+            b.append(doc[i])
+            e.append(doc[k])
+            group[group == group[k]] = group[i]
+    x, y = forest(np.array(b, np.int64), np.array(e, np.int64))
+    return pa.table({"a": x, "b": y})
+
+
+def unlike(members: DataFrame, heads: DataFrame, sets: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of sets that share a bucket and that `links` leave in different groups."""
+    again = lambda df, c: df.withColumn("j", F.col(c).bitwiseXOR(F.lit(1))).drop(c)  # noqa: E731  dealt anew, so that hot keys can be split
+    roots = components(links).select(F.col("node").alias("head"), "root")
+    grouped = again(members, "head").join(again(roots, "head"), "j", "left").select("band", F.col("j").bitwiseXOR(F.lit(1)).alias("head"), "size", F.coalesce("root", F.col("j").bitwiseXOR(F.lit(1))).alias("root"))
+    grouped = cut(grouped, "grouped")
+    # two sets alone were compared when one led the other
+    mixed = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    mixed = again(grouped.filter("size > 2"), "band").join(again(mixed, "band"), "j").select(F.col("j").bitwiseXOR(F.lit(1)).alias("band"), "head", "size", "root")
+    mixed = cut(mixed, "mixed")
+    texts = again(sets.select("doc", "hi", "lo", "digests"), "doc").join(again(mixed.select(F.col("head").alias("doc")).distinct(), "doc"), "j", "left_semi").dropDuplicates(["j"])
+    texts = cut(texts.join(again(heads.select("head", "bands"), "head"), "j").select("j", "bands", "digests"), "mixed-sets")
+    dealt = again(mixed, "head").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("j"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
+    dealt = dealt.join(texts, "j").select("band", "x", "y", F.col("j").bitwiseXOR(F.lit(1)).alias("doc"), "root", "part", "bands", "digests")
+    found = cut(dealt.groupBy("band", "x", "y").applyInArrow(lambda key, table: _cross(key, table, least), "a long, b long"), "unlike")
+    drop_cut(grouped, mixed, texts)
+    return found
+
+
 def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) of ids whose texts have equal shingle sets or, found and verified, share `least` of their shingles or more.
 
-    Links are those to the first of equal sets and to leaders, not all pairs. Null, empty and blank texts have no shingles and no
+    Links are those to the first of equal sets, to leaders, and a forest of the rest, not all pairs. Null, empty and blank texts have no shingles and no
     links; ids must not be null. Rows that repeat an id add nothing. Empty tables give no rows.
     """
     again = lambda df, c: df.withColumn("j", F.col(c).bitwiseXOR(F.lit(1))).drop(c)  # noqa: E731  dealt anew, so that hot keys can be split
@@ -116,12 +176,13 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     met = again(members, "band").join(again(leaders, "band"), "j").filter("hi <> hi_b")
     pairs = met.filter(F.least("n", "n_b") >= least * F.greatest("n", "n_b")).select("hi", F.col("head").alias("a"), "hi_b", "b").distinct()
     pairs = cut(pairs, "pairs")
-    drop_cut(members)
     wanted = pairs.select(F.explode(F.array("hi", "hi_b")).alias("hi")).distinct()
     first = heads.join(wanted, "hi", "left_semi").select("hi", F.col("head").alias("doc"))
     whole = cut(sets.select("doc", "hi", "digests").join(first, ["doc", "hi"], "left_semi").dropDuplicates(["hi"]), "digests")
     both = pairs.join(whole.select("hi", F.col("digests").alias("x")), "hi").select("a", "b", "hi_b", "x")
     both = both.join(whole.select(F.col("hi").alias("hi_b"), F.col("digests").alias("y")), "hi_b").select("a", "b", "x", "y")
     found = cut(equal.unionByName(both.mapInArrow(lambda it: _verify(it, least), "a long, b long")), "near-copies")
-    drop_cut(sets, heads, pairs, whole)
-    return found
+    drop_cut(pairs, whole)
+    rest = unlike(members, heads, sets, found, least)
+    drop_cut(sets, heads, members)
+    return found.unionByName(rest)
