@@ -40,7 +40,7 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """removed: 'start-end@first_doc_id:first_unit' of each line that goes, in characters of the original text."""
+    """removed: 'start-end@first_doc_id:first_unit' of each unit that goes, in characters of the original text."""
     from .lines import dedup_lines
 
     each = F.transform("removed", lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit("@"), F.coalesce(s["first_doc_id"].cast("string"), F.lit("null")), F.lit(":"), s["first_unit"]))
@@ -95,11 +95,13 @@ FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
 
 LINES_SQL = rf"""
-WITH u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS unit FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-v AS (SELECT doc_id, unit, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, regexp_extract_all({_FOLD.format("line")}, '[^\x20\x09-\x0D]+') AS words FROM u),
-f AS (SELECT words, min({{'doc': doc_id, 'unit': unit}}) AS first FROM v WHERE len(words) >= 3 GROUP BY words),
-k AS (SELECT v.*, first, len(v.words) >= 3 AND (doc_id <> first.doc OR unit <> first.unit) AS gone FROM v LEFT JOIN f ON v.words = f.words)
-SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '') END AS text, count(unit)::BIGINT AS n_units, (count(*) FILTER (gone))::BIGINT AS n_removed,
+WITH u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS unit FROM (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:(?:[.!?][\x20\x09-\x0D]|\n)[\x20\x09-\x0D]*|$)') AS l FROM documents WHERE text IS NOT NULL)),
+v AS (SELECT doc_id, unit, line, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, regexp_extract_all({_FOLD.format("line")}, '[^\x20\x09-\x0D]+') AS words FROM u WHERE line <> ''),
+f AS (SELECT words, min({{'doc': doc_id, 'unit': unit}}) AS first FROM v WHERE len(words) > 0 GROUP BY words),
+r AS (SELECT v.*, first, len(v.words) > 0 AND (doc_id <> first.doc OR unit <> first.unit) AS again FROM v LEFT JOIN f ON v.words = f.words),
+i AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, again ORDER BY unit) AS island FROM r),
+k AS (SELECT *, again AND sum(greatest(len(words), length(line) // 10)) OVER (PARTITION BY doc_id, again, island) >= 30 AS gone FROM i)
+SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, '' ORDER BY unit) FILTER (NOT gone), '') END AS text, count(unit)::BIGINT AS n_units, (count(*) FILTER (gone))::BIGINT AS n_removed,
   coalesce(string_agg(start || '-' || (start + length(line)) || '@' || first.doc || ':' || first.unit, ' ' ORDER BY unit) FILTER (gone), '') AS removed
 FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
 """

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from sparkseek.llm import graph, hashing, lines, mixing, quality, sentencepieces, sharding, tokencounts
+from sparkseek.llm import graph, hashing, lines, mixing, order, quality, sentencepieces, sharding, tokencounts
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "All rights reserved."), (5, "ALL  rights\treserved.\nOther line of text\nall rights reserved."), (6, "é ü <s> ▁ 日本 🎉\x00end"), (7, "long " * 20000), (8, "x" * 50000), (None, "Other line of text"), (9, "one two"), (9, "one two"), (10, "a  b ")]
 
@@ -82,30 +82,66 @@ def test_equal_texts_stand_together(spark):
     assert len(runs) == 7
 
 
-def test_lines(spark, docs):
+def test_units_are_lines_and_sentences():
+    cut = lambda t: [t[a:b] for a, b in lines.units(t)]
+    assert cut("One. Two 3.14 x!  \nThree\n\n four... five?\tsix") == ["One. ", "Two 3.14 x!  \n", "Three\n\n ", "four... ", "five?\t", "six"]
+    assert cut("") == [] and cut("\n a") == ["\n ", "a"] and cut("a.") == ["a."]
+
+
+def slow_lines(rows, least):
+    """By doc_id (null as -1), the numbers of the units that go."""
     seen, want = set(), {}
-    for i, t in sorted({(r.doc_id if r.doc_id is not None else -1, r.text) for r in rows_of(docs)}, key=lambda x: x[0]):
-        for no, line in enumerate((t or "").split("\n")):
-            w = tuple(line.encode().lower().split())
-            if len(w) >= 3:
-                if w in seen:
-                    want.setdefault(i, set()).add(no)
-                seen.add(w)
-    got = lines.dedup_lines(docs).collect()
-    assert len(got) == docs.count()
+    for i, t in sorted({(-1 if i is None else i, t) for i, t in rows}, key=lambda x: x[0]):
+        again = []
+        for a, b in lines.units(t or ""):
+            w = tuple(t[a:b].encode().lower().split())
+            again.append(bool(w) and w in seen)
+            seen.add(w)
+        for u, x in enumerate(again):
+            lo = hi = u
+            while lo > 0 and again[lo - 1]:
+                lo -= 1
+            while hi + 1 < len(again) and again[hi + 1]:
+                hi += 1
+            if x and sum(max(len(t[a:b].split(None)), (b - a) // 10) for a, b in lines.units(t)[lo : hi + 1]) >= least:
+                want.setdefault(i, set()).add(u)
+    return want
+
+
+def test_lines(spark, docs):
+    rng = random.Random(5)
+    say = [" ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(rng.randrange(1, 14))) + rng.choice(". ! ? \n".split(" ")) for _ in range(60)]
+    more = [(400 + i, rng.choice(" \n").join(say[k : k + rng.randrange(1, 8)]) + rng.choice(["", " End.", "\n"]), "en", "a", 0, 0, 0) for i, k in enumerate(rng.choices(range(60), k=200))]
+    every = docs.unionByName(spark.createDataFrame(more, docs.schema))
     texts = defaultdict(set)
-    for r in rows_of(docs):
+    for r in rows_of(every):
         texts[r.doc_id].add(r.text)
-    for r in got:
-        (t,) = texts[r.doc_id]
-        parts = [] if t is None else t.split("\n")
-        gone = want.get(r.doc_id if r.doc_id is not None else -1, set())
-        assert r.n_removed == len(gone) and r.n_units == len(parts)
-        assert r.text == (None if t is None else "\n".join(x for no, x in enumerate(parts) if no not in gone))
-        assert t is None or "\n".join(t[k.start : k.end] for k in r.kept) == r.text
+    for least in (lines.RUN_WORDS, 1, 8):
+        want = slow_lines([(r.doc_id, r.text) for r in rows_of(every)], least)
+        got = lines.dedup_lines(every, least).collect()
+        assert len(got) == every.count() and sum(map(len, want.values())) > 20
+        for r in got:
+            (t,) = texts[r.doc_id]
+            gone, spans = want.get(-1 if r.doc_id is None else r.doc_id, set()), lines.units(t or "")
+            assert r.n_removed == len(gone) and r.n_units == len(spans) and [(x.start, x.end) for x in r.removed] == [spans[u] for u in sorted(gone)]
+            assert r.text == (None if t is None else "".join(t[a:b] for u, (a, b) in enumerate(spans) if u not in gone))
+            assert t is None or "".join(t[k.start : k.end] for k in r.kept) == r.text
+            for x in r.removed:  # the earliest has the same words
+                (other,) = texts[x.first_doc_id]
+                a, b = lines.units(other)[x.first_unit]
+                assert lines.words_of(other[a:b]) == lines.words_of(t[x.start : x.end])
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_runs_of_equals_over_many_partitions(spark):
+    """One digest that fills several partitions: all its rows but the first come out, each with the first."""
+    rows = spark.createDataFrame([(i % 3, 0, i // 4, i % 4) for i in range(600)] + [(1, 0, 5, 1)] * 3 + [(9 + i, 1, 7, i) for i in range(50)], order.ROWS).repartition(5)
+    first = {0: (0, 0), 1: (0, 1), 2: (0, 2)}
+    got = {(r.doc, r.place): (r.first_doc, r.first_place) for r in order.repeated(rows).collect()}
+    assert got == {(i // 4, i % 4): first[i % 3] for i in range(600) if i > 2}
+    assert {(r.doc, r.place) for r in order.repeated(rows, heads=True).collect()} == {(i // 4, i % 4) for i in range(600)}
+
+
 def library():
     import sentencepiece
 
