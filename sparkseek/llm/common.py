@@ -69,6 +69,17 @@ def drop_cut(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column `row`, fields c0, c1, ... by position, beside the columns of `more`: whatever names docs has, none meets those of an operator."""
+    fields = [docs[f"`{c.replace('`', '``')}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(F.struct(*fields).alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of packed() again, those in `new` replaced."""
+    return rows.select(*(new.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)))
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

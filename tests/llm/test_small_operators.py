@@ -241,6 +241,66 @@ def test_quality(spark):
     assert quality.good_ones(odd, labels).columns == odd.columns and quality.quality(spark, odd.limit(0), labels).count() == 0
 
 
+def slow_hashed(text):
+    """Bucket values by one word and one byte at a time."""
+    full, base = (1 << 64) - 1, int(quality._B1)
+
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & full
+        return x ^ x >> 29
+
+    raw = text.encode().lower()
+    words = [mix(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w)) + len(w) & full) for w in raw.split()]
+    pairs = [mix(a * base + b & full) for a, b in zip(words, words[1:])]
+    fours = [mix(int.from_bytes(raw[i : i + 4], "little") * base & full) for i in range(len(raw) - 3)]
+    out = []
+    for digests, n in zip((words, pairs, fours), quality.BUCKETS):
+        times = Counter(d * n >> 64 for d in digests)
+        out += [(times[i] / max(1, len(digests))) ** 0.5 for i in range(n)]
+    return out
+
+
+def test_quality_features_are_of_the_whole_text(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "a", "ab cd", "Upper lower " * 500, " ".join(rng.choice("aä Bb cc. dd\n").strip() for _ in range(300))] + [" ".join(rng.choice(["x", "Yy", "zzé"]) for _ in range(rng.randrange(60))) for _ in range(10)]
+    want = np.array([slow_hashed(t or "") for t in texts])
+    assert np.allclose(quality.hashed([t or "" for t in texts]), want, atol=1e-6)
+    monkeypatch.setattr(quality, "_STEP", 7)  # long texts go in steps
+    assert np.allclose(quality.hashed([t or "" for t in texts]), want, atol=1e-6)
+    half, whole = quality.surface("Upper lower " * 250), quality.surface("Upper lower " * 500)
+    assert half[17] == whole[17] == 0.5 and quality.surface("a b c d e f e f e")[13] == 3 / 9
+    parts = quality.features(texts)
+    again = [quality.features([t]) for t in texts]
+    assert all((parts[k] == np.concatenate([a[k] for a in again])).all() for k in (0, 1))
+
+
+def test_quality_loss_and_scores():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab cd. Ef!\n"), rng.integers(0, 200))) for _ in range(60)]
+    x, h = quality.features(texts)
+    labels = (np.array([t.count("a") for t in texts]) > 9).astype(int)
+    model = quality.fit(x, h, labels)
+    at, n = model.binned(x), quality.SURFACE * quality.BINS
+    i, j = rng.choice(np.flatnonzero(labels == 1), 50), rng.choice(np.flatnonzero(labels == 0), 50)
+    w, h = rng.standard_normal(n + h.shape[1]) * 0.1, h.astype(float)
+
+    def slow(w):
+        u = [sum(w[b] for b in at[r]) + float(np.dot(h[r], w[n:])) for r in range(len(texts))]
+        return np.mean([np.log1p(np.exp(u[b] - u[a])) for a, b in zip(i, j)]) + sum(c * float(v @ v) / 2 for c, v in zip(quality._PENALTY, (w[:n], w[n:])))
+
+    loss, grad = quality.pair_loss(w, at, h, i, j)
+    assert loss == pytest.approx(slow(w))
+    used = np.unique(at)
+    for k in [*rng.choice(used, 20), *(n + rng.choice(np.flatnonzero(h.any(0)), 20))]:
+        d = np.zeros(len(w))
+        d[k] = 1e-5
+        assert grad[k] == pytest.approx((slow(w + d) - slow(w - d)) / 2e-5, abs=1e-8)
+    for r in range(len(texts)):
+        u = sum(model.bins[f][sum(x[r, f] >= e for e in model.edges[f])] for f in range(quality.SURFACE)) + float(np.dot(h[r], model.buckets))
+        want = 1 / (1 + np.exp(-(model.slope * (u - model.threshold) + np.log(0.3 / 0.7))))
+        assert model.score(x[r : r + 1], h[r : r + 1])[0] == pytest.approx(want, abs=1e-6)
+
+
 def vectors(spark, n=900, seed=3, d=16):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, d))
