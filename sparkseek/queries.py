@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,7 @@ from .operators import vectors as V
 from .operators.index import build_index
 from .operators.predicates import Condition
 from .plans.spread import spread
+from .sources.shared import own_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -225,9 +225,7 @@ def stored(spark, d, change):
     """A fresh store with an index over part, changed, then searched."""
     from .sources.store import IndexStore
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/sparkseek"
-    store = IndexStore(spark, f"{base}/indexes-{uuid.uuid4().hex}")
-    return change(store, table(spark, d, "part"))
+    return change(IndexStore(spark, own_folder(spark, "indexes")), table(spark, d, "part"))
 
 
 @query("store_append_delete", f"SELECT p_partkey AS doc_id FROM {PARTS} WHERE list_contains(n, 'small') AND p_partkey % 10 <> 3")
