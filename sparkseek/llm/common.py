@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, own_folder
+
 #: White space of every word rule in this subpackage.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else "file:///tmp/checkpoints/sparkseek"
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -38,35 +27,21 @@ def tidy() -> None:
         _trim(0)
 
 
-_folders: set[str] = set()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # the session may have been stopped
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: lost executors cannot force the work before it again.
 
     Tables stand in a folder of the application, which goes when the driver ends, if drop_cut() has not deleted them before.
     """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_delete, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(*frames: DataFrame) -> None:
     """Delete tables written by cut() that no later step reads."""
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def packed(docs: DataFrame, **more: Column) -> DataFrame:

@@ -6,8 +6,8 @@ a document is taken once for each whole number its own stretch crosses. As the o
 taken in proportion, and the words taken come near the target.
 
 Ranks come from counts: of (source, size class, salt), summed up within the class and the source. Only counts meet per source;
-documents meet in groups of one (source, size class, salt), so that a source with a third of all rows is spread over
-SALTS x classes groups.
+documents meet in groups of one (source, size class, salt). The salt is a digest of the doc_id with as many digits as the number
+of rows asks, so that a source with a third of all rows, in one size class, is spread over groups of GROUP rows or fewer.
 """
 
 from __future__ import annotations
@@ -17,29 +17,30 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, n_words, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CEILING = 2.0
-SALTS = 256
+#: Rows in a group, about, at which salts get another hexadecimal digit; two at least.
+GROUP = 1 << 18
 SEED = 42
 
 
 def size_class(size: Column) -> Column:
     """Four classes for each power of two; whole-number arithmetic only."""
     bits = F.length(F.bin(size))
-    return F.when(size <= 0, F.lit(0)).otherwise(bits * 4 + F.expr("cast(shiftright(__size * 4, length(bin(__size)) - 1) as int)") - 4)
+    return F.when(size <= 0, F.lit(0)).otherwise(bits * 4 + F.expr("cast(shiftright(size * 4, length(bin(size)) - 1) as int)") - 4)
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """(__key, source_size long, target double) from rows (__key, source, __s): targets by weight, none over ceiling x its size.
+    """(key, source_size long, target double) from rows (key, source, s): targets by weight, none over ceiling x its size.
 
     Sources take weights in code point order, null last. Filling up by rising ceiling / weight gives what resharing the excess
     until none is above gives: a source is full if its ceiling is at most its weight's share of what those before it leave.
     The rows here are the sources, one each.
     """
-    total = sizes.groupBy("__key", "source").agg(F.sum("__s").alias("source_size"))
+    total = sizes.groupBy("key", "source").agg(F.sum("s").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     w = total.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(nth - 1, F.lit(len(weights))) + 1).cast("int")))
     w = w.withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
@@ -50,33 +51,45 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     w = w.withColumn("full", F.col("cap") * (F.col("all_w") - F.col("w_b")) <= F.col("w") * (F.col("want") - F.col("cap_b")))
     w = w.withColumn("cap_f", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every)).withColumn("w_f", F.sum(F.when(F.col("full"), F.col("w")).otherwise(0.0)).over(every))
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * (F.col("want") - F.col("cap_f")) / (F.col("all_w") - F.col("w_f")))
-    return w.select("__key", "source_size", target.alias("target"))
+    return w.select("key", "source_size", target.alias("target"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key that is the source but never null, the size class and a salt; docs has __size."""
-    key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    return docs.withColumn("__key", key).withColumn("__class", size_class(F.col("__size"))).withColumn("__salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
+def _sized(docs: DataFrame, digits: int) -> dict[str, Column]:
+    """What mixing needs of a row: its id, a key that is the source but never null, its size, size class and salt."""
+    source = F.col("source").cast("string")
+    # null ids are told apart by their texts
+    salt = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.xxhash64("text").cast("string"))).cast("binary")), 1, digits)
+    return {"doc_id": F.col("doc_id").cast("long"), "source": source, "key": F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)), "size": n_words(F.col("text").cast("string")), "salt": salt}
 
 
-def with_copies(docs: DataFrame, seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, stats: DataFrame | None = None) -> DataFrame:
-    """docs (with __size long) and __source_size, __target, __copies (how often the mix takes the row).
+def _digits(n: int) -> int:
+    """Hexadecimal digits of a salt for n rows."""
+    digits = 2
+    while n > GROUP << (4 * digits) and digits < 8:
+        digits += 1
+    return digits
 
-    stats: the same rows, with doc_id, source and __size only, if reading them apart is cheaper.
+
+def with_copies(rows: DataFrame, seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, stats: DataFrame | None = None) -> DataFrame:
+    """rows (doc_id, source, key, size, salt, and others) with source_size, target and copies, how often the mix takes the row.
+
+    stats: the same rows without the others, if reading them apart is cheaper.
     """
-    groups = cut(_keyed(docs if stats is None else stats).groupBy("__key", "source", "__class", "__salt").agg(F.count("*").alias("n"), F.sum("__size").alias("__s")), "mix")
-    by_class = groups.groupBy("__key", "__class").agg(F.sum("n").alias("n"))
+    key = ["key", "class", "salt"]
+    classed = lambda df: df.withColumn("class", size_class(F.col("size")))
+    groups = cut(classed(rows if stats is None else stats).groupBy("key", "source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("s")), "mix")
+    by_class = groups.groupBy("key", "class").agg(F.sum("n").alias("n"))
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    by_class = by_class.select("__key", "__class", F.coalesce(F.sum("n").over(upto("__key", "__class")), F.lit(0)).alias("__of_class"))
-    by_class = by_class.join(source_targets(groups, weights, share, ceiling), "__key")
-    base = groups.select("__key", "__class", "__salt", F.coalesce(F.sum("n").over(upto("__key", "__class", "__salt")), F.lit(0)).alias("__of_salt"))
-    base = base.join(by_class, ["__key", "__class"]).select("__key", "__class", "__salt", (F.col("__of_class") + F.col("__of_salt")).alias("__base"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rows = _keyed(docs).join(base, ["__key", "__class", "__salt"])
-    rank = F.col("__base") + F.row_number().over(Window.partitionBy("__key", "__class", "__salt").orderBy("doc_id", "__size"))
-    rows = rows.withColumn("__rank", rank).withColumn("__each", F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0))
+    by_class = by_class.select("key", "class", F.coalesce(F.sum("n").over(upto("key", "class")), F.lit(0)).alias("of_class"))
+    by_class = by_class.join(source_targets(groups, weights, share, ceiling), "key")
+    base = groups.select(*key, F.coalesce(F.sum("n").over(upto(*key)), F.lit(0)).alias("of_salt"))
+    base = base.join(by_class, ["key", "class"]).select(*key, (F.col("of_class") + F.col("of_salt")).alias("base"), "source_size", "target")
+    rank = F.col("base") + F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "size"))
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    out = classed(rows).join(base, key).withColumn("rank", rank).withColumn("each", each)
     offset = F.lit(random.Random(seed).random())
-    copies = F.floor(F.col("__rank") * F.col("__each") + offset) - F.floor((F.col("__rank") - 1) * F.col("__each") + offset)
-    return rows.withColumn("__copies", copies.cast("int")).drop("__key", "__class", "__salt", "__base", "__rank", "__each")
+    copies = F.floor(F.col("rank") * F.col("each") + offset) - F.floor((F.col("rank") - 1) * F.col("each") + offset)
+    return out.withColumn("copies", copies.cast("int")).drop(*key, "base", "rank", "each")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -84,18 +97,17 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Size is the number of words, 0 for a null or blank text. A null source is a source of its own, last in order. No row is taken
     more than twice. A null doc_id stands first in its group; rows alike in doc_id, source and size change places without effect.
-    Empty tables give no rows; a source of size 0 has target 0.
+    Other columns, whatever their names, are not looked at. Empty tables give no rows; a source of size 0 has target 0.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("__size")), "sizes")
-    out = with_copies(sized, seed)
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    sized = cut(docs.select(*(c.alias(n) for n, c in _sized(docs, _digits(docs.count())).items())), "sizes")
+    return with_copies(sized, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs as the mix takes them: each row once for each copy, in the columns of docs."""
-    size = n_words(F.col("text")).alias("__size")
-    out = with_copies(docs.select("*", size), seed, stats=docs.select("doc_id", "source", size))
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    """docs as the mix takes them: each row once for each copy, in the columns of docs, whatever the names of others than doc_id, text and source."""
+    of = _sized(docs, _digits(docs.count()))
+    out = with_copies(packed(docs, **of), seed, stats=docs.select(*(c.alias(n) for n, c in of.items())))
+    return unpacked(out.where("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")), docs.columns)
 
 
 MIX_SQL = f"""
@@ -108,7 +120,7 @@ o AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS want, sum(w) OVER () A
 f AS (SELECT *, cap * (all_w - w_b) <= w * (want - cap_b) AS is_full FROM o),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE w * (want - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / (all_w - coalesce(sum(w) FILTER (is_full) OVER (), 0)) END AS target FROM f),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each_,
-  row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 4 + ((size * 4) >> (length(bin(size)) - 1)) - 4 END, doc_id % {SALTS}, doc_id, size) AS rank_
+  row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 4 + ((size * 4) >> (length(bin(size)) - 1)) - 4 END, substr(md5(doc_id::VARCHAR), 1, 2), doc_id, size) AS rank_
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (floor(rank_ * each_ + {random.Random(SEED).random()!r}::DOUBLE) - floor((rank_ - 1) * each_ + {random.Random(SEED).random()!r}::DOUBLE))::BIGINT * size AS taken FROM r

@@ -34,13 +34,13 @@ def batch_of(hi: np.ndarray, lo: np.ndarray, doc: np.ndarray, place: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array((lo >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(place)], NAMES)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], heads: bool, places: bool) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition the rows with an equal row before them (heads: or after them) and the first of their run here; and the
     heads of its first and last run as edges. The digest is left out where the run can't reach an edge."""
 
     def out(edge: bool, cols: list, first: tuple, open_: np.ndarray) -> pa.RecordBatch:
         arrays = [pa.array(c, t, mask=~open_ if i < 2 else None) for i, (c, t) in enumerate(zip(cols, _TYPES))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), edge)), *arrays, *(pa.array(f, pa.int64()) for f in first)], ["edge", *NAMES, "first_doc", "first_place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), edge)), *arrays, pa.array(first[0]), pa.array(first[1]) if places else pa.nulls(len(first[1]), pa.int64())], ["edge", *NAMES, "first_doc", "first_place"])
 
     def one(edge: bool, row: tuple) -> pa.RecordBatch:
         cols = [np.array([x]) for x in row]
@@ -83,13 +83,14 @@ def _compare(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.Reco
     tidy()
 
 
-def repeated(rows: DataFrame, heads: bool = False, name: str = "compared") -> DataFrame:
-    """Rows (h, c, doc, place) whose digest has an earlier row by (doc, place), with first_doc and first_place, where the earliest stands.
+def repeated(rows: DataFrame, heads: bool = False, places: bool = True, name: str = "compared") -> DataFrame:
+    """Rows (doc, place, first_doc, first_place) of those of (h, c, doc, place) whose digest has an earlier row by (doc, place); where the earliest stands.
 
-    heads: earliest rows that have an equal are given too. A row that occurs twice is one, but may come out twice.
+    heads: earliest rows that have an equal are given too. places: first_place is wanted. A row that occurs twice is one, but may
+    come out twice.
     """
     order = rows.repartitionByRange(n_parts(rows.sparkSession), *NAMES).sortWithinPartitions(*NAMES)
-    found = cut(order.mapInArrow(lambda it: _compare(it, heads), _FOUND), name)
+    found = cut(order.mapInArrow(lambda it: _compare(it, heads, places), _FOUND), name)
     edge = found.filter("edge").select(*NAMES).distinct()
     crossing = F.broadcast(edge.groupBy("h", "c").agg(F.min(F.struct("doc", "place")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"))  # two rows a partition at most
     sure = found.filter("not edge").join(crossing, ["h", "c"], "left")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spread import spread
-from .common import components, cut, forest, n_parts, tidy
+from .common import components, cut, forest, n_parts, packed, tidy, unpacked
 from .shingles import LEAST, WIDTH, near_copies
 
 LEAF = 256
@@ -216,12 +216,13 @@ def keep_one(docs: DataFrame, k: int = 2, width: int = 3, least: float = LEAST,
     A group is connected by fingerprints that differ in k or fewer bits and by texts that share `least` of their shingles of so
     many words. Null, empty and blank texts are one group. Of rows that repeat a doc_id one stays, the first by hash of its text. A
     row with a null doc_id is known by its text and stays only if its group has no row with an id; of such rows with equal texts
-    one stays. Empty tables give no rows.
+    one stays. Other columns, whatever their names, are carried along. Empty tables give no rows.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    keyed = docs.withColumn("__k", key)
-    rows = near_duplicates(keyed, k, width, id_col="__k").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = rows.filter("a <> b").unionByName(near_copies(keyed, least, words, id_col="__k"))
-    gone = cut(components(links).filter("node <> root").select(F.col("node").alias("__k")), "gone")
-    one = keyed.groupBy("__k").agg(F.min_by(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.struct(F.xxhash64("text"), F.length("text"))).alias("__r"))
-    return one.join(gone, "__k", "left_anti").select(*[F.col(f"__r.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = packed(docs, k=key, text=F.col("text"))
+    keyed = rows.select("k", "text")
+    same = near_duplicates(keyed, k, width, id_col="k").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = same.filter("a <> b").unionByName(near_copies(keyed, least, words, id_col="k"))
+    gone = cut(components(links).filter("node <> root").select(F.col("node").alias("k")), "gone")
+    one = rows.groupBy("k").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.length("text"))).alias("row"))
+    return unpacked(one.join(gone, "k", "left_anti"), docs.columns)

@@ -6,12 +6,12 @@ that many words whose equal stands earlier, by (doc_id, place), goes, and its ea
 1. Suffixes are retained only where a minimiser stands: in each stretch of REACH word 8-grams the one of least digest, leftmost
    first. Equal windows of MIN_WORDS words hold equal 8-grams, so they retain the same place of theirs, and from there share
    MIN_WORDS - REACH + 1 words at least.
-2. The retained suffixes are sorted by the digest of so many words and neighbours are compared: what has no equal neighbour goes.
+2. The retained suffixes are sorted by their leading words, with a digest of so many words to break ties, and neighbours are
+   compared: what has no neighbour with so long a common prefix goes.
 3. From each suffix that is left the match is extended to the left and right: the windows that retain it are digested, sorted and
    compared with their neighbours in the same way; runs of repeated windows merge into spans with byte offsets.
 
-Sorting is by range over all columns, so that a passage however common is spread over tasks, and each comparison is one pass with
-one row held. Where a run of equals crosses partitions, the heads of edge runs, two a partition, are compared afterwards.
+Sorting and comparing are those of order.py: a passage however common is spread over tasks.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts, tidy
+from .common import cut, n_parts, packed, tidy, unpacked
+from .order import NO_ID, ROWS, batch_of, ids_of, repeated
 
 MIN_WORDS = 50
 GRAM = 8
 REACH = 26
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_NO_ID = -(1 << 63)
 
 _is_space = np.zeros(256, bool)
 _is_space[[9, 10, 11, 12, 13, 32]] = True
@@ -116,31 +116,25 @@ class Words:
         return index
 
 
-_ROWS = "h long, c int, doc long, place long"
-_NAMES = ["h", "c", "doc", "place"]
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             yield batch.slice(at, 256)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-
-
-def _rows(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(place)], _NAMES)
+def _leading(w: Words, at: np.ndarray) -> np.ndarray:
+    """16 bits of each of the four words from `at` on, the first highest: what stands together by this number begins alike."""
+    code = w.digest >> np.uint64(48)
+    return code[at] << np.uint64(48) | code[at + 1] << np.uint64(32) | code[at + 2] << np.uint64(16) | code[at + 3]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retained suffixes: digest of their first words, document, first byte."""
+    """Retained suffixes: their leading words, the digest of their first words, document, first byte."""
     n = MIN_WORDS - REACH + 1
     for part in _slices(batches):
         w = Words(part.column(1))
         at = np.unique(w.anchors()[w.whole(MIN_WORDS)])
-        yield _rows(w.grams(n, _B1)[at], w.grams(n, _B2)[at], _ids(part.column(0))[w.text[at]], w.start[at])
+        yield batch_of(_leading(w, at), w.grams(n, _B2)[at], ids_of(part.column(0))[w.text[at]], w.start[at])
     tidy()
 
 
@@ -155,75 +149,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = w.anchors()[first]
         first = first[np.isin((w.text[anchor].astype(np.int64) << 40) | w.start[anchor], left)]
         place = (w.start[first] << 32) | w.stop[first + MIN_WORDS - 1]
-        yield _rows(w.grams(MIN_WORDS, _B1)[first], w.grams(MIN_WORDS, _B2)[first], _ids(part.column(0))[w.text[first]], place)
-    tidy()
-
-
-_FOUND = "edge boolean, h long, c int, doc long, place long, first long"
-
-
-def _compare(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.RecordBatch]:
-    """From sorted rows those with an equal row before them (heads: or after them), with the document of the first equal; and the
-    heads of the partition's first and last run as edges."""
-
-    def out(edge: bool, h, c, doc, place, first) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), edge)), pa.array(h), pa.array(c), pa.array(doc), pa.array(place), pa.array(first)], ["edge", *_NAMES, "first"])
-
-    last: tuple | None = None  # the row before
-    head: tuple | None = None  # the head of the open run
-    told = False  # whether that head has been given out
-    opened = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if last is not None:
-            cols = [np.r_[np.array([x], col.dtype), col] for x, col in zip(last, cols)]
-        h, c, doc, place = cols
-        if not opened:
-            yield out(True, h[:1], c[:1], doc[:1], place[:1], doc[:1])
-            opened = True
-        alike = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
-        same = alike & np.r_[False, (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])]  # the same row again
-        starts = ~alike
-        begin = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))
-        first = doc[begin]
-        if head is not None:  # rows of the open run
-            first = np.where(begin == 0, head[2], first)
-        repeat = alike & ~same
-        if repeat.any():
-            yield out(False, h[repeat], c[repeat], doc[repeat], place[repeat], first[repeat])
-        if heads:
-            of = np.unique(begin[repeat])
-            if len(of) and of[0] == 0 and head is not None:
-                if not told:
-                    yield out(False, *(np.array([x], col.dtype) for x, col in zip(head, cols)), np.array([head[2]], np.int64))
-                of = of[1:]
-                told = True
-            if len(of):
-                yield out(False, h[of], c[of], doc[of], place[of], doc[of])
-        b = int(begin[-1])
-        if b or head is None:
-            head = tuple(col[b] for col in cols)
-            told = bool(repeat[b:].any())
-        last = tuple(col[-1] for col in cols)
-    if head is not None:
-        yield out(True, *(np.array([x], t) for x, t in zip(head, (np.int64, np.int32, np.int64, np.int64))), np.array([head[2]], np.int64))
+        yield batch_of(w.grams(MIN_WORDS, _B1)[first], w.grams(MIN_WORDS, _B2)[first], ids_of(part.column(0))[w.text[first]], place)
     tidy()
 
 
-def _sorted(rows: DataFrame, heads: bool, name: str) -> DataFrame:
-    spark = rows.sparkSession
-    order = rows.repartitionByRange(n_parts(spark), *_NAMES).sortWithinPartitions(*_NAMES)
-    found = cut(order.mapInArrow(lambda it: _compare(it, heads), _FOUND), name)
-    sure, edge = found.filter("not edge").drop("edge"), found.filter("edge").drop("edge").distinct()
-    least = edge.groupBy("h", "c").agg(F.min(F.struct("doc", "place")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    more = edge.drop("first").join(least, ["h", "c"])
-    if not heads:
-        more = more.filter("doc <> least.doc or place <> least.place")
-    return sure.unionByName(more.select(*_NAMES, F.col("least.doc").alias("first")))
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows in (document, place) order to spans."""
     held: tuple | None = None
@@ -250,28 +179,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     doc_id in which a part of it stands first. A null doc_id comes first of all."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    left = _sorted(base.mapInArrow(_suffixes, _ROWS), True, "suffixes").groupBy(F.col("doc").alias("k")).agg(F.collect_set("place").alias("places"))
-    near = base.withColumn("k", F.coalesce("doc_id", F.lit(_NO_ID))).join(left, "k").select("doc_id", "text", "places")
-    again = _sorted(near.mapInArrow(_windows, _ROWS), False, "windows").select("doc", "place", "first")
+    left = repeated(base.mapInArrow(_suffixes, ROWS), heads=True, places=False, name="suffixes").groupBy(F.col("doc").alias("k")).agg(F.collect_set("place").alias("places"))
+    near = base.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID))).join(left, "k").select("doc_id", "text", "places")
+    again = repeated(near.mapInArrow(_windows, ROWS), places=False, name="windows").select("doc", "place", F.col("first_doc").alias("first"))
     spans = again.repartition(n_parts(spark), "doc").sortWithinPartitions("doc", "place").mapInArrow(_merge, "doc long, start long, end long, first long")
-    null = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return spans.select(null("doc").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), null("first").alias("first_doc_id"))
 
 
-def _by_row(docs: DataFrame) -> DataFrame:
-    """docs with __spans, the spans of the row's doc_id."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    spans = cut(repeats(docs), "spans").groupBy(key.alias("__k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("__spans"))
-    return docs.withColumn("__k", key).join(spans, "__k", "left").drop("__k")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs: (doc_id, n_spans, n_bytes, spans), spans being what goes from its text, as repeats() has it.
 
     Texts under MIN_WORDS words, null, empty and blank ones have no spans. Rows with the same doc_id are one document: equal rows
     repeat nothing of each other. Empty tables give no rows.
     """
-    key = F.coalesce("doc_id", F.lit(_NO_ID))
+    key = F.coalesce("doc_id", F.lit(NO_ID))
     spans = cut(repeats(docs), "spans").groupBy(key.alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("spans"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("k", key).join(spans, "k", "left")
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int,first_doc_id:bigint>>)"))
@@ -280,14 +202,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs, the repeated spans cut from text, and n_chars, where docs has it, counted anew."""
-    rows = _by_row(docs)
-    text, spans = rows.columns.index("text"), rows.columns.index("__spans")
+    """docs, the repeated spans cut from text, and n_chars, where docs has it, counted anew. Other columns, whatever their names, stay as they are."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    spans = cut(repeats(docs), "spans").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = packed(docs.withColumn("text", F.col("text").cast("string")), k=key).join(spans, "k", "left").select("row", "spans")
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            new = []
-            for t, s in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column(spans).to_pylist()):
+            row, new = part.column(0), []
+            columns = row.flatten()
+            for t, s in zip(columns[text].cast(pa.binary()).to_pylist(), part.column(1).to_pylist()):
                 if t is not None and s:
                     at, kept = 0, []
                     for x in s:
@@ -295,12 +220,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         at = x["end"]
                     t = b"".join([*kept, t[at:]])
                 new.append(t)
-            columns = [part.column(i) for i in range(part.num_columns) if i != spans]
-            columns[text if text < spans else text - 1] = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [n for n in part.schema.names if n != "__spans"])
+            columns[text] = pa.array(new, pa.binary()).cast(row.type.field(text).type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=[row.type.field(i) for i in range(len(columns))])], ["row"])
         tidy()
 
-    out = rows.mapInArrow(run, rows.drop("__spans").schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out, new = rows.mapInArrow(run, rows.select("row").schema), F.col(f"row.c{text}")
+    if "n_chars" not in docs.columns:
+        return unpacked(out, docs.columns)
+    old = F.col(f"row.c{docs.columns.index('n_chars')}")
+    return unpacked(out, docs.columns, n_chars=F.when(new.isNotNull(), F.length(new)).otherwise(old).cast(docs.schema["n_chars"].dataType))

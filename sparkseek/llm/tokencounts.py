@@ -8,14 +8,14 @@ The tokenizer digest is that of the vocabulary file and the library's version, s
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, tidy
+from ..sources.shared import own_folder
+from .common import cut, tidy
 from .sentencepieces import tokenizer_path
 
 CACHE = "version string, hi long, lo long, size long, n_tokens long"
@@ -73,11 +73,11 @@ def token_counts(docs: DataFrame, name: str = "piece_bpe_32k.model", cache: str
     Counts are the library's for the whole text, without begin, end or added special tokens; strings of special tokens inside a
     text are handled as the library does by default. A null text counts as an empty one. Equal texts are encoded once, whatever
     their doc_id, null ones included. Only the documents to encode move with their texts. over_limit: more than `most` tokens.
-    cache: the folder to read and append; without one, an empty one is begun in the shared folder, and all distinct texts are misses.
+    cache: the folder to read and append; without one, an empty one is begun in the application's folder, which goes with it, and all distinct texts are misses.
     Empty tables give no rows.
     """
     spark = docs.sparkSession
-    cache = cache or f"{shared_dir(spark)}/token-counts/{uuid.uuid4().hex}"
+    cache = cache or own_folder(spark, "token-counts")
     mine = version(name)
     key = ["hi", "lo", "size"]
     rows = _digested(docs)
