@@ -104,7 +104,7 @@ class Ranker:
         return np.stack([np.searchsorted(e, x[:, j], "right") + j * BINS for j, e in enumerate(self.edges)], 1)
 
     def utility(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return self.bins.ravel()[self.binned(x)].sum(1) + h @ self.buckets
+        return self.bins.ravel()[self.binned(x)].sum(1) + h @ self.buckets.astype(h.dtype)
 
     def score(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         z = self.slope * (self.utility(x, h) - self.threshold) + np.log(CUT / (1 - CUT))
@@ -175,9 +175,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
         tidy()
 
     got = sorted(found.mapInArrow(run, "doc_id long, quality int, x binary, h binary").collect())
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), float).reshape(len(got), SURFACE)
-    h = np.frombuffer(b"".join(bytes(r.h) for r in got), np.uint8).reshape(len(got), sum(BUCKETS)).astype(np.float32) / np.float32(255)
-    return fit(x, h, np.array([r.quality for r in got], int))
+    x, h, y = np.empty((len(got), SURFACE)), np.empty((len(got), sum(BUCKETS)), np.float32), np.empty(len(got), int)
+    for i, r in enumerate(got):
+        x[i], h[i], y[i] = np.frombuffer(r.x, float), np.frombuffer(r.h, np.uint8), r.quality
+    del got
+    h *= np.float32(1 / 255)
+    return fit(x, h, y)
 
 
 def scored(rows: DataFrame, text: str, model: Ranker) -> DataFrame:

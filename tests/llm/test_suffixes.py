@@ -7,7 +7,7 @@ from sparkseek.llm import suffixes as S
 def slow(rows):
     """{doc: bytes that go}: every window of 50 words that stands earlier, by (doc, first byte)."""
     seen, gone = {}, {}
-    for doc, text in sorted(((i if i is not None else S._NO_ID, t) for i, t in rows), key=lambda x: x[0]):
+    for doc, text in sorted(((i if i is not None else S.NO_ID, t) for i, t in rows), key=lambda x: x[0]):
         raw = (text or "").encode()
         words, at = [], 0
         for w in raw.split():
@@ -49,7 +49,7 @@ def check(spark, rows, parts):
     want = slow(list(dict.fromkeys(rows)))
     got = {}
     for r in S.repeats(docs).collect():
-        got.setdefault(r.doc_id if r.doc_id is not None else S._NO_ID, set()).update(range(r.start, r.end))
+        got.setdefault(r.doc_id if r.doc_id is not None else S.NO_ID, set()).update(range(r.start, r.end))
     assert {d: b for d, b in got.items() if b} == {d: b for d, b in want.items() if b}
     return docs, want
 
@@ -75,10 +75,10 @@ def test_cut_text(spark):
     docs, want = check(spark, rows, 3)
     cut = S.without_repeats(docs)
     assert cut.columns == docs.columns
-    expected = sorted((i if i is not None else S._NO_ID, None if t is None else bytes(b for at, b in enumerate(t.encode()) if at not in want[i if i is not None else S._NO_ID]).decode()) for i, t in rows)
-    assert sorted((r.doc_id if r.doc_id is not None else S._NO_ID, r.text) for r in cut.collect() if r.text is not None) == [x for x in expected if x[1] is not None]
+    expected = sorted((i if i is not None else S.NO_ID, None if t is None else bytes(b for at, b in enumerate(t.encode()) if at not in want[i if i is not None else S.NO_ID]).decode()) for i, t in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else S.NO_ID, r.text) for r in cut.collect() if r.text is not None) == [x for x in expected if x[1] is not None]
     spans = S.repeated_spans(docs).collect()
-    assert len(spans) == len(rows) and all(r.n_bytes == len(want[r.doc_id if r.doc_id is not None else S._NO_ID]) for r in spans)
+    assert len(spans) == len(rows) and all(r.n_bytes == len(want[r.doc_id if r.doc_id is not None else S.NO_ID]) for r in spans)
     assert S.repeated_spans(docs.limit(0)).count() == 0
 
 
