@@ -1,23 +1,20 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Within a label, each vector is at home in the shard of its nearest centroid, of those fitted on a sample of at most SAMPLE vectors,
-and visits every other shard in which a partner at the threshold could be at home: unit vectors u and v at cosine t are
-r = sqrt(2 - 2 t) apart, and if v is nearer to centroid c than to u's own centroid h, then u (h - c) <= r |h - c|. So both of a
-pair meet in the home of each. In each shard every vector at home gets its nearest ones as candidates and keeps those that robust pruning leaves
-(Subramanya et al., 2019: of candidates in rising distance one is kept unless a kept one is nearer to it by the factor ALPHA);
-edges count in both directions, and each vector has an edge to the shard's medoid. A vector whose candidates or edges are used up
-while more may be at the threshold is compared with the whole shard instead. Then every pair at the threshold is joined by the
-graph: it is an edge, or was dropped for a vector nearer to both, whose pairs are joined likewise. From the medoid and every
-vector's own node the search then expands while vectors stay within SLACK of the threshold; whatever it reaches is verified in
-double precision. Visitors are verified against all that are at home, and links count for these. The links of all shards are united.
+1. Clusters. Within a label, each vector is at home in the shard of its nearest centroid, of those fitted on a bounded sample, and
+   visits every other shard in which a partner at the threshold could be at home: unit vectors u and v at cosine t are
+   r = sqrt(2 - 2 t) apart, and if v is nearer to centroid c than to u's own centroid h, then u (h - c) <= r |h - c|. So shards
+   overlap, and both of a pair meet in the home of each.
+2. Building. In each shard a flat graph grows by greedy inserts with robust pruning (flatgraph.py), visitors included.
+3. Union. The adjacency lists of a vector from all its shards become one.
+4. Search. In its home shard each vector is searched for over the united lists, greedily from the shard's medoid and its own node. From what the
+   beam holds within SLACK of the threshold the search expands along edges that are as near. Queries whose ranges touch share the
+   expansion, so that a dense group is walked once. A beam that is full within the range is widened to the whole shard.
+5. Verification. What a range reached is compared in double precision; links are counted for vectors at home only, once each.
+   recall() audits the result against all rows.
 
 Equal vectors of a label are one from the start, with a number of copies, so that a very common one costs no more than any other.
-A shard is cut by hash into blocks of about BLOCK vectors, those at home and the
-visitors apart; each pair of blocks at home, and of one at home with one of visitors, is a group, in which all pairs across are
-verified without a graph. Links leave a group as a count for each vector and a forest, never as pairs.
-
-Shards are small, so that candidates come from comparing a shard's vectors among themselves: that finds all the near ones, which a
-greedy search over a graph still being built does not.
+A shard with over BLOCK members, such as one dense group, is cut by hash into blocks with a graph each, and each pair of blocks is
+compared as it is. Links leave a group as a count for each vector and a forest, never as pairs.
 """
 
 from __future__ import annotations
@@ -30,36 +27,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, forest
-from .vectors import kept_type, matrix, sample_of, usable
+from .flatgraph import FlatGraph
+from .vectors import kept_type, length_of, matrix, sample_of, usable
 
-SAMPLE = 8192
+#: Vectors that centroids are fitted on: so many for each, and so many at most.
+PER_CENTROID, SAMPLE = 16, 65_536
+#: Vectors at home in a shard, about; members of a block at most, about.
 SHARD = 2048
-BLOCK = 3072
-CANDIDATES = 32
-DEGREE = 12
-ALPHA = 1.2
+BLOCK = 8192
 SLACK = 0.05
 #: Far above the rounding of a cosine.
 EPS = 1e-9
 
 
-def centroids(sample: list, n: int) -> dict[int, np.ndarray]:
+def centroids(sample: list, n: int) -> dict[str, np.ndarray]:
     """Unit centroids of each label of the sample, about one for SHARD of the n vectors; spherical k-means."""
-    found: dict[int, list] = {}
+    found: dict[str, list] = {}
     for label, v in sample:
         found.setdefault(label, []).append(v)
     out = {}
     for label, vs in found.items():
-        x = np.array(vs, float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        k = int(min(max(1, round(n * len(x) / len(sample) / SHARD)), max(1, len(x) // 16)))
+        x = unit(np.array(vs, float))
+        k = int(min(max(1, round(n * len(x) / len(sample) / SHARD)), max(1, len(x) // PER_CENTROID)))
         c = x[np.linspace(0, len(x) - 1, k).astype(int)]
         for _ in range(8):
-            near = np.argmax(x @ c.T, axis=1)
-            for j in range(k):
-                mean = x[near == j].sum(axis=0)
-                if (length := np.linalg.norm(mean)) > 0:
-                    c[j] = mean / length
+            near = np.concatenate([np.argmax(x[at : at + 4096] @ c.T, axis=1) for at in range(0, len(x), 4096)])
+            order = np.argsort(near, kind="stable")
+            some, begin = np.unique(near[order], return_index=True)
+            mean = np.add.reduceat(x[order], begin, axis=0)
+            length = np.linalg.norm(mean, axis=1, keepdims=True)
+            c[some] = np.where(length > 0, mean / np.where(length > 0, length, 1), c[some])
         out[label] = c
     return out
 
@@ -70,49 +67,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def pruned(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (from, to) within SLACK of `least`, of the robust-pruned graph over unit vectors; they join all pairs at `least`."""
-    m = len(x)
-    n = min(CANDIDATES, m - 1)
-    if n < 1:
-        none = np.zeros(0, np.int64)
-        return none, none
-    cand, sim = np.empty((m, n), np.int64), np.empty((m, n))
-    for at in range(0, m, 512):
-        s = x[at : at + 512] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-        cand[at : at + 512], sim[at : at + 512] = top, np.take_along_axis(s, top, 1)
-    alive, rows, out = np.ones((m, n), bool), np.arange(m), []
-    for _ in range(min(DEGREE, n)):
-        pick = np.argmax(alive, axis=1)
-        have = alive[rows, pick]
-        if not have.any():
-            break
-        r, p = rows[have], pick[have]
-        out.append((r, cand[r, p], sim[r, p]))
-        alive[r, p] = False
-        for at in range(0, len(r), 1024):  # drop what the picked one is nearer to
-            rr, pp = r[at : at + 1024], p[at : at + 1024]
-            between = np.einsum("ijk,ik->ij", x[cand[rr]], x[cand[rr, pp]])
-            alive[rr] &= ALPHA * (1 - between) > 1 - sim[rr] - EPS  # nearer by more than rounding
-    a, b, s = (np.concatenate(z) for z in zip(*out))
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
-    a, b, s = np.r_[a, rows], np.r_[b, np.full(m, medoid)], np.r_[s, x @ x[medoid]]
-    edges = [(a[s >= least - SLACK], b[s >= least - SLACK])]
-    left = (alive & (sim >= least - EPS)).any(axis=1)
-    if n < m - 1:
-        left |= sim[:, -1] >= least - EPS
-    left = np.flatnonzero(left)
-    for at in range(0, len(left), 512):
-        i = left[at : at + 512]
-        p, q = np.nonzero(x[i] @ x.T >= least - EPS)
-        edges.append(forest(i[p], q))
-    a, b = (np.concatenate(z) for z in zip(*edges))
-    return a, b
-
-
 def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(home of each unit vector, whether it must be in each shard): all shards in which a vector at `least` may be at home."""
     s = x @ c.T
@@ -121,36 +75,71 @@ def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return home, s[np.arange(len(x)), home][:, None] - s <= np.sqrt(max(0.0, 2 - 2 * least)) * apart[home] + EPS
 
 
-def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray, home: np.ndarray, across: bool, least: float):
+def local(ids: np.ndarray, near: pa.ListArray) -> np.ndarray:
+    """United lists as row numbers, -1 to fill up; neighbours that are not here are left out."""
+    size = near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    owner, to = np.repeat(np.arange(len(ids)), size), near.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(ids)
+    at = np.minimum(np.searchsorted(ids, to, sorter=order), len(ids) - 1)
+    here = ids[order[at]] == to
+    owner, to = owner[here], order[at][here]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((len(ids), int(rank.max(initial=0)) + 1), -1, np.int32)
+    out[owner, rank] = to
+    return out
+
+
+def expanded(x: np.ndarray, lists: np.ndarray, home: np.ndarray, least: float) -> np.ndarray:
+    """A number for each vector: what the ranges of vectors at home have reached together has the same."""
+    graph = FlatGraph(x, lists)
+    a, b = np.repeat(np.arange(len(x)), lists.shape[1]), lists.ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    near = np.concatenate([np.einsum("ij,ij->i", x[a[at : at + 65_536]], x[b[at : at + 65_536]]) >= least - SLACK for at in range(0, len(a), 65_536)] or [np.zeros(0, bool)])
+    edges, queries = [(a[near], b[near])], np.flatnonzero(home)
+    for at in range(0, len(queries), 512):
+        i = queries[at : at + 512]
+        found, sim = graph.search(graph.x[i], i)
+        within = (found >= 0) & (sim >= least - SLACK)
+        p, q = np.nonzero(within)
+        edges.append((i[p], found[p, q]))
+        i = i[within.all(axis=1)]
+        if len(i):
+            p, q = np.nonzero(x[i] @ x.T >= least - EPS)
+            edges.append(forest(i[p], q))
+    node, root = forest(*(np.concatenate(e) for e in zip(*edges)))
+    group = np.arange(len(x))
+    group[node] = root
+    return group
+
+
+def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray, home: np.ndarray, near: pa.ListArray, across: bool, least: float):
     """(ids with links, how many count here, roots): links of one group; each vector stands for so many copies. Visitors get no count."""
     count, ea, eb = np.zeros(len(ids), np.int64), [], []
 
-    def verify(rows: np.ndarray, cols: np.ndarray, both: bool) -> None:
-        """All pairs of rows with cols; they count for the rows, and for the cols if both."""
-        here = cols[home[cols]]
+    def verify(rows: np.ndarray, cols: np.ndarray) -> None:
+        """All pairs of rows with cols; they count for rows at home."""
         for at in range(0, len(rows), 512):
             i = rows[at : at + 512]
             on = x[i] @ x[cols].T >= least
             on &= i[:, None] != cols[None, :]
-            count[i] += on @ copies[cols]
-            if both and len(here):
-                count[here] += copies[i] @ on[:, home[cols]]
+            count[i] += (on @ copies[cols]) * home[i]
             p, q = np.nonzero(on)
             p, q = forest(i[p], cols[q])
             ea.append(p)
             eb.append(q)
 
     if across:
-        verify(np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min()), True)
+        lo = part == part.min()
+        for here, there in ((lo, ~lo), (~lo, lo)):
+            verify(np.flatnonzero(here & home), np.flatnonzero(there))
     else:
-        node, root = forest(*pruned(x, least))  # what the expansion reaches from each node
-        group = np.arange(len(ids))
-        group[node] = root
+        group = expanded(x, local(ids, near), home, least)
         order = np.argsort(group, kind="stable")
-        begin = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(ids) else np.zeros(0, int)
+        begin = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
         for lo, hi in zip(begin, np.r_[begin[1:], len(ids)]):
+            some = order[lo:hi]
             if hi - lo > 1:
-                verify(order[lo:hi], order[lo:hi], False)
+                verify(some[home[some]], some)
     a, b = forest(np.concatenate(ea), np.concatenate(eb)) if ea else (np.zeros(0, int), np.zeros(0, int))
     head = ids.copy()
     head[a] = ids[b]
@@ -161,29 +150,29 @@ def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray,
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
-    Vectors are linked if their labels are equal and not null and their cosine is `least` or more. Null vectors, zero ones, those
-    with null or non-finite components, or of another length than the sample's first, link with nothing. Rows that repeat a
+    Vectors are linked if their labels, of any type, are equal and not null and their cosine is `least` or more. Null vectors, zero
+    ones, those with null or non-finite components, or of another length than most, link with nothing. Rows that repeat a
     vec_id are one vector, the first by hash of its content. Rows with a null vec_id have no links, a null component and are not
     kept. Empty tables give no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), kept_type(vectors, vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), kept_type(vectors, vector_col).alias("v"))
     once = rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min_by(F.struct("label", "v"), F.xxhash64("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
     once = cut(once, "vectors")
     good = once.filter(usable(F.col("v")) & F.col("label").isNotNull()).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v"))
     key = ["label", "h1", "h2"]
     sets = cut(good.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")), "sets")
-    sample = sample_of(sets, SAMPLE, "label", "v")
     every = once.select("vec_id").unionByName(rows.filter("vec_id is null").select("vec_id"))
-    if not sample:
+    d = length_of(sets)
+    if d is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    d = len(sample[0].v)
     alike = sets.filter(F.size("v") == d)
-    of = centroids([(r.label, r.v) for r in sample if len(r.v) == d], alike.count())
+    n = alike.count()
+    of = centroids([(r.label, r.v) for r in sample_of(alike, min(SAMPLE, max(4096, PER_CENTROID * n // SHARD)), "label", "v")], n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector in its shards."""
         for batch in batches:
-            x, label = unit(matrix(batch.column(2))) if batch.num_rows else np.zeros((0, d)), batch.column(1).to_numpy()
+            x, label = unit(matrix(batch.column(2))) if batch.num_rows else np.zeros((0, d)), np.array(batch.column(1).to_pylist(), object)
             for l in np.unique(label):
                 c, own = of.get(l), np.flatnonzero(label == l)
                 for lo in range(0, len(own), 256):
@@ -196,20 +185,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(to.astype(np.int32)), pa.array(home[row] == to), batch.column(2).take(rows), batch.column(3).take(rows)], ["vec_id", "label", "shard", "home", "v", "copies"])
 
     kind = sets.schema["v"].dataType.simpleString()
-    placed = cut(alike.select("vec_id", "label", "v", "copies").mapInArrow(place, f"vec_id long, label long, shard int, home boolean, v {kind}, copies long"), "placed")
-    some = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
-    blocks = placed.groupBy("label", "shard").agg(some(F.col("home")).alias("own"), some(~F.col("home")).alias("guests")).filter("own > 0")
-    keyed = lambda df: df.withColumn("k", F.col("label").bitwiseXOR(F.lit(1))).drop("label")
-    dealt = keyed(placed).join(keyed(blocks), ["k", "shard"]).withColumn("part", F.expr("cast(if(home, pmod(xxhash64(vec_id), own), own + pmod(xxhash64(vec_id), guests)) as int)"))
-    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, if(home, own + guests, own) - 1)"))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
+    placed = cut(alike.select("vec_id", "label", "v", "copies").mapInArrow(place, f"vec_id long, label string, shard int, home boolean, v {kind}, copies long"), "placed")
+    sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("home").alias("any")).filter("any").drop("any")
+    keyed = lambda df: df.withColumn("k", F.xxhash64("label", "shard")).withColumnRenamed("label", "l").withColumnRenamed("shard", "s")  # noqa: E731  dealt anew, so that hot shards can be split
+    dealt = keyed(placed).join(keyed(sizes), ["k", "l", "s"]).withColumn("part", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)"))
+
+    def build(table: pa.Table) -> pa.Table:
+        """The lists of one block's graph."""
+        t = table.combine_chunks()
+        ids = t.column("vec_id").to_numpy()
+        to = FlatGraph(unit(matrix(t.column("v").combine_chunks()))).lists
+        edges = np.r_[0, np.cumsum((to >= 0).sum(axis=1))].astype(np.int32)
+        return pa.table({"vec_id": ids, "near": pa.ListArray.from_arrays(pa.array(edges), pa.array(ids[to[to >= 0]]))})
+
+    lists = dealt.select("l", "s", "part", "vec_id", "v").groupBy("l", "s", "part").applyInArrow(build, "vec_id long, near array<long>")
+    lists = cut(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")  # one list a shard of the vector
+    dealt = dealt.join(lists, "vec_id").withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
+    dealt = dealt.select("l", "s", "lo", "hi", "vec_id", "part", "home", "v", "copies", F.when(F.col("lo") == F.col("hi"), F.col("near")).alias("near"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        ids, x = t.column("vec_id").to_numpy(), unit(matrix(t.column("v").combine_chunks()))
-        found = links(ids, x, t.column("copies").to_numpy(), t.column("part").to_numpy(), t.column("home").to_numpy(), key[2].as_py() != key[3].as_py(), least)
+        column = lambda c: t.column(c).combine_chunks()
+        found = links(column("vec_id").to_numpy(), unit(matrix(column("v"))), column("copies").to_numpy(), column("part").to_numpy(), column("home").to_numpy(zero_copy_only=False), column("near"), key[2].as_py() != key[3].as_py(), least)
         return pa.table([pa.array(f) for f in found], names=["vec_id", "n", "root"])
 
-    found = cut(dealt.select("k", "shard", "lo", "hi", "vec_id", "part", "home", "v", "copies").groupBy("k", "shard", "lo", "hi").applyInArrow(run, "vec_id long, n long, root long"), "links")
+    found = cut(dealt.groupBy("l", "s", "lo", "hi").applyInArrow(run, "vec_id long, n long, root long"), "links")
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("vec_id"), "root")
     n = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     # what holds for one vector of a set of copies holds for all, and each has links to the others
@@ -229,7 +229,7 @@ def recall(vectors: DataFrame, found: DataFrame, least: float = 0.93, queries: i
     The vectors audited are the first by hash that have a link by either count, so that the figure is about links. Vectors of
     another length than most of them are left out.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
     picked = rows.join(found.filter("n_links > 0").select("vec_id"), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id")).limit(queries).unionByName(rows.orderBy(F.xxhash64("vec_id", F.lit(2))).limit(queries)).dropDuplicates(["vec_id"]).collect()
     if not picked:
         return 1.0
@@ -246,7 +246,7 @@ def recall(vectors: DataFrame, found: DataFrame, least: float = 0.93, queries: i
             if batch.num_rows:
                 x = matrix(batch.column(2))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                on = (q @ x.T >= least) & (labels[:, None] == batch.column(1).to_numpy()[None, :]) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
+                on = (q @ x.T >= least) & (labels[:, None] == np.array(batch.column(1).to_pylist())[None, :]) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
                 total += on.sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["vec_id", "n"])
 

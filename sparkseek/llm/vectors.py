@@ -37,3 +37,9 @@ def kept_type(vectors: DataFrame, column: str) -> Column:
 def sample_of(rows: DataFrame, n: int, *columns: str) -> list:
     """n rows at most, the first by hash of vec_id: a bounded sample for fitting."""
     return bounded(rows.select("vec_id", *(c for c in columns if c != "vec_id")), n, "vec_id").collect()
+
+
+def length_of(rows: DataFrame) -> int | None:
+    """The length that most vectors `v` have, of equals the longest; None without rows."""
+    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return most and most.d

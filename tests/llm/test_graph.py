@@ -2,6 +2,7 @@
 
 import numpy as np
 from sparkseek.llm import graph
+from sparkseek.llm.flatgraph import FlatGraph
 
 
 def all_links(x, least=0.93):
@@ -56,3 +57,47 @@ def test_all_links_over_many_shards(spark, monkeypatch):
     for block in (3072, 100):
         monkeypatch.setattr(graph, "BLOCK", block)
         held(spark, x)
+
+
+def test_the_graph_is_what_finds_links(spark, monkeypatch):
+    """Without edges and beams nothing is found; nothing compares a shard behind them."""
+    x = np.random.default_rng(4).standard_normal((300, 16))
+    x[150:] = x[:150] + 0.01
+    df = spark.createDataFrame([(i, v.tolist(), "a" if i % 2 else "b") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((y @ y.T >= 0.93) & ((np.arange(300)[:, None] - np.arange(300)) % 2 == 0)).sum(axis=1) - 1
+    assert want.sum() > 100
+    assert [r.n_links for r in graph.near_duplicates(df).orderBy("vec_id").collect()] == want.tolist()
+    none = lambda ids, near: np.full((len(ids), 1), -1, np.int32)
+    monkeypatch.setattr(graph, "local", none)
+    monkeypatch.setattr(graph.FlatGraph, "search", lambda self, q, own=None: (np.full((len(q), 1), -1), np.full((len(q), 1), -1.0)))
+    x, ids = y[:50], np.arange(50)
+    found = graph.links(ids, x, np.ones(50, int), np.zeros(50, int), np.ones(50, bool), None, False, 0.1)
+    assert not len(found[0])
+
+
+def test_greedy_search_over_a_flat_graph():
+    """Its beam holds the nearest of isotropic vectors with their near copies; every node is reached from the entries."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 32))
+    x[2000:] = x[rng.integers(0, 40, 1000)] + 0.05 * rng.standard_normal((1000, 32))  # 40 tight groups
+    x = graph.unit(x)
+    g = FlatGraph(x)
+    seen, new = np.zeros(3000, bool), g.entries
+    while len(new):
+        seen[new] = True
+        new = np.unique(g.lists[new])
+        new = new[(new >= 0) & ~seen[new]]
+    assert seen.all() and (g.lists >= 0).sum(axis=1).min() >= 1
+    ids, _ = g.search(g.x)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    near = np.argmax(s, axis=1)
+    close = s.max(axis=1) > 0.93
+    assert (ids == near[:, None]).any(axis=1)[close].mean() > 0.99
+
+
+def test_most_common_length_counts(spark):
+    rows = [(i, [1.0, 0.01 * i], 1) for i in range(5)] + [(10 + i, [1.0, 0.0, 0.0], 1) for i in range(3)]
+    got = {r.vec_id: r.n_links for r in graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] == 4 for i in range(5)) and all(got[10 + i] == 0 for i in range(3))
