@@ -319,6 +319,7 @@ def usable(v):
 def test_nearest(spark, monkeypatch):
     rows, df = vectors(spark)
     monkeypatch.setattr(hashing, "SHARD", 300)
+    monkeypatch.setattr(hashing, "LEAST_SHARD", 300)
     monkeypatch.setattr(hashing, "BLOCK", 20)
     got = defaultdict(list)
     for r in hashing.nearest(df).orderBy("query_id", "rank").collect():
@@ -345,13 +346,31 @@ def test_nearest(spark, monkeypatch):
 
 def test_pigeonhole_probing_finds_all():
     rng = np.random.default_rng(1)
-    c = rng.integers(0, 256, (3000, 4), dtype=np.uint8)
+    c = rng.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
+    c[1000:] = c[rng.integers(0, 50, 2000)] ^ (np.uint64(1) << rng.integers(0, 64, (2000, 4), dtype=np.uint64))
     index = hashing.MultiIndex(c)
-    for r in range(0, 33, 3):
+    for r in (0, 1, 2, 3, 4, 5, 90, 100, 111, 130, 256):
         for code in c[:5]:
             assert (index.within(code, r) == np.flatnonzero(np.bitwise_count(c ^ code).sum(axis=1) <= r)).all()
 
 
+def test_nearest_by_inner_product_of_uneven_norms(spark):
+    """Norms that differ by much, a mean far from 0 and vectors longer than the code; what is short within the radius is searched again."""
+    rng = np.random.default_rng(6)
+    for d in (12, 300):
+        x = (rng.standard_normal((1500, d)) + 2 * rng.standard_normal(d)) * rng.lognormal(0, 0.7, 1500)[:, None]
+        x[40] *= -50  # far from all others
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, [1.0]) for i in range(9)], "vec_id long, embedding array<double>").repartition(3)
+        got = hashing.nearest(df)
+        rows = got.collect()
+        assert Counter(r.query_id for r in rows) == {i: 20 for i in range(0, 1500, 20)}
+        s = x @ x[::20].T
+        s[np.arange(0, 1500, 20), np.arange(75)] = -np.inf
+        true = {(20 * j, int(i)) for j in range(75) for i in np.argsort(-s[:, j])[:20]}
+        share = len(true & {(r.query_id, r.vec_id) for r in rows}) / len(true)
+        assert share >= 0.9 and hashing.recall(df, got) == pytest.approx(share)
+
+
 def test_embedding_duplicates(spark, monkeypatch):
     rows, _ = vectors(spark)
     rows += [(3000 + i, rows[17][1], rows[17][2], 0.1) for i in range(700)] + [(4000 + i, [1.0, 2.0], 1, 0.1) for i in range(3)]  # one very common vector; vectors of another length
