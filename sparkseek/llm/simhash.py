@@ -2,11 +2,15 @@
 
 Fingerprints are found row by row. Distinct fingerprints are then indexed: with k allowed differences, the 64 bits are cut into
 k + 1 runs of bits; two fingerprints at k or fewer differences agree in one run at least. For each run the bits are rotated so
-that it leads, and the codes are sorted by Gray rank, where codes that share leading bits stand together. An upper node is a
-run value that its members share (the factored masked pattern, difference 0 so far); below it, leaves of at most LEAF codes in
-Gray order carry the mask of the bits in which all their members agree and the pattern of those bits. Two leaves under one node
-are compared only if their patterns differ in k or fewer commonly masked bits. Leaves are cut from range partitions of
-the sorted codes, so that no node, however many codes it has, is gathered in one task. Links are reduced to a forest within
+that it leads, and the codes are sorted by Gray rank, where codes that share leading bits stand together. Over the codes that
+agree in a run stands a hierarchy in that order: leaves of LEAF codes at most, upper nodes of FAN leaves, top nodes of FAN upper
+nodes. Each has the mask of the bits in which all its codes agree and the pattern of those bits.
+
+Two top nodes of a run's value are compared in the bits that both masks have; beyond k differences everything below them is
+left out. What stays goes down a level: children's masks have more bits, of which those not seen above are compared and the
+differences accumulate; and so to the leaves, whose codes are compared one by one. Nodes carry two numbers and are paired by their
+own ids, so that a run's value with very many codes is spread over tasks at every level. Leaves are cut from range partitions of
+the sorted codes, so that no value, however many codes it has, is gathered in one task. Links are reduced to a forest within
 each batch before they leave a task, so that dense groups do not emit all their pairs.
 """
 
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ from .common import components, cut, forest, n_parts, packed, tidy, unpacked
 from .shingles import LEAST, WIDTH, near_copies
 
 LEAF = 256
+FAN = 32
+LEVELS = 3
 _STEP = 1 << 16
 
 
@@ -110,16 +117,24 @@ def _within(code: np.ndarray, leaf: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return forest(np.concatenate(a), np.concatenate(b)) if a else (code[:0], code[:0])
 
 
-_LEAVES = "a long, b long, run int, node long, mask long, pattern long, codes binary"
+_LEAVES = "a long, b long, level int, run int, node long, id long, parent long, mask long, pattern long, codes binary"
+_TYPES = [("a", pa.int64()), ("b", pa.int64()), ("level", pa.int32()), ("run", pa.int32()), ("node", pa.int64()), ("id", pa.int64()), ("parent", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("codes", pa.binary())]
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """Rows of _LEAVES, null where a column is not given."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _TYPES], schema=pa.schema(_TYPES))
 
 
 def _cut_leaves(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """From one partition in (run, rank) order: links within leaves, and the leaves of nodes that may have another leaf."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int32()), ("node", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("codes", pa.binary())])
-    widths = np.array([w for _, w in _runs(k)])
-    turns = [at for at, _ in _runs(k)]
+    """From one partition in (run, rank) order: links within leaves, and the leaves of values that may have another leaf, with the
+    nodes above them."""
+    widths, turns = np.array([w for _, w in _runs(k)]), [at for at, _ in _runs(k)]
+    made = TaskContext.get().partitionId() << 40  # ids go on from here
 
     def out(run: np.ndarray, rank: np.ndarray, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal made
         gray = rank.view(np.uint64) ^ _SIGN
         gray = gray ^ (gray >> np.uint64(1))  # rank back to the rotated code
         node = gray >> (64 - widths[run]).astype(np.uint64)
@@ -134,28 +149,35 @@ def _cut_leaves(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             code[run == i] = _turn(gray[run == i], 64 - at)
         a, b = _within(code, leaf, k)
         if len(a):
-            none = lambda t: pa.nulls(len(a), t)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], schema=schema)
+            yield _rows(a=a.view(np.int64), b=b.view(np.int64))
         many = size > LEAF
         many[0] |= first
         many[-1] |= last
-        rows: list[tuple] = []
-        heads = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-        ends = np.r_[heads[1:], len(run)]
-        for s, e in zip(heads[many[which[heads]]], ends[many[which[heads]]]):
-            c = code[s:e]
-            same = ~(np.bitwise_or.reduce(c) ^ np.bitwise_and.reduce(c))
-            rows.append((int(run[s]), int(node[s].astype(np.int64)), same, c[0] & same, c.tobytes()))
-        if rows:
-            r, n, m, p, c = zip(*rows)
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(r, pa.int32()), pa.array(n, pa.int64()), pa.array(np.array(m, np.uint64).view(np.int64)), pa.array(np.array(p, np.uint64).view(np.int64)), pa.array(c, pa.binary())], schema=schema)
+        keep = np.flatnonzero(many[which])
+        if not len(keep):
+            return
+        run, node, which, offset, code = run[keep], node[keep], which[keep], offset[keep], code[keep]
+        below = None
+        for level in reversed(range(LEVELS)):
+            span = LEAF * FAN**level
+            heads = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] // span != offset[:-1] // span)])
+            ids = made + np.arange(len(heads))
+            made += len(heads)
+            high, low = np.bitwise_or.reduceat(code, heads), np.bitwise_and.reduceat(code, heads)
+            mask = ~(high ^ low)
+            columns = {"level": np.full(len(heads), level), "run": run[heads], "node": node[heads].view(np.int64), "id": ids, "mask": mask.view(np.int64), "pattern": (low & mask).view(np.int64)}
+            if below is not None:
+                columns["parent"] = below[heads]
+            if level == 0:
+                columns["codes"] = [code[s:e].tobytes() for s, e in zip(heads, np.r_[heads[1:], len(code)])]
+            yield _rows(**columns)
+            below = np.repeat(ids, np.diff(np.r_[heads, len(code)]))
 
     run, rank, first = np.empty(0, np.int32), np.empty(0, np.int64), True
     for batch in batches:
         run = np.concatenate([run, batch.column(0).to_numpy(zero_copy_only=False)])
         rank = np.concatenate([rank, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(run) > 4 * _STEP:  # all but the open node go now; a node longer than that goes in pieces that are compared as leaves
+        if len(run) > 4 * _STEP:  # all but the open value go now; a value longer than that goes in pieces that are compared as nodes
             gray = rank.view(np.uint64) ^ _SIGN
             node = (gray ^ (gray >> np.uint64(1))) >> (64 - widths[run]).astype(np.uint64)
             at = np.flatnonzero((run != run[-1]) | (node != node[-1]))
@@ -187,11 +209,22 @@ def linked(codes: DataFrame, k: int = 2) -> DataFrame:
     ranked = codes.select("fp").mapInArrow(lambda it: _ranked(it, k), "run int, rank long")
     ordered = ranked.repartitionByRange(n_parts(spark), "run", "rank").sortWithinPartitions("run", "rank")
     found = cut(ordered.mapInArrow(lambda it: _cut_leaves(it, k), _LEAVES), "leaves")
-    leaves = found.filter("codes is not null")
-    x, y = (leaves.select("run", "node", F.col("mask").alias(f"mask{s}"), F.col("pattern").alias(f"pattern{s}"), F.col("codes").alias(f"codes{s}")) for s in "xy")
-    apart = F.bit_count(F.col("patternx").bitwiseXOR(F.col("patterny")).bitwiseAND(F.col("maskx")).bitwiseAND(F.col("masky")))
-    near = x.join(y, ["run", "node"]).filter("codesx < codesy").filter(apart <= k).select("codesx", "codesy")
-    return found.filter("codes is null").select("a", "b").unionByName(near.mapInArrow(lambda it: _across(it, k), "a long, b long"))
+    pairs = None
+    for level in reversed(range(LEVELS)):
+        nodes = found.filter(F.col("level") == level)
+        x, y = (nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("run", "node", "id", "parent", "mask", "pattern"))) for s in "xy")
+        if pairs is None:
+            both = x.join(y, (F.col("run_x") == F.col("run_y")) & (F.col("node_x") == F.col("node_y"))).withColumn("seen", F.lit(0).cast("long")).withColumn("diff", F.lit(0))
+        else:
+            both = pairs.join(x, "parent_x").join(y, "parent_y")
+        common = F.col("mask_x").bitwiseAND(F.col("mask_y"))
+        fresh = common.bitwiseAND(F.bitwise_not("seen"))
+        diff = F.col("diff") + F.bit_count(F.col("pattern_x").bitwiseXOR(F.col("pattern_y")).bitwiseAND(fresh))
+        order = F.col("id_x") <= F.col("id_y") if level else F.col("id_x") < F.col("id_y")
+        pairs = both.filter(order).select(F.col("id_x").alias("parent_x"), F.col("id_y").alias("parent_y"), common.alias("seen"), diff.alias("diff")).filter(F.col("diff") <= k)
+    x, y = (found.filter("level = 0").select(F.col("id").alias(f"parent_{s}"), F.col("codes").alias(f"codes_{s}")) for s in "xy")
+    near = pairs.select("parent_x", "parent_y").join(x, "parent_x").join(y, "parent_y").select("codes_x", "codes_y")
+    return found.filter("level is null").select("a", "b").unionByName(near.mapInArrow(lambda it: _across(it, k), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
