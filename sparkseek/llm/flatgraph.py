@@ -14,7 +14,7 @@ import numpy as np
 from .common import forest
 
 DEGREE = 16
-BEAM = 48
+BEAM = 64
 #: Nodes of a beam that are expanded at once.
 WIDE = 4
 ALPHA = 1.2
@@ -142,12 +142,13 @@ class FlatGraph:
         lists, fits = np.full((len(nodes), DEGREE), -1, np.int32), (size <= DEGREE)[row]
         lists[row[fits], rank[fits]] = b[fits]
         over = np.flatnonzero(size > DEGREE)
-        for at in range(0, len(over), BATCH):
-            some = over[at : at + BATCH]
+        wide = min(2 * DEGREE, int(size.max()))
+        for at in range(0, len(over), 4 * BATCH):
+            some = over[at : at + 4 * BATCH]
             to = np.full(len(nodes), -1)
             to[some] = np.arange(len(some))
-            mine = (to[row] >= 0) & (rank < 2 * BEAM)
-            cand, s = np.full((len(some), 2 * BEAM), -1, np.int32), np.full((len(some), 2 * BEAM), -np.inf, np.float32)
+            mine = (to[row] >= 0) & (rank < wide)
+            cand, s = np.full((len(some), wide), -1, np.int32), np.full((len(some), wide), -np.inf, np.float32)
             cand[to[row[mine]], rank[mine]], s[to[row[mine]], rank[mine]] = b[mine], sim[mine]
             lists[some] = pruned(self.x, cand, s)
         self.lists[nodes] = lists

@@ -32,9 +32,9 @@ from .vectors import kept_type, length_of, matrix, sample_of, usable
 
 #: Vectors that centroids are fitted on: so many for each, and so many at most.
 PER_CENTROID, SAMPLE = 16, 65_536
-#: Vectors at home in a shard, about; members of a block at most, about.
-SHARD = 2048
-BLOCK = 8192
+#: Vectors at home in a shard, about; members of a block at most, about. A search costs little more in a larger shard, and fewer shards have fewer copies.
+SHARD = 16_384
+BLOCK = 32_768
 SLACK = 0.05
 #: Far above the rounding of a cosine.
 EPS = 1e-9
@@ -75,6 +75,12 @@ def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return home, s[np.arange(len(x)), home][:, None] - s <= np.sqrt(max(0.0, 2 - 2 * least)) * apart[home] + EPS
 
 
+def steps(rows: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """rows in pieces whose products with n columns stay small."""
+    size = max(1, (1 << 22) // max(1, n))
+    return (rows[at : at + size] for at in range(0, len(rows), size))
+
+
 def local(ids: np.ndarray, near: pa.ListArray) -> np.ndarray:
     """United lists as row numbers, -1 to fill up; neighbours that are not here are left out."""
     size = near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -102,8 +108,7 @@ def expanded(x: np.ndarray, lists: np.ndarray, home: np.ndarray, least: float) -
         within = (found >= 0) & (sim >= least - SLACK)
         p, q = np.nonzero(within)
         edges.append((i[p], found[p, q]))
-        i = i[within.all(axis=1)]
-        if len(i):
+        for i in steps(i[within.all(axis=1)], len(x)):
             p, q = np.nonzero(x[i] @ x.T >= least - EPS)
             edges.append(forest(i[p], q))
     node, root = forest(*(np.concatenate(e) for e in zip(*edges)))
@@ -118,8 +123,7 @@ def links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, part: np.ndarray,
 
     def verify(rows: np.ndarray, cols: np.ndarray) -> None:
         """All pairs of rows with cols; they count for rows at home."""
-        for at in range(0, len(rows), 512):
-            i = rows[at : at + 512]
+        for i in steps(rows, len(cols)):
             on = x[i] @ x[cols].T >= least
             on &= i[:, None] != cols[None, :]
             count[i] += (on @ copies[cols]) * home[i]
@@ -167,7 +171,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     alike = sets.filter(F.size("v") == d)
     n = alike.count()
-    of = centroids([(r.label, r.v) for r in sample_of(alike, min(SAMPLE, max(4096, PER_CENTROID * n // SHARD)), "label", "v")], n)
+    of = centroids([(r.label, r.v) for r in sample_of(alike, min(SAMPLE, max(4096, PER_CENTROID * -(-n // SHARD))), "label", "v")], n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector in its shards."""
