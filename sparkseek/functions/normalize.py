@@ -170,6 +170,14 @@ def normalize_text(text: str | None, spec: str | None = "auto", substitutions: t
     return None if text is None else normalize_with_offsets(text, spec, substitutions)[0]
 
 
+_one_by_one = str.maketrans(_FROM, _TO)
+
+
+def normalize_plain(text: str) -> str:
+    """What the native form of 'auto' makes of a text: compatibility characters that stand for one other, and case."""
+    return text.translate(_one_by_one).lower()
+
+
 def normalize(col: Column, spec: str | None = "auto", substitutions: tuple = ()) -> Column:
     """A column normalised. 'auto', 'lower' and None stay native; named normalizers run by Arrow batches."""
     for target, by in substitutions:
@@ -179,7 +187,8 @@ def normalize(col: Column, spec: str | None = "auto", substitutions: tuple = ())
     if spec == "lower":
         return F.lower(col)
     if spec == "auto":
-        return F.lower(F.translate(col, _FROM, _TO))
+        # plain ASCII, which is as many bytes as characters, has nothing to fold but its case
+        return F.lower(F.when(F.length(col) == F.octet_length(col), col).otherwise(F.translate(col, _FROM, _TO)))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -77,3 +77,15 @@ def reads_as_any(col: Column, starts: list[str]) -> Column:
             yield s.map(lambda t: None if t is None else any(reads_as(t, w) for w in wanted))
 
     return run(col)
+
+
+def reads_as_any_element(col: Column, starts: list[str]) -> Column:
+    """Column form over an array column: some element's reading begins with some input; elements that are null are passed over."""
+    wanted = [s for s in starts if s]
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda v: v is not None and any(x is not None and reads_as(x, w) for x in v for w in wanted))
+
+    return run(col)

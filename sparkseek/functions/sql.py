@@ -3,8 +3,6 @@
 match, query, prefix, equal, regexp and the like take the column's value and a literal or a column as SQL operators do.
 """
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,28 +11,30 @@ from ..operators import jsonsearch
 from ..operators.vectors import hashing_embedding
 from ..plans.query import extract_keywords, fold, parse
 from . import present
-from .normalize import _FROM, _TO, normalize_text
+from .normalize import _FROM, _TO, normalize_plain, normalize_text
 from .romaji import reads_as
 from .tokenize import SCHEMA, tokenize
 from ..conf import Analyzer
 
 #: Native functions: name, arguments, type, body.
 NATIVE = [
-    ("seek_normalize", "t STRING", "STRING", "lower(translate(t, '{f}', '{t}'))"),
+    ("seek_normalize", "t STRING", "STRING", "lower(if(length(t) = octet_length(t), t, translate(t, '{f}', '{t}')))"),
+    ("seek_normalize_each", "ts ARRAY<STRING>", "ARRAY<STRING>", "transform(ts, x -> lower(if(length(x) = octet_length(x), x, translate(x, '{f}', '{t}'))))"),
+    ("seek_pattern", "p STRING", "STRING", r"replace(p, r'\h', '[0-9a-fA-F]')"),
     ("seek_match", "t STRING, term STRING", "BOOLEAN", "term <> '' AND contains(seek_normalize(t), seek_normalize(term))"),
-    ("seek_match_array", "t ARRAY<STRING>, term STRING", "BOOLEAN", "term <> '' AND exists(t, x -> contains(lower(x), lower(term)))"),
-    ("seek_match_in", "t STRING, terms ARRAY<STRING>", "BOOLEAN", "exists(terms, x -> x <> '' AND contains(lower(t), lower(x)))"),
+    ("seek_match_array", "t ARRAY<STRING>, term STRING", "BOOLEAN", "term <> '' AND exists(seek_normalize_each(t), x -> contains(x, seek_normalize(term)))"),
+    ("seek_match_in", "t STRING, terms ARRAY<STRING>", "BOOLEAN", "exists(seek_normalize_each(terms), x -> x <> '' AND contains(seek_normalize(t), x))"),
     ("seek_prefix", "t STRING, p STRING", "BOOLEAN", "p <> '' AND startswith(seek_normalize(t), seek_normalize(p))"),
-    ("seek_prefix_array", "t ARRAY<STRING>, p STRING", "BOOLEAN", "p <> '' AND exists(t, x -> startswith(lower(x), lower(p)))"),
-    ("seek_prefix_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", "exists(ps, x -> x <> '' AND startswith(lower(t), lower(x)))"),
-    ("seek_not_prefix_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", "t IS NOT NULL AND NOT exists(ps, x -> x <> '' AND startswith(lower(t), lower(x)))"),
+    ("seek_prefix_array", "t ARRAY<STRING>, p STRING", "BOOLEAN", "p <> '' AND exists(seek_normalize_each(t), x -> startswith(x, seek_normalize(p)))"),
+    ("seek_prefix_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", "exists(seek_normalize_each(ps), x -> x <> '' AND startswith(seek_normalize(t), x))"),
+    ("seek_not_prefix_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", "t IS NOT NULL AND NOT coalesce(exists(seek_normalize_each(ps), x -> x <> '' AND startswith(seek_normalize(t), x)), false)"),
     ("seek_equal", "t STRING, o STRING", "BOOLEAN", "o <> '' AND seek_normalize(t) = seek_normalize(o)"),
     ("seek_contain", "t ARRAY<STRING>, v STRING", "BOOLEAN", "array_contains(t, v)"),
-    ("seek_regexp", "t STRING, p STRING", "BOOLEAN", "p <> '' AND regexp_like(seek_normalize(t), p)"),
-    ("seek_regexp_array", "t ARRAY<STRING>, p STRING", "BOOLEAN", "p <> '' AND exists(t, x -> regexp_like(lower(x), p))"),
-    ("seek_regexp_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", "exists(ps, x -> x <> '' AND regexp_like(lower(t), x))"),
-    ("seek_match_in_array", "t ARRAY<STRING>, terms ARRAY<STRING>", "BOOLEAN", "exists(terms, y -> y <> '' AND exists(t, x -> contains(lower(x), lower(y))))"),
-    ("seek_prefix_in_array", "t ARRAY<STRING>, ps ARRAY<STRING>", "BOOLEAN", "exists(ps, y -> y <> '' AND exists(t, x -> startswith(lower(x), lower(y))))"),
+    ("seek_regexp", "t STRING, p STRING", "BOOLEAN", "p <> '' AND regexp_like(seek_normalize(t), seek_pattern(p))"),
+    ("seek_regexp_array", "t ARRAY<STRING>, p STRING", "BOOLEAN", "p <> '' AND exists(seek_normalize_each(t), x -> regexp_like(x, seek_pattern(p)))"),
+    ("seek_regexp_in", "t STRING, ps ARRAY<STRING>", "BOOLEAN", r"exists(ps, x -> x <> '' AND regexp_like(seek_normalize(t), replace(x, r'\h', '[0-9a-fA-F]')))"),
+    ("seek_match_in_array", "t ARRAY<STRING>, terms ARRAY<STRING>", "BOOLEAN", "exists(seek_normalize_each(terms), y -> y <> '' AND exists(seek_normalize_each(t), x -> contains(x, y)))"),
+    ("seek_prefix_in_array", "t ARRAY<STRING>, ps ARRAY<STRING>", "BOOLEAN", "exists(seek_normalize_each(ps), y -> y <> '' AND exists(seek_normalize_each(t), x -> startswith(x, y)))"),
     ("seek_contain_all", "t ARRAY<STRING>, vs ARRAY<STRING>", "BOOLEAN", "size(array_except(vs, t)) = 0"),
     ("seek_command_escape_value", "t STRING", "STRING", r"""concat('"', replace(regexp_replace(t, r'(["\\])', r'\\$1'), '\n', r'\n'), '"')"""),
     ("seek_escape", "t STRING", "STRING", r"""concat('"', regexp_replace(t, r'(["\\])', r'\\$1'), '"')"""),
@@ -50,10 +50,10 @@ NATIVE = [
 def _scan(text: str | None, query: str | None) -> bool | None:
     if text is None or query is None:
         return None
-    tree, folded = parse(query), normalize_text(text)
+    tree, folded = parse(query), normalize_plain(text)
     if tree is None:
         return False
-    return fold(tree, lambda x: bool(x.text) and normalize_text(x.text) in folded, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
+    return fold(tree, lambda x: bool(x.text) and normalize_plain(x.text) in folded, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
 
 
 def _over_array(texts, query: str | None) -> bool:
@@ -61,30 +61,30 @@ def _over_array(texts, query: str | None) -> bool:
     tree = parse(query)
     if tree is None:
         return False
-    folded = [normalize_text(t) for t in texts if t is not None]
-    return fold(tree, lambda x: bool(x.text) and any(normalize_text(x.text) in t for t in folded), lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
+    folded = [normalize_plain(t) for t in texts if t is not None]
+    return fold(tree, lambda x: bool(x.text) and any(normalize_plain(x.text) in t for t in folded), lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
 
 
 def _equal_over_array(texts, query: str) -> bool:
     tree = parse(query)
     if tree is None:
         return False
-    folded = {normalize_text(t) for t in texts if t is not None}
-    leaf = lambda x: any(t.startswith(normalize_text(x.text)) for t in folded) if x.kind == "prefix" else normalize_text(x.text) in folded
+    folded = {normalize_plain(t) for t in texts if t is not None}
+    leaf = lambda x: any(t.startswith(normalize_plain(x.text)) for t in folded) if x.kind == "prefix" else normalize_plain(x.text) in folded
     return fold(tree, leaf, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)
 
 
 def _json_strings(text: str) -> list[str]:
-    return [normalize_text(x["string"]) for x in jsonsearch.flatten(text) or () if x["string"] is not None]
+    return [normalize_plain(x["string"]) for x in jsonsearch.flatten(text) or () if x["string"] is not None]
 
 
 def _json_match(text: str, term: str) -> bool:
-    return bool(term) and any(normalize_text(term) in s for s in _json_strings(text))
+    return bool(term) and any(normalize_plain(term) in s for s in _json_strings(text))
 
 
 def _json_query(text: str, query: str) -> bool:
     tree = parse(query, strict=True)
-    leaf = lambda s: lambda x: bool(x.text) and normalize_text(x.text) in s
+    leaf = lambda s: lambda x: bool(x.text) and normalize_plain(x.text) in s
     return tree is not None and any(fold(tree, leaf(s), lambda a, b: a and b, lambda a, b: a or b, lambda a: not a) for s in _json_strings(text))
 
 
@@ -104,6 +104,27 @@ def _each(function, strict: bool = True):
     return run
 
 
+def _one(run):
+    def call(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    return call
+
+
+def _two(run):
+    def call(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    return call
+
+
+def _three(run):
+    def call(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return run(a, b, c)
+
+    return call
+
+
 def register(spark: SparkSession) -> list[str]:
     """Define all functions in the session; their names."""
     literal = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
@@ -111,11 +132,10 @@ def register(spark: SparkSession) -> list[str]:
         body = body.replace("'{f}'", f"'{literal(_FROM)}'").replace("'{t}'", f"'{literal(_TO)}'")
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
 
-    def arrow(name: str, returns: str, one: int, function) -> str:
-        args = ", ".join(f"a{i}: 'pd.Series'" for i in range(one))
-        space = {"pd": pd, "run": _each(function)}
-        exec(f"def call({args.replace(chr(39), '')}) -> pd.Series:\n    return run({', '.join(f'a{i}' for i in range(one))})", space)
-        spark.udf.register(name, F.pandas_udf(space["call"], returns))
+    def arrow(name: str, returns: str, n: int, function) -> str:
+        run = _each(function)
+        calls = {1: _one(run), 2: _two(run), 3: _three(run)}
+        spark.udf.register(name, F.pandas_udf(calls[n], returns))
         return name
 
     made = [

@@ -22,6 +22,11 @@ from ..plans.query import Leaf, fold, leaves, parse
 from ..plans.spread import spread
 from .predicates import Condition
 
+
+#: Tokens that a fuzzy search names in its plan at most; beyond, it compares postings.
+FUZZY_TOKENS = 2000
+
+
 def postings_schema(id_type: str = "bigint") -> str:
     return f"token string, doc_id {id_type}, section int, position int"
 
@@ -56,6 +61,8 @@ class TokenIndex:
     analyzer: Analyzer = FULL_TEXT
     sections: int = 1
     columns: tuple[str, ...] = ()
+    #: The distinct tokens, where a stored index keeps them; tokens may repeat.
+    words: DataFrame | None = None
 
     def lexicon(self) -> DataFrame:
         """(token, df, tf): documents that have it and how often it occurs."""
@@ -72,23 +79,30 @@ class TokenIndex:
                 reach = int(fuzzy * len(t)) if fuzzy else 0
                 rows.append((n, k, len(tokens), t, start, reach))
                 token = F.col("token")
-                any_token.append(F.levenshtein(token, F.lit(t)) <= reach if reach else token.startswith(t) if start else token == t)
+                any_token.append(F.levenshtein(token, F.lit(t), reach) >= 0 if reach else token.startswith(t) if start else token == t)
         return rows, any_token
 
+    def _some(self, condition: Column, fuzzy: bool) -> DataFrame:
+        """Postings of the tokens that meet a condition. Edits are counted once for each token of a stored index, not for each posting."""
+        if not fuzzy or self.words is None:
+            return self.postings.filter(condition)
+        tokens = [r.token for r in self.words.filter(condition).select("token").distinct().limit(FUZZY_TOKENS + 1).collect()]
+        return self.postings.filter(condition) if len(tokens) > FUZZY_TOKENS else self.postings.filter(F.col("token").isin(tokens) if tokens else F.lit(False))
+
     def keyword_hits(self, wanted: list[Leaf], fuzzy: float | None = None, loose: bool = False) -> DataFrame:
         """(doc_id, section, leaf, tf, bonus) of each leaf's occurrences; rows of a document stand in one partition."""
         rows, any_token = self._words(wanted, fuzzy, loose)
         if not rows:
             return self.documents.select("doc_id", F.lit(0).alias("section"), F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("bonus")).limit(0)
-        some = self.postings.filter(_any(any_token))
+        some = self._some(_any(any_token), bool(fuzzy))
         if len(rows) == 1:  # one token: no positions to compare
             n, _, _, t, _, reach = rows[0]
-            bonus = F.max(F.lit(reach) - F.levenshtein("token", F.lit(t)) + 1) if reach else F.max(F.lit(0))
+            bonus = F.max(F.lit(reach) - F.levenshtein("token", F.lit(t), reach) + 1) if reach else F.max(F.lit(0))
             return some.groupBy("doc_id", "section").agg(F.count("*").alias("tf"), bonus.cast("long").alias("bonus")).select("doc_id", "section", F.lit(n).alias("leaf"), "tf", "bonus")
         each, nth = [], 0  # what a posting stands for: some words of the query, each at its place in its phrase
         for i, ((n, k, size, t, _, reach), meets) in enumerate(zip(rows, any_token)):
             nth = nth + 1 if i and rows[i - 1][0] == n else 0
-            bonus = F.lit(reach) - F.levenshtein("token", F.lit(t)) + 1 if reach else F.lit(0)
+            bonus = F.lit(reach) - F.levenshtein("token", F.lit(t), reach) + 1 if reach else F.lit(0)
             each.append(F.when(meets, F.struct(F.lit(n).alias("leaf"), F.lit(k).alias("k"), F.lit(size).alias("n"), F.lit(nth).alias("nth"), bonus.cast("long").alias("bonus"))))
         hits = some.select("doc_id", "section", "position", F.explode(F.array_compact(F.array(*each))).alias("hit")).select("doc_id", "section", "position", "hit.*")
         hits = hits.repartition("doc_id")  # the one shuffle of all groupings from here on
@@ -182,13 +196,29 @@ class TokenIndex:
         tf = F.when(F.col("bonus") > 0, F.col("bonus")).otherwise(F.col("tf")) if fuzzy else F.col("tf")
         return hits.groupBy("doc_id").agg(F.sum(tf).cast("double").alias("score"))
 
-    def similar(self, text: str, least: float = 0.5) -> DataFrame:
-        """(doc_id, score): documents that have at least the share `least` of the text's distinct tokens; score is how many."""
-        tokens = sorted(set(query_tokens(text, self.analyzer)))
+    def similar(self, query, least: float = 0.5) -> DataFrame:
+        """(doc_id, score): documents that have at least the share `least` of the text's distinct tokens; score is how many.
+
+        query: text or a Condition, whose weights count for sections, 0 leaving one out; a token's weight is that of its best
+        section. Sections are columns, or the elements of an array column.
+        """
+        condition = query if isinstance(query, Condition) else Condition(query)
+        tokens = sorted(set(query_tokens(condition.query or "", self.analyzer)))
         if not tokens:
             return self.search("")
-        hits = self.postings.filter(F.col("token").isin(tokens)).groupBy("doc_id").agg(F.count_distinct("token").cast("double").alias("score"))
-        return hits.filter(F.col("score") >= least * len(tokens))
+        weight, keep = self._weights(condition)
+        some = self.postings.filter(F.col("token").isin(tokens))
+        each = (some if keep is None else some.filter(keep)).groupBy("doc_id", "token").agg(F.max(weight).alias("w"))
+        hits = each.groupBy("doc_id").agg(F.sum("w").alias("score"), F.count("*").alias("n"))
+        return hits.filter(F.col("n") >= least * len(tokens)).select("doc_id", "score")
+
+    def similar_distance(self, query) -> DataFrame:
+        """(doc_id, distance): 1 less the share of the text's distinct tokens that a document has; nearest documents have 0."""
+        condition = query if isinstance(query, Condition) else Condition(query)
+        n = max(1, len(set(query_tokens(condition.query or "", self.analyzer))))
+        _, keep = self._weights(condition)
+        flat = Condition(condition.query, tuple(1 if w is None or w else 0 for w in condition.weights) if keep is not None and condition.weights else None)
+        return self.similar(flat, 0.0).select("doc_id", (1 - F.col("score") / n).alias("distance"))
 
 
 def _any(parts: list[Column]) -> Column:

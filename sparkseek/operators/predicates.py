@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..conf import FULL_TEXT, Analyzer
 from ..functions.normalize import normalize, normalize_elements
-from ..functions.romaji import reads_as, reads_as_any
+from ..functions.romaji import reads_as_any, reads_as_any_element
 from ..functions.tokenize import query_terms, tokens_column
 from ..plans.query import Leaf, leaves, parse
 from ..plans.scan import query_condition
@@ -106,9 +106,8 @@ def query(col: Column, q, a: Analyzer = FULL_TEXT, others: dict[str, Column] | N
     text, weights = _unpack(q)
     if not text or _off(weights):
         return _never(col)
-    value = normalize(col, a.normalizer, a.substitutions)
 
-    def leaf(x: Leaf) -> Column:
+    def leaf(value: Column, x: Leaf) -> Column:
         if x.column:
             return _qualified(x, others or {}, a)
         t = _term(x.text, a)
@@ -116,7 +115,11 @@ def query(col: Column, q, a: Analyzer = FULL_TEXT, others: dict[str, Column] | N
             return _yes(F.exists(F.split(value, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w.startswith(t)))
         return _yes(value.contains(t))
 
-    return query_condition(text, leaf, a.query_allow_column, strict) & col.isNotNull()
+    holds = lambda value: query_condition(text, lambda x: leaf(value, x), a.query_allow_column, strict)
+    value, tree = normalize(col, a.normalizer, a.substitutions), parse(text, a.query_allow_column)
+    if tree is None or len(leaves(tree)) < 2:
+        return holds(value) & col.isNotNull()
+    return _yes(F.exists(F.array(value), holds)) & col.isNotNull()  # an array of one value, so that it is normalised once
 
 
 def _qualified(x: Leaf, others: dict[str, Column], a: Analyzer) -> Column:
@@ -225,11 +228,7 @@ def prefix_romaji_array_any(col: Column, starts: Iterable[str | None]) -> Column
     if not wanted:
         return _never(col)
 
-    @F.pandas_udf("boolean")
-    def run(s: __import__("pandas").Series) -> __import__("pandas").Series:
-        return s.map(lambda v: v is not None and any(x is not None and reads_as(x, w) for x in v for w in wanted))
-
-    return _yes(run(col))
+    return _yes(reads_as_any_element(col, wanted))
 
 
 def equal(col: Column, other, a: Analyzer = FULL_TEXT) -> Column:

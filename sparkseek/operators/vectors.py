@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length)
 
 
+#: Dimensions up to which a similarity to a known vector is written out as one sum, which stays in generated code.
+FLAT = 256
+
+
+def cosine_to(v: Column, target: list[float]) -> Column:
+    """Cosine with a known vector; null for a vector of another length."""
+    parts = [F.get(v, F.lit(i)).cast("double") for i in range(len(target))]
+    total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
+    length = F.sqrt(total([p * p for p in parts])) * F.lit(float(np.sqrt(sum(float(t) * float(t) for t in target))))
+    return F.when((F.size(v) == len(target)) & (length > 0), total([p * F.lit(float(t)) for p, t in zip(parts, target)]) / length)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - cosine(a, b)
 
@@ -27,7 +40,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def knn(df: DataFrame, vector_col: str, target: list[float], k: int, id_col: str, where: Column | None = None) -> DataFrame:
     """The k rows most similar to the target, most similar first, ties by id; `where` is applied before."""
     rows = df if where is None else df.filter(where)
-    near = cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in target]))
+    near = cosine_to(F.col(vector_col), target) if len(target) <= FLAT else cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in target]))
     return rows.withColumn("similarity", near).filter("similarity is not null").orderBy(F.desc("similarity"), id_col).limit(k)
 
 

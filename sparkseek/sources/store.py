@@ -4,6 +4,9 @@ A segment's postings are range-partitioned and sorted by token, so that a search
 segment becomes visible with the manifest that names it. Manifests are numbered and never replaced: each change writes the next
 number by a rename that fails if that number is taken, and is then made anew on what the other writer left. An append whose key is
 in the manifest already has been made, so that a streaming batch that is run again adds nothing.
+
+Each segment has its distinct tokens beside its postings, for fuzzy searches. Segments have levels: FAN of one level are merged into
+one of the next when an append makes them so many, so that a stream leaves few and each posting is rewritten once a level.
 """
 
 from __future__ import annotations
@@ -23,13 +26,22 @@ from ..conf import FULL_TEXT, Analyzer
 from ..operators.index import TokenIndex, key_column, postings_of, postings_schema
 
 
+#: Segments of a level that are merged into one of the next.
+FAN = 16
+
+
+def _level(segment: str) -> int:
+    m = re.match(r"segment-level(\d+)-", segment)
+    return int(m[1]) if m else 0
+
+
 class ReadOnly(RuntimeError):
     pass
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.writable = spark, path.rstrip("/"), True
+        self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -82,15 +94,17 @@ class IndexStore:
         raise RuntimeError(f"index {name!r} changes too often")
 
     def _check(self) -> None:
-        if not self.writable:
+        if not self.is_writable():
             raise ReadOnly("the store is not writable")
 
     def _segment(self, name: str, key: str, postings: DataFrame, documents: DataFrame, id_type: str | None = None) -> None:
         if id_type:
             postings, documents = (d.withColumn("doc_id", F.col("doc_id").cast(id_type)) for d in (postings, documents))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings.repartitionByRange(n, "token", "doc_id").sortWithinPartitions("token", "doc_id", "section", "position").write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/postings")
+        # so many partitions as there are, fewer where adaptive execution finds them small
+        postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "section", "position").write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/postings")
         documents.write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/documents")
+        written = self.spark.read.schema("token string").parquet(f"{self.path}/{name}/{key}/postings")
+        written.distinct().write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/words")
 
     def create(self, name: str, df: DataFrame | None, id_col: str | list[str], columns: list[str], analyzer: Analyzer = FULL_TEXT, table: str | None = None, id_type: str = "bigint") -> TokenIndex:
         """Build an index; without df an empty one. id_type is needed there alone, and for keys that are not long."""
@@ -116,10 +130,41 @@ class IndexStore:
         self._check()
         m = self._read(name)
         key = f"segment-{key or uuid.uuid4().hex}"
-        if key in m["segments"]:
+        if key in m["segments"] or key in m.get("merged", []):
             return
         self._segment(name, key, postings_of(df, m["id"], m["columns"], self._analyzer(m)), df.select(key_column(m["id"]).alias("doc_id")), m["id_type"])
-        self._change(name, lambda m: None if key in m["segments"] else m | {"segments": [*m["segments"], key]})
+        self._change(name, lambda m: None if key in m["segments"] or key in m.get("merged", []) else m | {"segments": [*m["segments"], key]})
+        self.compact(name)
+
+    def compact(self, name: str) -> int:
+        """Merge FAN segments of a level, the lowest first, into one of the next until no level has so many; how many merges were made.
+
+        What deletions took from them is left out. Keys of merged appends stay known, so that these are not made again.
+        """
+        self._check()
+        made = 0
+        while True:
+            m = self._read(name)
+            levels: dict[int, list[str]] = {}
+            for k in m["segments"]:
+                levels.setdefault(_level(k), []).append(k)
+            full = [level for level in sorted(levels) if len(levels[level]) >= FAN]
+            if not full:
+                return made
+            some = levels[full[0]][:FAN]
+            live, key = self._open(name, m | {"segments": some}), f"segment-level{full[0] + 1}-{uuid.uuid4().hex}"
+            self._segment(name, key, live.postings, live.documents)
+            seen = {k for k, of in m["deleted"]}
+
+            def change(now: dict) -> dict | None:
+                if not set(some) <= set(now["segments"]):
+                    return None  # another compaction was first
+                # deletions that came meanwhile hold for the merged segment too
+                deleted = [[k, [x for x in of if x not in some] + [key] * (k not in seen and any(x in some for x in of))] for k, of in now["deleted"]]
+                return now | {"segments": [key, *(k for k in now["segments"] if k not in some)], "deleted": [d for d in deleted if d[1]], "merged": [*now.get("merged", []), *some]}
+
+            self._change(name, change)
+            made += 1
 
     def delete(self, name: str, ids: DataFrame) -> None:
         """Documents (by the key columns in ids) that no search finds from now on, in the segments there are now."""
@@ -130,7 +175,9 @@ class IndexStore:
         self._change(name, lambda m: m | {"deleted": [*m["deleted"], [key, list(m["segments"])]]})
 
     def open(self, name: str) -> TokenIndex:
-        m = self._read(name)
+        return self._open(name, self._read(name))
+
+    def _open(self, name: str, m: dict) -> TokenIndex:
         analyzer, spark = self._analyzer(m), self.spark
         rows, ids = postings_schema(m["id_type"]), f"doc_id {m['id_type']}"
         postings, documents = spark.createDataFrame([], rows), spark.createDataFrame([], ids)
@@ -146,7 +193,9 @@ class IndexStore:
                 p, d = p.join(dead, "doc_id", "left_anti").select(*postings.columns), d.join(dead, "doc_id", "left_anti")
             postings, documents = (p, d) if first else (postings.unionByName(p), documents.unionByName(d))
             first = False
-        return TokenIndex(postings, documents, analyzer, m["sections"], tuple(m["columns"]))
+        words = [f"{self.path}/{name}/{s}/words" for s in m["segments"]]
+        words = spark.read.schema("token string").parquet(*words) if words and all(self._fs.exists(self._p(w)) for w in words) else None
+        return TokenIndex(postings, documents, analyzer, m["sections"], tuple(m["columns"]), words)
 
     def vacuum(self, name: str, grace: float = 3600.0) -> None:
         """One segment of what is alive, in place of the segments and tombstones there are now; their files go.
@@ -163,7 +212,7 @@ class IndexStore:
             if not set(old["segments"]) <= set(m["segments"]):
                 return None  # another compaction was first
             later = [[k, [key if s in gone else s for s in of]] for k, of in m["deleted"] if k not in gone]
-            return m | {"segments": [key, *(s for s in m["segments"] if s not in gone)], "deleted": [[k, list(dict.fromkeys(of))] for k, of in later]}
+            return m | {"segments": [key, *(s for s in m["segments"] if s not in gone)], "deleted": [[k, list(dict.fromkeys(of))] for k, of in later], "merged": [*m.get("merged", []), *old["segments"]]}
 
         self._change(name, change)
         now = self._read(name)
@@ -227,8 +276,25 @@ class IndexStore:
         self._fs.delete(self._p(f"{self.path}/{name}"), True)
 
     def set_writable(self, writable: bool) -> bool:
-        self.writable = writable
+        """Whether any session may change the store; kept in the store."""
+        mark = self._p(f"{self.path}/read-only")
+        if writable:
+            self._fs.delete(mark, False)
+        else:
+            self._fs.create(mark, True).close()
         return writable
 
     def is_writable(self) -> bool:
-        return self.writable
+        return not self._fs.exists(self._p(f"{self.path}/read-only"))
+
+    def applied_position(self, name: str) -> int:
+        """How far a source is applied to an index: what set_applied_position() said, or the number of its manifest."""
+        m = self._read(name)
+        return m.get("applied", m["version"])
+
+    def set_applied_position(self, name: str | None = None, position: int | None = None) -> bool:
+        """Take an index (or each) as applied up to a position of its source; without one, up to its newest manifest."""
+        self._check()
+        for n in self.names() if name is None else [name]:
+            self._change(n, lambda m: m | {"applied": m["version"] + 1 if position is None else position})
+        return True

@@ -421,6 +421,72 @@ def test_sql_functions(spark):
     assert list(row) == [True, True, True, True, True, True, "a\\+b", 'a <span class="keyword">Spark</span>', ["a", "c"], 2, True, True, None]
 
 
+def test_sql_functions_are_the_column_forms(spark):
+    """Each SQL function and its Column twin over full-width, compatibility, empty and null values."""
+    from sparkseek.functions.sql import register
+
+    register(spark)
+    texts = ["ＡＢ c", "ab", "ﾎﾟｽﾄ ①", "Ⅷ km㎞", "", None, "Straße ÄÖ", "x1F y"]
+    rows = [(i, t, [t, "ＺＺ", None, texts[i - 1]]) for i, t in enumerate(texts)] + [(90, "ab", None), (91, None, [])]
+    df = spark.createDataFrame(rows, "id int, t string, ts array<string>")
+    words = ["ab", "ＡＢ", "ポスト", "1", "viii", "ä", "zz", ""]
+    lists = [["", "ＡＢ"], ["q", None], ["ａ", "zz", "x"], []]
+    t, ts = F.col("t"), F.col("ts")
+    pairs = []
+    for w in words:
+        pairs += [(f"seek_match(t, '{w}')", P.match(t, w)), (f"seek_match_array(ts, '{w}')", P.match_array(ts, w)), (f"seek_prefix(t, '{w}')", P.prefix(t, w)), (f"seek_prefix_array(ts, '{w}')", P.prefix_array(ts, w)), (f"seek_equal(t, '{w}')", P.equal(t, w))]
+        if w:
+            pairs += [(f"seek_query(t, '{w} OR c')", P.query(t, f"{w} OR c")), (f"seek_query_array(ts, '{w} zz')", P.query_array(ts, f"{w} zz")), (f"seek_equal_query_array(ts, '{w} OR zz')", P.equal_query_array(ts, f"{w} OR zz")), (f"seek_prefix_rk(t, '{w}')", P.prefix_romaji(t, w)), (f"seek_prefix_rk_array(ts, '{w}')", P.prefix_romaji_array(ts, w))]
+    for p in ("^ab", "b c", r"\\h", "[^a-z]$", "x1f"):
+        q = p.replace("\\\\", "\\")
+        pairs += [(f"seek_regexp(t, r'{q}')", P.regexp(t, q)), (f"seek_regexp_array(ts, r'{q}')", P.regexp_array(ts, q)), (f"seek_regexp_in(t, array('', r'{q}'))", P.regexp_any(t, ["", q]))]
+    for ws in lists:
+        a = "cast(array({}) as array<string>)".format(", ".join("NULL" if w is None else f"'{w}'" for w in ws))
+        pairs += [(f"seek_match_in(t, {a})", P.match_any(t, ws)), (f"seek_match_in_array(ts, {a})", P.match_array_any(ts, ws)), (f"seek_prefix_in(t, {a})", P.prefix_any(t, ws)), (f"seek_prefix_in_array(ts, {a})", P.prefix_array_any(ts, ws)), (f"seek_not_prefix_in(t, {a})", P.not_prefix_any(t, ws))]
+        pairs += [(f"seek_query_in(t, {a})", P.query_any(t, ws)), (f"seek_query_in_array(ts, {a})", P.query_array_any(ts, ws)), (f"seek_prefix_rk_in(t, {a})", P.prefix_romaji_any(t, ws)), (f"seek_prefix_rk_in_array(ts, {a})", P.prefix_romaji_array_any(ts, ws))]
+    sql = df.select("id", *[F.expr(f"coalesce({s}, false)").alias(f"c{i}") for i, (s, _) in enumerate(pairs)]).orderBy("id").collect()
+    own = df.select("id", *[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, (_, c) in enumerate(pairs)]).orderBy("id").collect()
+    wrong = [(pairs[i][0], a.id) for a, b in zip(sql, own) for i in range(len(pairs)) if a[i + 1] != b[i + 1]]
+    assert not wrong and any(any(r[1:]) for r in own)
+
+
+def test_segments_are_merged_by_level(spark, tmp_path, monkeypatch):
+    from sparkseek.sources import store as S
+
+    monkeypatch.setattr(S, "FAN", 3)
+    store = IndexStore(spark, f"file://{tmp_path}/levels")
+    row = lambda i: spark.createDataFrame([(i, f"word w{i} common")], "id long, t string")
+    store.create("m", None, "id", ["t"])
+    for i in range(10):
+        store.append("m", row(i), key=f"batch{i}")
+        if i == 4:
+            store.delete("m", spark.createDataFrame([(1,)], "id long"))
+    store.append("m", row(2), key="batch2")  # made before, and merged since
+    segments = store._read("m")["segments"]
+    assert len(segments) <= 4 and max(map(S._level, segments)) == 2
+    assert set(scores(store.open("m").search("common"))) == {0, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert set(scores(store.open("m").search(P.Condition("wird", fuzzy_max_distance_ratio=0.3)))) == {0, 2, 3, 4, 5, 6, 7, 8, 9}
+    store.append("m", row(1))  # it is back
+    assert 1 in scores(store.open("m").search("common"))
+    other = IndexStore(spark, f"file://{tmp_path}/levels")
+    assert store.set_applied_position("m", 7) and other.applied_position("m") == 7 and other.set_applied_position() and store.applied_position("m") == store._read("m")["version"]
+    store.set_writable(False)
+    assert not other.is_writable()
+    with pytest.raises(S.ReadOnly):
+        other.append("m", row(20))
+    other.set_writable(True)
+    assert store.is_writable() and store.lagged(row(99), "m").count() == 1 and store.broken() == []
+
+
+def test_similar_over_sections_and_elements(spark):
+    df = spark.createDataFrame([(1, ["a b", "c d"]), (2, ["a b c", "x"]), (3, ["q", "r"])], "id long, ts array<string>")
+    index = build_index(df, "id", ["ts"])
+    assert scores(index.similar("a b c d")) == {1: 4.0, 2: 3.0}
+    assert scores(index.similar(P.Condition("a b c d", weights=(1, 0)))) == {1: 2.0, 2: 3.0}
+    assert scores(index.similar(P.Condition("a b", weights=(5, 1)))) == {1: 10.0, 2: 10.0}
+    assert {r.doc_id: round(r.distance, 6) for r in index.similar_distance("a b c d").collect()} == {1: 0.0, 2: 0.25}
+
+
 def test_stream(spark, memos, tmp_path):
     from sparkseek.streaming.incremental import index_stream, matching_stream
 
