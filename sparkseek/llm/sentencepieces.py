@@ -238,17 +238,40 @@ def encode_stream(model: Model, escaped: Iterable[str]) -> Iterator[list[int]]:
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+#: Boundaries that are held of a chunk before a place is looked for where all paths meet.
+WINDOW = 64
+
+
 def _sorted_ids(m: Model, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-    """Ids of chunks, as bytes of 32-bit numbers. Short ones of a BPE model take the same recurrence over their few boundaries at once; what it finds of a prefix
+    """Ids of chunks, as bytes of 32-bit numbers. Of a BPE model's chunk a window of boundaries is held, each with its one surviving path; when the window is full,
+    ids are committed up to where the paths of all boundaries that a next piece may begin at meet, and the window moves there. What is found of a prefix
     holds for every chunk that begins so, and in sorted order the next chunk goes on from what it shares with the one before."""
     ids, longest, lasting, pieces, follow, packed = m.ids, m.longest, m.lasting, m.pieces, m.follow, m.packed
-    known, last, begin, allowed = "", [-1] * 65, [0] * 65, [{}] * 65
+    size = max(WINDOW, 2 * longest)
+    known, last, begin, allowed = "", [-1] * (size + 1), [0] * (size + 1), [{} for _ in range(size + 1)]
+
+    def taken(part: str, upto: int) -> bytes:
+        out: list[bytes] = []
+        while upto:
+            out.append(packed[last[upto]] if last[upto] >= 0 else b"".join([packed[i] for i in m.to_ids(part[begin[upto] : upto])]))
+            upto = begin[upto]
+        return b"".join(out[::-1])
+
+    def meeting(upto: int) -> int:
+        """The last boundary on the paths to all of those that a piece after `upto` may begin at."""
+        live = set(range(max(0, upto - longest + 1), upto + 1))
+        while len(live) > 1:  # go back from the last of them
+            high = max(live)
+            live.remove(high)
+            live.add(begin[high])
+        return live.pop()
+
     for chunk in sorted(chunks):
         n = len(chunk)
         if chunk in ids:
             yield chunk, packed[ids[chunk]]
             continue
-        if not m.bpe or n > 64 or not m.inner.isdisjoint(chunk):
+        if not m.bpe or not m.inner.isdisjoint(chunk):
             yield chunk, b"".join([packed[i] for part in encode_stream(m, [chunk]) for i in part])
             continue
         shared = 0
@@ -256,37 +279,52 @@ def _sorted_ids(m: Model, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
             if c != d:
                 break
             shared += 1
-        known = chunk
-        for end in range(shared + 1, n + 1):
-            for at in range(end - 1, max(-1, end - 1 - longest), -1):  # one path at most is valid, and its last piece is short as a rule
-                piece = ids.get(chunk[at:end])
-                if piece is None:
-                    if at < end - 1:
+        known, part, after, done = chunk[:size], chunk[:size], size, []
+        while True:
+            for end in range(shared + 1, len(part) + 1):
+                for at in range(end - 1, max(-1, end - 1 - longest), -1):  # one path at most is valid, and its last piece is short as a rule
+                    piece = ids.get(part[at:end])
+                    if piece is None:
+                        if at < end - 1:
+                            continue
+                        piece = -1  # a character that no piece has: any path may end here, and the next piece begins anew
+                        break
+                    before = last[at]
+                    if before < 0:
+                        if at == 0 or begin[at] == at - 1:
+                            break
                         continue
-                    piece = -1  # a character that no piece has: any path may end here, and the next piece begins anew
-                    break
-                before = last[at]
-                if before < 0:
-                    if at == 0 or begin[at] == at - 1:
+                    ok = allowed[at].get(piece)
+                    if ok is None:
+                        if m.n_follow >= MEMO:
+                            follow.clear()
+                            m.n_follow = 0
+                            allowed[:end] = [follow.setdefault(p, {}) if p >= 0 else {} for p in last[:end]]
+                        m.n_follow += 1
+                        ok = allowed[at][piece] = lasting(pieces[before], pieces[piece])
+                    if ok:
                         break
-                    continue
-                ok = allowed[at].get(piece)
-                if ok is None:
-                    if m.n_follow >= MEMO:
-                        follow.clear()
-                        m.n_follow = 0
-                        allowed[1 : end] = [follow.setdefault(p, {}) if p >= 0 else {} for p in last[1:end]]
-                    m.n_follow += 1
-                    ok = allowed[at][piece] = lasting(pieces[before], pieces[piece])
-                if ok:
-                    break
-            last[end], begin[end] = piece, at
-            allowed[end] = follow.setdefault(piece, {}) if piece >= 0 else {}
-        out: list[bytes] = []
-        while n:
-            out.append(packed[last[n]] if last[n] >= 0 else b"".join([packed[i] for i in m.to_ids(chunk[begin[n] : n])]))
-            n = begin[n]
-        yield chunk, b"".join(out[::-1])
+                last[end], begin[end] = piece, at
+                allowed[end] = follow.setdefault(piece, {}) if piece >= 0 else {}
+            if after >= n:
+                done.append(taken(part, len(part)))
+                break
+            at = meeting(len(part))
+            if at:  # commit, and move the window
+                done.append(taken(part, at))
+                known, shared = "", len(part) - at
+                last[: shared + 1], allowed[: shared + 1] = last[at : len(part) + 1], allowed[at : len(part) + 1]
+                begin[: shared + 1] = [max(0, b - at) for b in begin[at : len(part) + 1]]
+            else:  # the paths have not met yet: hold more
+                shared = len(part)
+                last += [-1] * size
+                begin += [0] * size
+                allowed += [{} for _ in range(size)]
+            part = part[at:] + chunk[after : after + len(last) - 1 - shared]
+            after += len(part) - shared
+        yield chunk, b"".join(done)
+        if not known:
+            last[0], begin[0], allowed[0] = -1, 0, {}
 
 
 def encode_all(model: Model, texts: list[str]) -> list[np.ndarray]:

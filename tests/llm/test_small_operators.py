@@ -183,6 +183,20 @@ def test_streaming_equals_the_library():
         assert sentencepieces.decode(m, want) == sp.decode(want)
 
 
+def test_chunks_of_any_length_go_through_the_window(monkeypatch):
+    m, sp, rng = sentencepieces.Model(sentencepieces.tokenizer_path()), library(), random.Random(10)
+    words = ["the", "ing", "schön", "é", "日", "x", "aaaa", "0", "Qu", "tion", "ab"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, n))) for n in (20, 60, 200, 900) for _ in range(25)] + ["a" * 5000, "-" * 999 + "x", "ab" * 700 + " ab" * 5]
+    want = [sp.encode(t) for t in texts]
+    for window in (64, 8):
+        monkeypatch.setattr(sentencepieces, "WINDOW", window)
+        for follow in (sentencepieces.MEMO, 30):
+            monkeypatch.setattr(sentencepieces, "MEMO", follow)
+            m.memo.clear()
+            assert [x.tolist() for x in sentencepieces.encode_all(m, texts)] == want
+            assert [sentencepieces.encode(m, t).tolist() for t in texts[::7]] == want[::7]
+
+
 def test_lasting_pairs_are_those_that_merging_leaves():
     m, rng = sentencepieces.Model(sentencepieces.tokenizer_path()), random.Random(6)
     pieces = sorted(m.ids)
