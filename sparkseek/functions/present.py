@@ -148,6 +148,8 @@ def highlight_html_column(col: Column, keywords, a: Analyzer = FULL_TEXT, tag: t
 
 
 highlight_html_array_column = _rows(lambda texts, keywords, *a: [None if t is None else highlight_html(t, keywords, *a) for t in texts], "array<string>")
+match_positions_byte_array_column = _rows(lambda texts, keywords, *a: [None if t is None else match_positions_byte(t, keywords, *a) for t in texts], "array<array<array<int>>>")
+match_positions_character_array_column = _rows(lambda texts, keywords, *a: [None if t is None else match_positions_character(t, keywords, *a) for t in texts], "array<array<array<int>>>")
 snippet_html_column = _rows(snippet_html, "array<string>")
 match_positions_byte_column = _rows(match_positions_byte, "array<array<int>>")
 match_positions_character_column = _rows(match_positions_character, "array<array<int>>")

@@ -327,3 +327,114 @@ query("knn_cosine", f"SELECT vec_id, round({COS}, 6) AS similarity FROM embeddin
 query("knn_filtered", f"SELECT vec_id, round({COS}, 6) AS similarity FROM embeddings WHERE label = 3 ORDER BY {COS} DESC, vec_id LIMIT 10")(lambda spark, d: V.knn(table(spark, d, "embeddings"), "embedding", TARGET, 10, "vec_id", F.col("label") == 3).select("vec_id", F.round("similarity", 6).alias("similarity")))
 query("cosine_distance", f"SELECT vec_id, round(1 - {COS}, 6) AS distance FROM embeddings")(lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.cosine_distance(F.col("embedding"), F.array(*map(F.lit, TARGET))), 6).alias("distance")))
 query("semantic_search")(lambda spark, d: V.semantic_search(table(spark, d, "documents"), "text", "the thtion of hea", 20, "doc_id").select("doc_id", "similarity"))
+
+
+# functions of spark.sql, several a query
+_registered: set[str] = set()
+
+
+def with_functions(spark: SparkSession) -> None:
+    from .functions.sql import register
+
+    if spark.sparkContext.applicationId not in _registered:
+        register(spark)
+        _registered.add(spark.sparkContext.applicationId)
+
+
+def by_sql(name: str, source: str, columns: dict[str, tuple[str, str]], prepare=lambda df: df) -> None:
+    """A query of expressions over a table: column to (Spark's expression, the oracle's)."""
+
+    @query(name, f"SELECT {', '.join(f'{o} AS {c}' for c, (_, o) in columns.items())} FROM {source}")
+    def run(spark, d):
+        with_functions(spark)
+        return prepare(table(spark, d, source)).select(*[F.expr(s).alias(c) for c, (s, _) in columns.items()])
+
+
+by_sql("sql_text_predicates", "documents", {
+    "doc_id": ("doc_id", "doc_id"),
+    "m": ("seek_match(text, 'ＴＨtion')", "contains(lower(text), 'thtion')"), "mi": ("seek_match_in(text, array('', 'Quevi', 'thtion'))", "contains(lower(text), 'quevi') OR contains(lower(text), 'thtion')"),
+    "p": ("seek_prefix(text, 'The')", "starts_with(lower(text), 'the')"), "pi": ("seek_prefix_in(text, array('ｔｈ', 'x'))", "starts_with(lower(text), 'th') OR starts_with(lower(text), 'x')"),
+    "np": ("seek_not_prefix_in(text, array('ｔｈ', 'x'))", "NOT (starts_with(lower(text), 'th') OR starts_with(lower(text), 'x'))"),
+    "r": (r"seek_regexp(text, r'tion\w+ea\b')", r"regexp_matches(lower(text), 'tion\w+ea\b')"), "ri": (r"seek_regexp_in(text, array(r'\Athe', '', r'license\b'))", r"regexp_matches(lower(text), '\Athe') OR regexp_matches(lower(text), 'license\b')"),
+    "q": ("seek_query(text, 'thtion -hea OR quevi')", "contains(lower(text), 'thtion') AND NOT contains(lower(text), 'hea') OR contains(lower(text), 'quevi')"),
+    "qi": ("seek_query_in(text, array('thtion hea', 'quevi'))", "contains(lower(text), 'thtion') AND contains(lower(text), 'hea') OR contains(lower(text), 'quevi')"),
+    "n": ("octet_length(seek_normalize(text))", "octet_length(encode(lower(text)))"),
+})
+by_sql("sql_array_predicates", "part", {
+    "p_partkey": ("p_partkey", "p_partkey"), "e": ("seek_equal(p_name, 'SMALL ring')", "lower(p_name) = 'small ring'"),
+    "m": ("seek_match_array(w, 'ＲE')", f"len(list_filter({LIST}, lambda x: contains(x, 're'))) > 0"), "mi": ("seek_match_in_array(w, array('Re', 'ee', ''))", f"len(list_filter({LIST}, lambda x: contains(x, 're') OR contains(x, 'ee'))) > 0"),
+    "p": ("seek_prefix_array(w, 'B')", f"len(list_filter({LIST}, lambda x: starts_with(x, 'b'))) > 0"), "pi": ("seek_prefix_in_array(w, array('ｂ', 'R'))", f"len(list_filter({LIST}, lambda x: starts_with(x, 'b') OR starts_with(x, 'r'))) > 0"),
+    "r": (r"seek_regexp_array(w, r'\A[a-f].*e\z')", rf"len(list_filter({LIST}, lambda x: regexp_matches(x, '\A[a-f].*e\z'))) > 0"), "c": ("seek_contain(w, 'red')", f"list_contains({LIST}, 'red')"),
+    "ca": ("seek_contain_all(w, array('small', 'ring'))", f"list_contains({LIST}, 'small') AND list_contains({LIST}, 'ring')"),
+    "q": ("seek_query_array(w, 'r -b')", f"len(list_filter({LIST}, lambda x: contains(x, 'r'))) > 0 AND NOT len(list_filter({LIST}, lambda x: contains(x, 'b'))) > 0"),
+    "qe": ("seek_equal_query_array(w, 'RED OR small OR b*')", f"len(list_filter({LIST}, lambda x: x = 'red' OR x = 'small' OR starts_with(x, 'b'))) > 0"),
+}, lambda df: df.withColumn("w", WORDS()))
+by_sql("sql_escapes", "documents", {
+    "doc_id": ("doc_id", "doc_id"), "q": ("seek_query_escape(text)", r"""regexp_replace(text, '([+\-<>~*()"\\:])', '\\\1', 'g')"""), "e": ("seek_escape(text)", r"""'"' || replace(replace(text, '\', '\\'), '"', '\"') || '"'"""),
+    "l": ("seek_escape_long(n_chars)", "n_chars::VARCHAR"), "b": ("seek_escape_boolean(n_chars > 500)", "(n_chars > 500)::VARCHAR"),
+})
+by_sql("sql_presentation", "part", {
+    "p_partkey": ("p_partkey", "p_partkey"), "h": ("seek_highlight_html(p_name, array('re'))", "replace(p_name, 're', '<span class=\"keyword\">re</span>')"),
+    "ha": ("array_join(seek_highlight_html_array(split(p_name, ' '), array('re')), '|')", "replace(replace(p_name, ' ', '|'), 're', '<span class=\"keyword\">re</span>')"),
+    "s": ("array_join(seek_snippet_html(p_name, array('re')), '|')", "CASE WHEN contains(p_name, 're') THEN replace(p_name, 're', '<span class=\"keyword\">re</span>') ELSE '' END"),
+    "pc": ("coalesce(get(get(seek_match_positions_character(p_name, array('r')), 0), 0), -1)", "(strpos(p_name, 'r') - 1)::INT"), "t": ("size(seek_tokenize(p_name, 'TokenDelimit'))", "len(string_split(p_name, ' '))::INT"),
+    "k": ("array_join(seek_query_extract_keywords(replace(p_name, ' ', ' OR ')), '|')", "replace(p_name, ' ', '|')"),
+})
+by_sql("sql_json", "events", {
+    "event_id": ("event_id", "event_id"), "c": ("""seek_json_contains(props, '{"k": 87}')""", "CAST(json_extract(props, '$.k') AS DOUBLE) = 87"), "m": ("seek_json_match(to_json(named_struct('a', array(event_type))), 'CLI')", "contains(lower(event_type), 'cli')"),
+    "q": ("seek_json_query(to_json(named_struct('a', event_type)), 'c -k')", "contains(lower(event_type), 'c') AND NOT contains(lower(event_type), 'k')"),
+})
+by_sql("sql_cosine", "embeddings", {"vec_id": ("vec_id", "vec_id"), "c": (f"round(seek_cosine(transform(embedding, x -> cast(x as double)), array({', '.join(f'{x!r}D' for x in TARGET)})), 6)", f"round({COS}, 6)")})
+
+# over arrays, with names, and of stored indexes
+query("highlight_array", "SELECT p_partkey, replace(replace(p_name, ' ', '|'), 're', '<span class=\"keyword\">re</span>') AS html FROM part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_join(present.highlight_html_array_column(WORDS(), ["re"]), "|").alias("html"))
+)
+query("snippet_html_short", "SELECT p_partkey, CASE WHEN contains(p_name, 're') THEN replace(p_name, 're', '<span class=\"keyword\">re</span>') ELSE '' END AS snippets FROM part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_join(present.snippet_html_column(NAME(), ["re"]), "|").alias("snippets"))
+)
+query("match_positions_array", f"SELECT p_partkey, list_aggregate(list_transform({LIST}, lambda x: CASE WHEN contains(x, 're') THEN (strpos(x, 're') - 1)::VARCHAR ELSE '-' END), 'string_agg', '|') AS at FROM part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", F.array_join(F.transform(present.match_positions_byte_array_column(WORDS(), ["re"]), lambda p: F.coalesce(F.get(F.get(p, F.lit(0)), F.lit(0)).cast("string"), F.lit("-"))), "|").alias("at"))
+)
+query("normalize_named", "SELECT doc_id, lower(text) AS normalized FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", normalize(text(), "NormalizerAuto").alias("normalized")))
+query("result_objects", """SELECT '[{"id": 1, "title": "a"}, {"id": 2, "title": "b"}]' AS objects""")(
+    lambda spark, d: spark.createDataFrame([(present.result_objects('[[0,0.0,0.0],[[[2],[["id","UInt32"],["title","ShortText"]],[1,"a"],[2,"b"]]]]'),)], "objects string")
+)
+query("prefix_romaji_array", "SELECT * FROM (VALUES (0), (1), (2)) AS t(id)")(
+    lambda spark, d: spark.createDataFrame([(i // 2, r) for i, r in enumerate(READINGS)], "id int, reading string").groupBy("id").agg(F.collect_list("reading").alias("readings")).filter(P.prefix_romaji_array_any(F.col("readings"), ["po", "pi-ji-", "kya"])).select("id")
+)
+BOTH = f"(SELECT p_partkey AS doc_id, {' + '.join(f'''(list_contains(n, '{w}') OR list_contains(y, '{w}'))::INT''' for w in ('small', 'ring', 'steel', 'red'))} AS k, {' + '.join(f'''CASE WHEN list_contains(n, '{w}') THEN 3 WHEN list_contains(y, '{w}') THEN 1 ELSE 0 END''' for w in ('small', 'ring', 'steel', 'red'))} AS s FROM {PARTS})"
+query("similar_sections", f"SELECT doc_id, s::DOUBLE AS score FROM {BOTH} WHERE k >= 2")(lambda spark, d: parts_index(spark, d).similar(Condition("small ring steel red", weights=(3, 1))))
+query("similar_distance", f"SELECT doc_id, 1 - k / 4.0::DOUBLE AS distance FROM {BOTH} WHERE k > 0")(lambda spark, d: parts_index(spark, d).similar_distance("small ring steel red"))
+
+
+def half_indexed(store, part):
+    store.create("parts", part.filter("p_size <= 25"), "p_partkey", ["p_name", "p_type"], table="part")
+    store.append("parts", part.filter("p_size between 26 and 40"))
+    store.delete("parts", part.filter("p_size = 40").select("p_partkey"))
+    return store
+
+
+query("store_lagged", "SELECT p_partkey FROM part WHERE p_size >= 40")(lambda spark, d: stored(spark, d, lambda store, part: half_indexed(store, part).lagged(part, "parts").select("p_partkey")))
+query("store_status", "SELECT 'parts' AS name, 2 AS segments, 1 AS deletions, 'part' AS indexed, 'p_type' AS second, 0 AS broken, 9::BIGINT AS applied")(
+    lambda spark, d: stored(spark, d, lambda store, part: (half_indexed(store, part), store.set_applied_position("parts", 9))[0].status().select("name", "segments", "deletions", F.lit(store.table_name("parts")).alias("indexed"), F.lit(store.column_name("parts", 1)).alias("second"), F.lit(len(store.broken())).alias("broken"), F.lit(store.applied_position("parts")).cast("long").alias("applied")))
+)
+query("store_fuzzy", f"SELECT p_partkey AS doc_id FROM {PARTS} WHERE len(list_filter(list_concat(n, y), lambda x: levenshtein(x, 'smell') <= 1)) > 0")(
+    lambda spark, d: stored(spark, d, lambda store, part: store.create("parts", part, "p_partkey", ["p_name", "p_type"]).search(Condition("smell", fuzzy_max_distance_ratio=0.2)).select("doc_id"))
+)
+
+
+@query("store_compacted", f"SELECT p_partkey AS doc_id FROM {PARTS} WHERE list_contains(n, 'small') AND p_partkey % 10 <> 3")
+def store_compacted(spark, d):
+    """Eighteen appends, which leave a merged segment and two others."""
+
+    def change(store, part):
+        store.create("parts", None, "p_partkey", ["p_name"])
+        for i in range(18):
+            store.append("parts", part.filter(F.col("p_partkey") % 18 == i))
+            if i == 4:
+                store.delete("parts", part.filter("p_partkey % 10 = 3 and p_partkey % 18 <= 4").select("p_partkey"))
+        store.delete("parts", part.filter("p_partkey % 10 = 3").select("p_partkey"))
+        return store.open("parts").search("small").select("doc_id")
+
+    return stored(spark, d, change)
