@@ -186,3 +186,35 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     rest = unlike(members, heads, sets, found, least)
     drop_cut(sets, heads, members)
     return found.unionByName(rest)
+
+
+def recall(docs: DataFrame, groups: DataFrame, least: float = LEAST, width: int = WIDTH, queries: int = 256, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, int]:
+    """Audit: of the pairs that share `least` of their shingles the share that `groups` (node, root) has in one group, and how many pairs that is of.
+
+    A bounded number of documents is compared with all rows by brute force: the first by hash, and as many of those in groups.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
+    some = lambda df: df.orderBy(F.xxhash64("doc")).limit(queries)
+    picked = some(base).unionByName(some(base.join(groups.select(F.col("node").alias("doc")), "doc", "left_semi"))).dropDuplicates(["doc"]).collect()
+    ids = np.array([r.doc for r in picked], np.int64)
+    size, digest = shingle_sets(pa.array([r.text for r in picked], pa.string()), width)
+    order = np.argsort(digest, kind="stable")
+    table, owner = digest[order], np.repeat(np.arange(len(ids)), size)[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(iter([batch])):
+                n, d = shingle_sets(part.column(1), width)
+                lo, hi = np.searchsorted(table, d, "left"), np.searchsorted(table, d, "right")
+                at = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+                row = np.repeat(np.repeat(np.arange(len(n)), n), hi - lo)
+                common = np.bincount(row * len(ids) + owner[at], minlength=len(n) * len(ids)).reshape(len(n), len(ids))
+                doc = part.column(0).to_numpy()
+                i, j = np.nonzero((common > 0) & (common >= least * (n[:, None] + size[None, :] - common)) & (doc[:, None] != ids[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(doc[i])], ["a", "b"])
+        tidy()
+
+    true = base.mapInArrow(run, "a long, b long").distinct()
+    of = lambda c, s: groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{s}"))
+    both = true.join(of("a", "a"), "a", "left").join(of("b", "b"), "b", "left").agg(F.count_if(F.col("root_a") == F.col("root_b")), F.count("*")).first()
+    return (both[0] / both[1] if both[1] else 1.0), both[1]

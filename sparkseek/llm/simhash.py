@@ -243,6 +243,14 @@ def near_duplicates(docs: DataFrame, k: int = 2, width: int = 3, id_col: str = "
     return found.join(by_code, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, k: int = 2, width: int = 3, least: float = LEAST, words: int = WIDTH, id_col: str = "doc_id") -> DataFrame:
+    """(node, root) of each document in a group with others: connected by fingerprints that differ in k or fewer bits and by texts that share `least` of
+    their shingles of so many words. root is the smallest id of the group. Ids must not be null; documents alone are not in the result."""
+    same = near_duplicates(docs, k, width, id_col=id_col).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = components(same.filter("a <> b").unionByName(near_copies(docs, least, words, id_col=id_col)))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def keep_one(docs: DataFrame, k: int = 2, width: int = 3, least: float = LEAST, words: int = WIDTH) -> DataFrame:
     """docs without near duplicates, in the columns of docs: the row of each group that has its smallest doc_id.
 
@@ -253,9 +261,6 @@ def keep_one(docs: DataFrame, k: int = 2, width: int = 3, least: float = LEAST,
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2)))
     rows = packed(docs, k=key, text=F.col("text"))
-    keyed = rows.select("k", "text")
-    same = near_duplicates(keyed, k, width, id_col="k").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = same.filter("a <> b").unionByName(near_copies(keyed, least, words, id_col="k"))
-    gone = cut(components(links).filter("node <> root").select(F.col("node").alias("k")), "gone")
+    gone = cut(near_groups(rows.select("k", "text"), k, width, least, words, "k").filter("node <> root").select(F.col("node").alias("k")), "gone")
     one = rows.groupBy("k").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.length("text"))).alias("row"))
     return unpacked(one.join(gone, "k", "left_anti"), docs.columns)

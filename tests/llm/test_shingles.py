@@ -46,3 +46,21 @@ def test_pairs_under_an_unlike_leader_are_compared(spark, monkeypatch):
         roots = {r.node: r.root for r in components(shingles.near_copies(docs)).collect()}
         for f in range(len(found)):
             assert [roots.get(100 * f + i, 100 * f + i) - 100 * f for i in range(11)] == [0] * 9 + [9, 9]
+
+
+def test_audit_counts_pairs_that_are_in_one_group(spark):
+    import random
+
+    from sparkseek.llm import simhash
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = [(i, " ".join(word() for _ in range(60))) for i in range(40)]
+    rows += [(100 + i, " ".join([*t.split(" ")[:-2], word(), word()])) for i, t in rows[:20]] + [(200 + i, t) for i, t in rows[5:10]] + [(300, ""), (301, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    true = sum(alike(x, y) >= 0.8 for i, (_, x) in enumerate(rows[:-2]) for j, (_, y) in enumerate(rows[:-2]) if i != j)
+    groups = simhash.near_groups(docs)
+    assert shingles.recall(docs, groups) == (1.0, true) and true >= 60
+    assert shingles.recall(docs, groups.limit(0)) == (0.0, true)
+    part = groups.filter("node not in (0, 100)")
+    assert shingles.recall(docs, part)[0] == (true - 2) / true

@@ -108,6 +108,30 @@ def slow_lines(rows, least):
     return want
 
 
+def test_shards_follow_the_curve_and_prune(spark):
+    """Rows stand in curve order over shards and slots, and a reader of one source, language and range of sizes skips most shards."""
+    rng = random.Random(3)
+    rows = [(i, "x" * (1 << rng.randrange(14)) + str(i), rng.choice(["de", "en", "es", "fr"]), f"s{rng.randrange(40):02}") for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = sorted(sharding.shards(d).join(d.select("doc_id", "lang", "source"), "doc_id").collect(), key=lambda r: (r.shard, r.slot))
+    assert all(a.curve <= b.curve for a, b in zip(got, got[1:]))
+    levels, langs = sorted({r.source for r in got}), sorted({r.lang for r in got})
+    edges = [levels[len(levels) * i >> 4] for i in range(16)]
+    for r in got:  # the cell by hand
+        cell = sum(r.source >= e for e in edges[1:]), sum(r.lang >= x for x in langs[1:]), min(r["size"].bit_length() - 4, 15)
+        assert r.curve == sharding.hilbert(cell)
+    read = []
+    for source in levels[::8]:
+        for lang in langs:
+            hits = [r for r in got if r.source == source and r.lang == lang and r["size"] < 600]
+            box = defaultdict(list)
+            for r in got:
+                box[r.shard].append(r)
+            read.append(sum(min(x.source for x in b) <= source <= max(x.source for x in b) and min(x.lang for x in b) <= lang <= max(x.lang for x in b) and min(x["size"] for x in b) < 600 for b in box.values()))
+            assert {r.shard for r in hits} <= set(range(24))
+    assert np.mean(read) < 8  # of 24
+
+
 def test_lines(spark, docs):
     rng = random.Random(5)
     say = [" ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(rng.randrange(1, 14))) + rng.choice(". ! ? \n".split(" ")) for _ in range(60)]
