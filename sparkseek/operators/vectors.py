@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,12 +55,30 @@ def hashing_embedding(text: str, size: int = 64) -> list[float]:
     return [float(x) for x in (out / length if length else out).astype(np.float32)]
 
 
-def vectorize(col: Column, model: Callable[[], Callable[[str], list[float]]] | None = None, prefix: str = "") -> Column:
-    """array<float> of a text column. model: makes the embedding function, once in each worker."""
+#: Models by name: each makes an embedding function, once in each worker.
+MODELS: dict[str, Callable[[], Callable[[str], list[float]]]] = {"hashing": lambda: hashing_embedding}
+
+
+def register_model(name: str, make: Callable[[], Callable[[str], list[float]]]) -> None:
+    MODELS[name] = make
+
+
+def model_of(model: str | Callable | None) -> Callable[[], Callable[[str], list[float]]]:
+    """A model by its name, or as it is handed in; without one, hashing of words."""
+    if isinstance(model, str):
+        if model not in MODELS:
+            raise KeyError(f"no model {model!r}")
+        return MODELS[model]
+    return model or MODELS["hashing"]
+
+
+def vectorize(col: Column, model: str | Callable | None = None, prefix: str = "") -> Column:
+    """array<float> of a text column. model: a name, or what makes the embedding function."""
+    make = model_of(model)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = model() if model else hashing_embedding
+        embed = make()
         for s in batches:
             yield s.map(lambda t: None if t is None else embed(prefix + t))
 
@@ -68,6 +86,24 @@ def vectorize(col: Column, model: Callable[[], Callable[[str], list[float]]] | N
 
 
 def semantic_search(df: DataFrame, text_col: str, query: str, k: int, id_col: str, model=None, passage_prefix: str = "", query_prefix: str = "") -> DataFrame:
-    """The k rows whose text is nearest to the query's, by embeddings made as they are needed."""
-    target = (model() if model else hashing_embedding)(query_prefix + query)
+    """The k rows whose text is nearest to the query's, by embeddings made as they are needed; SemanticIndex keeps them."""
+    target = model_of(model)()(query_prefix + query)
     return knn(df.withColumn("__v", vectorize(F.col(text_col), model, passage_prefix)), "__v", target, k, id_col).drop("__v")
+
+
+class SemanticIndex:
+    """Embeddings of a text column on disk, made once for each row, in a folder that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, path: str, model: str | Callable | None = None, passage_prefix: str = "", query_prefix: str = ""):
+        self.spark, self.path, self.model, self.passage_prefix, self.query_prefix = spark, path, model, passage_prefix, query_prefix
+
+    def append(self, df: DataFrame, id_col: str, text_col: str) -> None:
+        """Embed and keep more rows; null texts have no embedding."""
+        rows = df.select(F.col(id_col).alias("doc_id"), vectorize(F.col(text_col), self.model, self.passage_prefix).alias("v"))
+        rows.filter("v is not null").write.mode("append").parquet(self.path)
+
+    def search(self, query: str, k: int, where: DataFrame | None = None) -> DataFrame:
+        """(doc_id, similarity) of the k nearest, nearest first, ties by doc_id; where: the doc_id to search among."""
+        rows = self.spark.read.parquet(self.path)
+        rows = rows if where is None else rows.join(where.select("doc_id"), "doc_id", "left_semi")
+        return knn(rows, "v", model_of(self.model)()(self.query_prefix + query), k, "doc_id").select("doc_id", "similarity")

@@ -438,3 +438,36 @@ def store_compacted(spark, d):
         return store.open("parts").search("small").select("doc_id")
 
     return stored(spark, d, change)
+
+
+# operators of classes, as a column's declaration chooses them
+def by_class(name: str, source: str, key: str, columns: dict[str, tuple[str, str, object, str]], prepare=lambda df: df, value: Callable[[], Column] = text) -> None:
+    """A query of operators: column to (class, sign, operand, the oracle's expression)."""
+
+    @query(name, f"SELECT {key}, {', '.join(f'{o} AS {c}' for c, (*_, o) in columns.items())} FROM {source}")
+    def run(spark, d):
+        from .operators.classes import CLASSES
+
+        return prepare(table(spark, d, source)).select(key, *[CLASSES[k].apply(sign, value(), operand).alias(c) for c, (k, sign, operand, _) in columns.items()])
+
+
+FT, TS, RX = "text_full_text_search_v2", "text_term_search_v2", "text_regexp_search_v2"
+by_class("class_full_text", "documents", "doc_id", {
+    "like": (FT, "~~", "%tion%", "text LIKE '%tion%'"), "m": (FT, "&@", "Thtion", "contains(lower(text), 'thtion')"), "q": (FT, "&@~", "thtion -hea", "contains(lower(text), 'thtion') AND NOT contains(lower(text), 'hea')"),
+    "mi": (FT, "&@|", ["quevi", None, "thtion"], "contains(lower(text), 'quevi') OR contains(lower(text), 'thtion')"), "qi": (FT, "&@~|", ["thtion hea", "quevi"], "contains(lower(text), 'thtion') AND contains(lower(text), 'hea') OR contains(lower(text), 'quevi')"),
+    "old": ("varchar_full_text_search", "%%", "quevi", "contains(lower(text), 'quevi')"), "r": (RX, "&~", r"tion\w+ea\b", r"regexp_matches(lower(text), 'tion\w+ea\b')"), "ri": (RX, "&~|", [r"\Athe", r"license\b"], r"regexp_matches(lower(text), '\Athe') OR regexp_matches(lower(text), 'license\b')"),
+    "script": (FT, "&`", 'value @ "thtion" && value @ "hea"', "contains(lower(text), 'thtion') AND contains(lower(text), 'hea')"),
+})
+by_class("class_terms", "part", "p_partkey", {
+    "folded": (TS, "=", "SMALL ring", "lower(p_name) = 'small ring'"), "plain": ("varchar_compare", "=", "SMALL ring", "p_name = 'SMALL ring'"), "less": (TS, "<", "RED", "lower(p_name) < 'red'"), "p": (TS, "&^", "Small", "starts_with(lower(p_name), 'small')"),
+    "pi": (TS, "&^|", ["b", "R"], "starts_with(lower(p_name), 'b') OR starts_with(lower(p_name), 'r')"), "np": (TS, "!&^|", ["b", "R"], "NOT (starts_with(lower(p_name), 'b') OR starts_with(lower(p_name), 'r'))"), "e": ("varchar_term_search_v2", "&=", "red BOLT", "lower(p_name) = 'red bolt'"),
+}, value=NAME)
+by_class("class_arrays", "part", "p_partkey", {
+    "m": ("text_array_full_text_search_v2", "&@", "RE", f"len(list_filter({LIST}, lambda x: contains(x, 're'))) > 0"), "q": ("text_array_full_text_search", "&?", "r -b", f"len(list_filter({LIST}, lambda x: contains(x, 'r'))) > 0 AND NOT len(list_filter({LIST}, lambda x: contains(x, 'b'))) > 0"),
+    "all_of": ("text_array_term_search_v2", "@>", ["small", "ring"], f"list_contains({LIST}, 'small') AND list_contains({LIST}, 'ring')"), "p": ("text_array_term_search_v2", "&^>", "B", f"len(list_filter({LIST}, lambda x: starts_with(x, 'b'))) > 0"),
+    "one": ("varchar_array_term_search_v2", "&>", "red", f"list_contains({LIST}, 'red')"), "eq": ("varchar_array_term_search_v2", "&=~", "RED OR b*", f"len(list_filter({LIST}, lambda x: x = 'red' OR starts_with(x, 'b'))) > 0"),
+    "r": ("text_array_regexp_search_v2", "&~", r"\A[a-f].*e\z", rf"len(list_filter({LIST}, lambda x: regexp_matches(x, '\A[a-f].*e\z'))) > 0"),
+}, value=WORDS)
+by_class("class_json", "events", "event_id", {
+    "c": ("json_json_v2", "@>", '{"k": 87}', "CAST(json_extract(props, '$.k') AS DOUBLE) = 87"), "s": ("json_json_v2", "&`", 'paths @ ".k" && number > 90', "CAST(json_extract(props, '$.k') AS DOUBLE) > 90"), "m": ("json_full_text_search_v2", "&@", "zz", "false"),
+}, lambda df: df.withColumn("leaves", J.json_leaves(F.col("props"))), LEAF)

@@ -487,6 +487,39 @@ def test_similar_over_sections_and_elements(spark):
     assert {r.doc_id: round(r.distance, 6) for r in index.similar_distance("a b c d").collect()} == {1: 0.0, 2: 0.25}
 
 
+def test_operator_classes(spark):
+    from sparkseek.operators.classes import CLASSES, default_class
+
+    assert len(CLASSES) == 31
+    assert {v: default_class(v).name for v in ("text", "varchar", "varchar[]", "json", "int4", "int4[]")} == {
+        "text": "text_full_text_search_v2", "varchar": "varchar_term_search_v2", "varchar[]": "varchar_array_term_search_v2", "json": "json_json_v2", "int4": "int4_compare", "int4[]": "int4_array_compare",
+    }
+    term, plain = CLASSES["text_term_search_v2"], CLASSES["varchar_compare"]
+    df = spark.createDataFrame([(1, "ＡＢ", [1, 2]), (2, "ab", [2]), (3, None, None)], "id int, t string, n array<int>")
+    assert ids(df.filter(term.apply("=", F.col("t"), "ab"))) == [1, 2] and ids(df.filter(plain.apply("=", F.col("t"), "ab"))) == [2]
+    assert ids(df.filter(CLASSES["int4_array_compare"].apply("=", F.col("n"), F.array(F.lit(1), F.lit(2))))) == [1]
+    assert ids(df.filter(CLASSES["int4_compare"].apply(">=", F.col("id"), 2))) == [2, 3]
+    with pytest.raises(ValueError):
+        plain.apply("&@", F.col("t"), "ab")
+    with pytest.raises(ValueError):
+        CLASSES["varchar_regexp_search_v2"].apply("~~", F.col("t"), "%a%")
+    assert CLASSES["text_full_text_search_v2"].analyzer(tokenizer="TokenDelimit").tokenizer == "TokenDelimit" and term.analyzer() == Analyzer(tokenizer="none")
+    near = df.select("id", CLASSES["text_semantic_search_v2"].apply("<&@*>", F.col("t"), "ab").alias("d")).collect()
+    assert [round(r.d, 6) if r.d is not None else None for r in near][1:] == [0.0, None]
+
+
+def test_semantic_index(spark, tmp_path):
+    V.register_model("length", lambda: lambda t: [1.0, float(len(t))])
+    index = V.SemanticIndex(spark, f"file://{tmp_path}/v", "length", passage_prefix="--")
+    df = spark.createDataFrame([(1, "a"), (2, "a" * 40), (3, None), (4, "abc")], "id long, t string")
+    index.append(df.filter("id < 4"), "id", "t")
+    index.append(df.filter("id = 4"), "id", "t")
+    assert [r.doc_id for r in index.search("xxxxx", 2).collect()] == [4, 1]
+    assert [r.doc_id for r in index.search("xxxxx", 2, where=spark.createDataFrame([(2,)], "doc_id long")).collect()] == [2]
+    with pytest.raises(KeyError):
+        V.vectorize(F.col("t"), "no such")
+
+
 def test_stream(spark, memos, tmp_path):
     from sparkseek.streaming.incremental import index_stream, matching_stream
 
