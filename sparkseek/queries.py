@@ -471,3 +471,13 @@ by_class("class_arrays", "part", "p_partkey", {
 by_class("class_json", "events", "event_id", {
     "c": ("json_json_v2", "@>", '{"k": 87}', "CAST(json_extract(props, '$.k') AS DOUBLE) = 87"), "s": ("json_json_v2", "&`", 'paths @ ".k" && number > 90', "CAST(json_extract(props, '$.k') AS DOUBLE) > 90"), "m": ("json_full_text_search_v2", "&@", "zz", "false"),
 }, lambda df: df.withColumn("leaves", J.json_leaves(F.col("props"))), LEAF)
+
+
+@query("command_drilldown", "SELECT p_size, count(*) AS n FROM part WHERE contains(lower(p_name), 'bolt') GROUP BY p_size ORDER BY n DESC, p_size LIMIT 12")
+def command_drilldown(spark, d):
+    import json
+
+    from .sources.command import command
+
+    answer = json.loads(command(spark, {"Parts": table(spark, d, "part")}, "select Parts --match_columns p_name --query bolt --limit 0 --drilldown p_size --drilldown_limit 12"))
+    return spark.createDataFrame([tuple(r) for r in answer[1][1][2:]], "p_size int, n long")

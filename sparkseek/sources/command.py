@@ -1,4 +1,4 @@
-"""Commands as text, with JSON answers: select, status, schema, table_list and object_exist over a catalog of DataFrames."""
+"""Commands as text, with JSON answers: select with drilldown, status, schema, table_list, column_list, object_exist, normalize and tokenize."""
 
 from __future__ import annotations
 
@@ -11,8 +11,15 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normalize import normalize_text
+from ..functions.tokenize import analyzer_of, tokenize
 from .select import select
 
+#: Rows that an answer has at most; sources.select gives a DataFrame for more.
+ANSWER_ROWS = 100_000
+#: What the first argument of a command is called.
+FIRST = {"select": "table", "column_list": "table", "normalize": "normalizer", "tokenize": "tokenizer"}
+
 #: Type names of answers, by Spark's.
 TYPES = {"boolean": "Bool", "byte": "Int8", "short": "Int16", "integer": "Int32", "long": "Int64", "float": "Float32", "double": "Float", "decimal": "UInt64", "timestamp": "Time", "timestamp_ntz": "Time", "date": "Time", "string": "LongText", "array": "LongText"}
 
@@ -37,7 +44,7 @@ def parse_command(text: str, arguments: list[str] | None = None) -> tuple[str, d
                 value, rest = rest[1], rest[1:]
             given[name] = value
         else:
-            given.setdefault("table" if words[0] == "select" else "name", rest[0])
+            given.setdefault(FIRST.get(words[0], "name"), rest[0])
         rest = rest[1:]
     if arguments:
         if len(arguments) % 2:
@@ -59,24 +66,52 @@ def _times(df: DataFrame) -> DataFrame:
 
 
 def _select(tables: dict[str, DataFrame], given: dict[str, str]) -> dict:
-    known = {"table", "filter", "match_columns", "query", "output_columns", "sort_keys", "offset", "limit", "command_version"}
+    known = {"drilldown", "drilldown_limit", "drilldown_sort_keys", "table", "filter", "match_columns", "query", "output_columns", "sort_keys", "offset", "limit", "command_version"}
     if unknown := sorted(set(given) - known):
         raise CommandError(f"unknown argument: {unknown[0]}")
     if given.get("table") not in tables:
         raise CommandError(f"no table: {given.get('table')}")
     table = tables[given["table"]]
     asked = {k: given[k] for k in ("filter", "match_columns", "query", "output_columns", "sort_keys") if given.get(k)}
-    hits = select(table, **{k: v for k, v in asked.items() if k in ("filter", "match_columns", "query")}, limit=-1).count()
-    found = select(table, **asked, offset=int(given.get("offset", 0)), limit=int(given.get("limit", 10)))
+    every = select(table, **{k: v for k, v in asked.items() if k in ("filter", "match_columns", "query")}, limit=-1)
+    limit = int(given.get("limit", 10))
+    found = select(table, **asked, offset=int(given.get("offset", 0)), limit=limit if 0 <= limit <= ANSWER_ROWS else ANSWER_ROWS + 1)
     columns = [{"name": f.name, "type": TYPES.get(f.dataType.typeName(), "LongText")} for f in found.schema]
-    return {"n_hits": hits, "columns": columns, "records": [[_value(v) for v in r] for r in _times(found).collect()]}
+    records = [[_value(v) for v in r] for r in _times(found).collect()]
+    if len(records) > ANSWER_ROWS:
+        raise CommandError(f"an answer has {ANSWER_ROWS} rows at most")
+    return {"n_hits": every.count(), "columns": columns, "records": records, "drilldowns": [_drilldown(every, k.strip(), given) for k in given.get("drilldown", "").split(",") if k.strip()]}
+
+
+def _drilldown(hits: DataFrame, key: str, given: dict[str, str]) -> dict:
+    """Values of a column and how many hits have each; the most frequent first unless another order is given."""
+    if key not in hits.columns:
+        raise CommandError(f"no column: {key}")
+    groups = hits.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_nsubrecs"))
+    order = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in (x.strip() for x in given.get("drilldown_sort_keys", "-_nsubrecs,_key").split(","))]
+    limit = int(given.get("drilldown_limit", 10))
+    rows = _times(groups.orderBy(*order).limit(limit if 0 <= limit <= ANSWER_ROWS else ANSWER_ROWS + 1)).collect()
+    if len(rows) > ANSWER_ROWS:
+        raise CommandError(f"an answer has {ANSWER_ROWS} rows at most")
+    return {"n_hits": groups.count(), "columns": [{"name": "_key", "type": TYPES.get(hits.schema[key].dataType.typeName(), "LongText")}, {"name": "_nsubrecs", "type": "Int32"}], "records": [[_value(v) for v in r] for r in rows]}
+
+
+def _listed(part: dict) -> list:
+    return [[part["n_hits"]], [[c["name"], c["type"]] for c in part["columns"]], *part["records"]]
+
+
+def _columns(df: DataFrame, name: str) -> list:
+    head = [["id", "UInt32"], ["name", "ShortText"], ["type", "ShortText"], ["domain", "ShortText"], ["range", "ShortText"]]
+    kind = lambda t: ("vector", TYPES.get(t.elementType.typeName(), "LongText")) if t.typeName() == "array" else ("fix" if t.typeName() != "string" else "var", TYPES.get(t.typeName(), "LongText"))
+    return [head, *([i, f.name, kind(f.dataType)[0], name, kind(f.dataType)[1]] for i, f in enumerate(df.schema, 256))]
 
 
 def command(spark: SparkSession, tables: dict[str, DataFrame], text: str, arguments: list[str] | None = None) -> str:
     """The answer of a command as JSON text, of command_version 1 (an array) or 3 (an object).
 
-    select returns 10 rows as long as no other limit is given; what it returns comes to the driver, so that a limit of -1 is for
-    small tables, and sources.select gives a DataFrame for all others. What is wrong with a command is told in the header.
+    select returns 10 rows as long as no other limit is given, and ANSWER_ROWS at most: what it returns comes to the driver, and
+    sources.select gives a DataFrame for more. drilldown counts the hits by each of the columns named. What is wrong with a command is
+    told in the header.
     """
     began, version = time.time(), "1"
     try:
@@ -85,13 +120,24 @@ def command(spark: SparkSession, tables: dict[str, DataFrame], text: str, argume
         if name == "select":
             body = _select(tables, given)
             if version != "3":
-                body = [[[body["n_hits"]], [[c["name"], c["type"]] for c in body["columns"]], *body["records"]]]
+                body = [_listed(body), *map(_listed, body["drilldowns"])]
+            elif not body["drilldowns"]:
+                del body["drilldowns"]
         elif name == "status":
             body = {"alloc_count": 0, "start_time": spark.sparkContext.startTime / 1000, "uptime": int(began - spark.sparkContext.startTime / 1000), "version": spark.version, "n_queries": 0, "command_version": int(version)}
         elif name == "schema":
             body = {"tables": {t: {"name": t, "columns": {f.name: {"name": f.name, "type": TYPES.get(f.dataType.typeName(), "LongText")} for f in df.schema}} for t, df in tables.items()}}
         elif name == "table_list":
             body = [[["id", "UInt32"], ["name", "ShortText"]], *([i, t] for i, t in enumerate(sorted(tables), 256))]
+        elif name == "column_list":
+            if given.get("table") not in tables:
+                raise CommandError(f"no table: {given.get('table')}")
+            body = _columns(tables[given["table"]], given["table"])
+        elif name == "normalize":
+            body = {"normalized": normalize_text(given.get("string", ""), given.get("normalizer", "auto")), "types": [], "checks": []}
+        elif name == "tokenize":
+            options = {k: v for k, v in given.items() if k in ("tokenizer", "normalizer", "token_filters")}
+            body = [{"value": t["value"], "position": t["position"], "force_prefix": t["force_prefix_search"]} for t in tokenize(given.get("string", ""), analyzer_of({"normalizer": "none"} | options))]
         elif name == "object_exist":
             body = given.get("name") in tables
         else:

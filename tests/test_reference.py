@@ -487,6 +487,22 @@ def test_similar_over_sections_and_elements(spark):
     assert {r.doc_id: round(r.distance, 6) for r in index.similar_distance("a b c d").collect()} == {1: 0.0, 2: 0.25}
 
 
+def test_more_commands(spark, memos, monkeypatch):
+    import json
+
+    from sparkseek.sources import command as C
+
+    t = {"m": memos.withColumn("k", F.col("id") % 2).withColumn("tags", F.array(F.lit("a")))}
+    body = json.loads(C.command(spark, t, "select m --output_columns id --sort_keys id --limit 1 --drilldown k,content --drilldown_limit 2"))[1]
+    assert body[0] == [[4], [["id", "Int64"]], [1]] and body[1] == [[2], [["_key", "Int64"], ["_nsubrecs", "Int32"]], [0, 2], [1, 2]] and body[2][0] == [4] and len(body[2]) == 4
+    assert [r[1:] for r in json.loads(C.command(spark, t, "column_list m"))[1][1:]] == [["id", "fix", "m", "Int64"], ["content", "var", "m", "LongText"], ["k", "fix", "m", "Int64"], ["tags", "vector", "m", "LongText"]]
+    assert json.loads(C.command(spark, t, "normalize auto 'ＡＢ'", ["string", "ＡＢ"]))[1]["normalized"] == "ab"
+    assert [x["value"] for x in json.loads(C.command(spark, t, "tokenize TokenDelimit", ["string", "one two"]))[1]] == ["one", "two"]
+    monkeypatch.setattr(C, "ANSWER_ROWS", 3)
+    assert json.loads(C.command(spark, t, "select m --limit -1"))[0][0] == -22 and json.loads(C.command(spark, t, "select m --limit 3"))[0][0] == 0
+    assert json.loads(C.command(spark, t, "select m --drilldown nothing"))[0][0] == -22
+
+
 def test_operator_classes(spark):
     from sparkseek.operators.classes import CLASSES, default_class
 
