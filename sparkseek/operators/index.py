@@ -131,14 +131,20 @@ class TokenIndex:
         weight, keep = self._weights(condition)
         positive = [order[x] for x in dict.fromkeys(leaves(tree, positive_only=True))]
         rows, meets = self._words(list(order), condition.fuzzy_max_distance_ratio, loose)
+        negative = fold(tree, lambda x: False, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a)  # true of documents without any of the words
         if rows and all(r[2] == 1 for r in rows) and not any(condition.scorers or ()) and not condition.fuzzy_max_distance_ratio:
             # words alone: each posting tells all it has to tell, and sums are combined before they are shuffled
+            def sums(meets: list[Column], wide: str) -> list[Column]:
+                value = [F.when(c, weight).otherwise(0.0) for (leaf, *_), c in zip(rows, meets) if leaf in positive]
+                score = F.sum(reduce(lambda a, b: a + b, value)) if value else F.max(F.lit(0.0))
+                known = {leaf: c for (leaf, *_), c in zip(rows, meets)}
+                has = [(F.max(F.when(known[i], True)) if i in known else F.max(F.lit(None).cast("boolean"))).alias(f"has{wide}{i}") for i in order.values()]
+                return [score.cast("double").alias(f"score{wide}"), *has]
+
+            if conf.escalate and not loose and not negative:
+                return self._escalated(tree, order, keep, meets, self._words(list(order), None, True)[1], sums, conf.match_escalation_threshold)
             some = self.postings.filter(_any(meets) if keep is None else _any(meets) & keep)
-            value = [F.when(c, weight).otherwise(0.0) for (leaf, *_), c in zip(rows, meets) if leaf in positive]
-            score = F.sum(reduce(lambda a, b: a + b, value)) if value else F.max(F.lit(0.0))
-            known = {leaf: c for (leaf, *_), c in zip(rows, meets)}
-            has = [(F.max(F.when(known[i], True)) if i in known else F.max(F.lit(None).cast("boolean"))).alias(f"has{i}") for i in order.values()]
-            each = some.groupBy("doc_id").agg(score.cast("double").alias("score"), *has)
+            each = some.groupBy("doc_id").agg(*sums(meets, ""))
         else:
             hits = self.keyword_hits(list(order), condition.fuzzy_max_distance_ratio, loose)
             if keep is not None:
@@ -153,7 +159,7 @@ class TokenIndex:
             each = hits.groupBy("doc_id").agg(score.cast("double").alias("score"), *has)
         flag = lambda x: F.coalesce(F.col(f"has{order[x]}"), F.lit(False))
         holds = fold(tree, flag, lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a)
-        if fold(tree, lambda x: False, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a):  # true of documents without any of the words
+        if negative:
             each = self.documents.select("doc_id").join(each, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         found = each.filter(holds).select("doc_id", "score")
         if conf.escalate and not loose:
@@ -162,6 +168,15 @@ class TokenIndex:
             found = found.unionByName(wide.join(found.select("doc_id"), "doc_id", "left_anti").join(F.broadcast(few.filter("few")).select(F.lit(1).alias("one")), how="left_semi", on=F.lit(True)))
         return found
 
+    def _escalated(self, tree, order: dict, keep: Column | None, meets: list[Column], wide: list[Column], sums, threshold: int) -> DataFrame:
+        """Search by words with escalation in one pass: both rules are told of each document, and the looser one counts if few meet the other."""
+        some = self.postings.filter(_any(wide) if keep is None else _any(wide) & keep)
+        each = some.groupBy("doc_id").agg(*sums(meets, ""), *sums(wide, "w"))
+        holds = lambda w: fold(tree, lambda x: F.coalesce(F.col(f"has{w}{order[x]}"), F.lit(False)), lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a)
+        each = each.select("doc_id", holds("").alias("strict"), holds("w").alias("loose"), "score", "scorew").filter("strict or loose")
+        few = each.agg((F.count_if("strict") <= threshold).alias("few"))  # one row
+        return each.join(F.broadcast(few), F.lit(True)).filter("strict or loose and few").select("doc_id", F.when(F.col("strict"), F.col("score")).otherwise(F.col("scorew")).alias("score"))
+
     def _weights(self, condition: Condition) -> tuple[Column, Column | None]:
         n = max(len(condition.weights or ()), len(condition.scorers or ()))
         if not n:

@@ -487,6 +487,17 @@ def test_similar_over_sections_and_elements(spark):
     assert {r.doc_id: round(r.distance, 6) for r in index.similar_distance("a b c d").collect()} == {1: 0.0, 2: 0.25}
 
 
+def test_escalation_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "spark sparks"), (2, "sparkling water"), (3, "water"), (4, "spark water -")], "id long, t string")
+    index = build_index(df, "id", ["t"])
+    wide = EngineConf(escalate=True)
+    assert scores(index.search("spark", wide)) == scores(index.search("spark")) == {1: 1.0, 4: 1.0}
+    assert scores(index.search("spark", EngineConf(escalate=True, match_escalation_threshold=2))) == {1: 1.0, 2: 1.0, 4: 1.0}
+    assert scores(index.search("spar -wat", wide)) == {1: 2.0} and scores(index.search("spar wat", wide)) == {2: 2.0, 4: 2.0}
+    assert scores(index.search("spar -water", wide)) == {1: 2.0} and scores(index.search("nothing", wide)) == {}
+    assert scores(index.search(Condition("spar", weights=(0,)), wide)) == {} and scores(index.search(Condition("spar", weights=(3,)), wide)) == {1: 6.0, 2: 3.0, 4: 3.0}
+
+
 def test_more_commands(spark, memos, monkeypatch):
     import json
 
