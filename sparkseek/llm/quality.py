@@ -174,11 +174,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in h], pa.binary())], ["doc_id", "quality", "x", "h"])
         tidy()
 
-    got = sorted(found.mapInArrow(run, "doc_id long, quality int, x binary, h binary").collect())
-    x, h, y = np.empty((len(got), SURFACE)), np.empty((len(got), sum(BUCKETS)), np.float32), np.empty(len(got), int)
-    for i, r in enumerate(got):
+    featured = cut(found.mapInArrow(run, "doc_id long, quality int, x binary, h binary"), "features")
+    order = {tuple(r): i for i, r in enumerate(sorted(featured.select("doc_id", "quality").collect()))}
+    x, h, y = np.empty((len(order), SURFACE)), np.empty((len(order), sum(BUCKETS)), np.float32), np.empty(len(order), int)
+    for r in featured.toLocalIterator():  # one partition at a time
+        i = order[r.doc_id, r.quality]
         x[i], h[i], y[i] = np.frombuffer(r.x, float), np.frombuffer(r.h, np.uint8), r.quality
-    del got
     h *= np.float32(1 / 255)
     return fit(x, h, y)
 
