@@ -71,8 +71,8 @@ def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     """(home of each unit vector, whether it must be in each shard): all shards in which a vector at `least` may be at home."""
     s = x @ c.T
     home = np.argmax(s, axis=1)
-    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
-    return home, s[np.arange(len(x)), home][:, None] - s <= np.sqrt(max(0.0, 2 - 2 * least)) * apart[home] + EPS
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))  # of unit centroids
+    return home, s[np.arange(len(x)), home][:, None] - s <= np.sqrt(max(0.0, 2 - 2 * least)) * apart + 1e-6  # far above rounding
 
 
 def steps(rows: np.ndarray, n: int) -> Iterator[np.ndarray]:
