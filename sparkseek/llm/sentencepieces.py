@@ -9,7 +9,7 @@ survives. In a BPE model a path is a segmentation that merging would leave as it
 two neighbours as a pair. Exactly one such path leads to each boundary (merges are ordered by the merged piece alone, leftmost
 first), so that survival is a matter of validity and the surviving path to the last boundary is what merging gives.
 
-Spaces are escaped first. Where no piece holds an escaped space after another character, all paths converge before each run of
+Texts are taken in stretches of bounded length. Spaces are escaped first. Where no piece holds an escaped space after another character, all paths converge before each run of
 them; what lies between two such boundaries is a chunk whose ids depend on it alone, so encoded chunks are remembered, up to
 MEMO of them in each worker.
 """
@@ -29,8 +29,8 @@ from ..plans.spread import spread
 from .common import tidy
 
 SPACE = "▁"
-#: Remembered chunks and pairs in a worker; beyond this they are forgotten and found anew.
-MEMO = 200_000
+#: Remembered chunks, and pairs of pieces, in a worker; beyond this they are forgotten and found anew.
+MEMO, PAIRS = 600_000, 200_000
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -296,7 +296,7 @@ def _sorted_ids(m: Model, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
                         continue
                     ok = allowed[at].get(piece)
                     if ok is None:
-                        if m.n_follow >= MEMO:
+                        if m.n_follow >= PAIRS:
                             follow.clear()
                             m.n_follow = 0
                             allowed[:end] = [follow.setdefault(p, {}) if p >= 0 else {} for p in last[:end]]
@@ -327,10 +327,49 @@ def _sorted_ids(m: Model, chunks: Iterable[str]) -> Iterator[tuple[str, bytes]]:
             last[0], begin[0], allowed[0] = -1, 0, {}
 
 
+#: Characters of texts whose chunks are held at once, about.
+STRETCH = 1 << 21
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of about STRETCH characters, cut at single spaces, where all paths meet; each part then begins like a text."""
+    at = 0
+    while len(text) - at > STRETCH:
+        cut = text.find(" ", at + STRETCH)
+        while cut > 0 and (text[cut - 1] in (" ", SPACE) or text[cut + 1 : cut + 2] in ("", " ", SPACE)):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
 def encode_all(model: Model, texts: list[str]) -> list[np.ndarray]:
-    """Ids of texts, as the library gives them without begin and end ids."""
+    """Ids of texts, as the library gives them without begin and end ids; chunks of a bounded number of characters are held at once."""
     if not model.chunked or not model.prefix:
         return [np.fromiter((i for ids in encode_stream(model, [model.escape(t)]) for i in ids), np.int32) for t in texts]
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    some: list[tuple[int, str]] = []
+    held = 0
+
+    def flush() -> None:
+        for (i, _), ids in zip(some, _encode_held(model, [t for _, t in some])):
+            out[i].append(ids)
+        some.clear()
+
+    for i, text in enumerate(texts):
+        for t in stretches(text):
+            some.append((i, t))
+            held += len(t)
+            if held >= STRETCH:
+                flush()
+                held = 0
+    flush()
+    return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in out]
+
+
+def _encode_held(model: Model, texts: list[str]) -> list[np.ndarray]:
     memo, parts = model.memo, []
     for t in texts:
         if SPACE in t or "  " in t or t[:1] in ("", " ") or t[-1] == " ":
@@ -351,9 +390,10 @@ def encode(model: Model, text: str) -> np.ndarray:
     return encode_all(model, [text])[0]
 
 
-def decode(model: Model, ids: Iterable[int]) -> str:
+def decode(model: Model, ids: np.ndarray | list[int]) -> str:
     """The text of ids: byte pieces joined to UTF-8, spaces unescaped, the leading dummy space taken off."""
-    text = "".join(map(model.shown.__getitem__, ids))
+    ids = np.asarray(ids, np.int32)
+    text = "".join(["".join(map(model.shown.__getitem__, ids[at : at + STRETCH].tolist())) for at in range(0, len(ids), STRETCH)])
     if not text.isascii() and model.bytes and any("\udc80" <= c <= "\udcff" for c in set(text)):
         text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
     return text[1:] if model.prefix and text[:1] == " " else text
@@ -387,7 +427,7 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_text: bool
                 ids = encode_all(m, [t or "" for t in texts])
                 flat = np.concatenate(ids)
                 ends = np.cumsum([0, *map(len, ids)])
-                back = [decode(m, x.tolist()) for x in ids]
+                back = [decode(m, x) for x in ids]
                 columns = [
                     part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends), pa.int64()),
                     pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])], pa.int64()),

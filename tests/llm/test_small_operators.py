@@ -214,13 +214,22 @@ def test_chunks_of_any_length_go_through_the_window(monkeypatch):
     want = [sp.encode(t) for t in texts]
     for window in (64, 8):
         monkeypatch.setattr(sentencepieces, "WINDOW", window)
-        for follow in (sentencepieces.MEMO, 30):
-            monkeypatch.setattr(sentencepieces, "MEMO", follow)
+        for follow in (sentencepieces.PAIRS, 30):
+            monkeypatch.setattr(sentencepieces, "PAIRS", follow)
             m.memo.clear()
             assert [x.tolist() for x in sentencepieces.encode_all(m, texts)] == want
             assert [sentencepieces.encode(m, t).tolist() for t in texts[::7]] == want[::7]
 
 
+def test_long_texts_go_in_stretches(monkeypatch):
+    m, sp, rng = sentencepieces.Model(sentencepieces.tokenizer_path()), library(), random.Random(12)
+    monkeypatch.setattr(sentencepieces, "STRETCH", 40)
+    texts = ["".join(rng.choice(["the", "ing", " ", " ", "  ", "\n", "▁", "é", "日本", "."]) for _ in range(rng.randrange(400))) for _ in range(60)] + ["word " * 200, " " * 300, "x" * 300 + " y", " a" * 100, ""]
+    for t, ids in zip(texts, sentencepieces.encode_all(m, texts)):
+        assert ids.tolist() == sp.encode(t) and sentencepieces.decode(m, ids) == sp.decode(ids.tolist())
+    assert max(len(list(sentencepieces.stretches(t))) for t in texts) > 5 and all(" ".join(sentencepieces.stretches(t)) == t for t in texts)
+
+
 def test_lasting_pairs_are_those_that_merging_leaves():
     m, rng = sentencepieces.Model(sentencepieces.tokenizer_path()), random.Random(6)
     pieces = sorted(m.ids)
