@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,17 @@ def drop_cut(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of so many rows, and so many bytes of texts, at most; a longer text is a piece of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def packed(docs: DataFrame, **more: Column) -> DataFrame:
     """docs as one struct column `row`, fields c0, c1, ... by position, beside the columns of `more`: whatever names docs has, none meets those of an operator."""
     fields = [docs[f"`{c.replace('`', '``')}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]

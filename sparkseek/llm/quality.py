@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spread import spread
-from .common import bounded, cut, packed, tidy, unpacked
+from .common import bounded, cut, packed, slices, tidy, unpacked
 from .suffixes import _B1, Words, _lower, _mix
 
 SAMPLE = 20_000
@@ -167,8 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, batch.column(2)):
                 x, h = features(part.column(2).to_pylist())
                 h = np.rint(255 * h).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in h], pa.binary())], ["doc_id", "quality", "x", "h"])
@@ -189,9 +188,9 @@ def scored(rows: DataFrame, text: str, model: Ranker) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                score = model.score(*features(part.column(0).flatten()[part.column(0).type.get_field_index(text)].to_pylist()))
+            place = batch.column(0).type.get_field_index(text)
+            for part in slices(batch, batch.column(0).flatten()[place]):
+                score = model.score(*features(part.column(0).flatten()[place].to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["row", "score", "predicted"])
         tidy()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts, packed, tidy, unpacked
+from .common import cut, n_parts, packed, slices, tidy, unpacked
 from .order import NO_ID, ROWS, batch_of, ids_of, repeated
 
 MIN_WORDS = 50
@@ -117,9 +117,9 @@ class Words:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches whose second column has the texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield batch.slice(at, 256)
+        yield from slices(batch, batch.column(1))
 
 
 def _leading(w: Words, at: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in (p for b in batches for p in slices(b, b.column(0).flatten()[text])):
             row, new = part.column(0), []
             columns = row.flatten()
             for t, s in zip(columns[text].cast(pa.binary()).to_pylist(), part.column(1).to_pylist()):

@@ -72,7 +72,8 @@ def token_counts(docs: DataFrame, name: str = "piece_bpe_32k.model", cache: str
 
     Counts are the library's for the whole text, without begin, end or added special tokens; strings of special tokens inside a
     text are handled as the library does by default. A null text counts as an empty one. Equal texts are encoded once, whatever
-    their doc_id, null ones included. Only the documents to encode move with their texts. over_limit: more than `most` tokens.
+    their doc_id, null ones included. Where few texts are misses their keys are broadcast and no text moves but these; otherwise texts are
+    dealt out once. over_limit: more than `most` tokens.
     cache: the folder to read and append; without one, an empty one is begun in the application's folder, which goes with it, and all distinct texts are misses.
     Empty tables give no rows.
     """
