@@ -123,5 +123,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import MIX_SQL
+    from .sharding import shards_sql
 
-    return {"op2_suffixes": SPANS_SQL, "op3_mixing": MIX_SQL, "op6_lines": LINES_SQL, "op8_graph": LINKS_SQL}
+    return {"op2_suffixes": SPANS_SQL, "op3_mixing": MIX_SQL, "op6_lines": LINES_SQL, "op8_graph": LINKS_SQL, "op10_sharding": shards_sql()}
