@@ -79,6 +79,49 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def simhash_sql() -> str:
+    """Fingerprints and components in SQL; XXH64 by its definition (seed 42), in 128-bit arithmetic modulo 2**64."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    m = "18446744073709551616::UHUGEINT"
+
+    def rotated(x: str, by: int) -> str:
+        return f"((({x}) * {1 << by}::UHUGEINT) % {m} + ({x}) // {1 << 64 - by}::UHUGEINT)"
+
+    def number(at: str, size: int) -> str:  # little-endian
+        return "(" + " + ".join(f"b[{at} + {j + 1}] * {256**j}::UHUGEINT" for j in range(size)) + ")"
+
+    def rounds(lanes: str) -> str:  # what each lane of 8 bytes becomes before it is taken in
+        return f"list_transform(list_transform({lanes}, lambda x: x * {p2} % {m}), lambda y: {rotated('y', 31)} * {p1} % {m})"
+
+    def shaken(h: str, by: int, times: str = "") -> str:
+        return f"xor({h}, {h} // {1 << by}::UHUGEINT){times and f' * {times} % {m}'}"
+
+    states = ", ".join(f"{rotated(f'(v[{i}] + x[{i}] * {p2}) % {m}', 31)} * {p1} % {m}" for i in range(1, 5))
+    begin = ", ".join(f"{(42 + x) % (1 << 64)}::UHUGEINT" for x in (11400714785074694791 + 14029467366897019727, 14029467366897019727, 0, -11400714785074694791))
+    ones = ", ".join(f"sum(h >> {b} & 1)::BIGINT" for b in range(64))
+    code = " + ".join(f"(CASE WHEN 2 * o[{b + 1}] > n THEN {1 << b} ELSE 0 END)::UHUGEINT" for b in range(64))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(greatest(1, len(w) - 2)), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS s FROM w WHERE len(w) > 0),
+b AS (SELECT s, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1)::UHUGEINT) AS b FROM (SELECT DISTINCT s FROM s)),
+l AS (SELECT s, b, len(b) AS n, len(b) // 32 * 32 AS long, list_transform(range(len(b) // 32), lambda k: [{", ".join(number(f"k * 32 + {8 * i}", 8) for i in range(4))}]) AS stripes,
+  list_transform(range(len(b) % 32 // 8), lambda k: {number("len(b) // 32 * 32 + k * 8", 8)}) AS eights FROM b),
+v AS (SELECT *, CASE WHEN n >= 32 THEN list_reduce(list_prepend([{begin}], stripes), lambda v, x: [{states}]) END AS v FROM l),
+h0 AS (SELECT *, ((CASE WHEN n < 32 THEN 42 + {p5} ELSE list_reduce(list_prepend(({" + ".join(rotated(f"v[{i}]", r) for i, r in ((1, 1), (2, 7), (3, 12), (4, 18)))}) % {m}, {rounds("v")}), lambda h, k: (xor(h, k) * {p1} + {p4}) % {m}) END) + n::UHUGEINT) % {m} AS h FROM v),
+h1 AS (SELECT *, list_reduce(list_prepend(h, {rounds("eights")}), lambda h, k: ({rotated("xor(h, k)", 27)} * {p1} + {p4}) % {m}) AS h8 FROM h0),
+h2 AS (SELECT *, CASE WHEN n % 8 >= 4 THEN ({rotated(f"xor(h8, {number('n // 8 * 8', 4)} * {p1} % {m})", 23)} * {p2} + {p3}) % {m} ELSE h8 END AS h4 FROM h1),
+h3 AS (SELECT *, list_reduce(list_prepend(h4, list_transform(b[n // 4 * 4 + 1 :], lambda x: x * {p5} % {m})), lambda h, k: {rotated("xor(h, k)", 11)} * {p1} % {m}) AS h1 FROM h2),
+h4 AS (SELECT s, {shaken("h1", 33, p2)} AS h FROM h3), h5 AS (SELECT s, {shaken("h", 29, p3)} AS h FROM h4), h6 AS (SELECT s, ({shaken("h", 32)})::UBIGINT AS h FROM h5),
+o AS (SELECT doc_id, [{ones}] AS o, count(*) AS n FROM s JOIN h6 USING (s) GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce({code}, 0)::UBIGINT AS fp FROM documents LEFT JOIN o USING (doc_id)),
+c AS (SELECT fp, min(doc_id) AS head FROM f GROUP BY fp),
+e AS (SELECT x.fp AS a, y.fp AS b FROM c x JOIN c y ON bit_count(xor(x.fp, y.fp)::BIT) <= 2),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS fp, min(head) AS component_id FROM r JOIN c ON r.b = c.fp GROUP BY a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN k USING (fp)
+"""
+
+
 SPANS_SQL = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM t),
@@ -125,4 +168,4 @@ def oracle_sql() -> dict[str, str]:
     from .mixing import MIX_SQL
     from .sharding import shards_sql
 
-    return {"op2_suffixes": SPANS_SQL, "op3_mixing": MIX_SQL, "op6_lines": LINES_SQL, "op8_graph": LINKS_SQL, "op10_sharding": shards_sql()}
+    return {"op1_simhash": simhash_sql(), "op2_suffixes": SPANS_SQL, "op3_mixing": MIX_SQL, "op6_lines": LINES_SQL, "op8_graph": LINKS_SQL, "op10_sharding": shards_sql()}
