@@ -30,7 +30,7 @@ from .common import tidy
 
 SPACE = "▁"
 #: Remembered chunks, and pairs of pieces, in a worker; beyond this they are forgotten and found anew.
-MEMO, PAIRS = 600_000, 200_000
+MEMO, PAIRS = 300_000, 200_000
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
