@@ -325,7 +325,7 @@ LITERAL = "[" + ", ".join(f"{x!r}" for x in TARGET) + "]::DOUBLE[]"
 COS = f"list_cosine_similarity(embedding::DOUBLE[], {LITERAL})"
 query("knn_cosine", f"SELECT vec_id, round({COS}, 6) AS similarity FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 20")(lambda spark, d: V.knn(table(spark, d, "embeddings"), "embedding", TARGET, 20, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity")))
 query("knn_filtered", f"SELECT vec_id, round({COS}, 6) AS similarity FROM embeddings WHERE label = 3 ORDER BY {COS} DESC, vec_id LIMIT 10")(lambda spark, d: V.knn(table(spark, d, "embeddings"), "embedding", TARGET, 10, "vec_id", F.col("label") == 3).select("vec_id", F.round("similarity", 6).alias("similarity")))
-query("cosine_distance", f"SELECT vec_id, round(1 - {COS}, 6) AS distance FROM embeddings")(lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(V.cosine_distance(F.col("embedding"), F.array(*map(F.lit, TARGET))), 6).alias("distance")))
+query("cosine_distance", f"SELECT vec_id, round(1 - {COS}, 6) AS distance FROM embeddings")(lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.round(1 - V.cosine_to(F.col("embedding"), TARGET), 6).alias("distance")))
 query("semantic_search")(lambda spark, d: V.semantic_search(table(spark, d, "documents"), "text", "the thtion of hea", 20, "doc_id").select("doc_id", "similarity"))
 
 
