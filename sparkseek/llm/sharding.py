@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import cut, drop_cut
 
 BITS = 4
 
@@ -54,14 +54,23 @@ def _curve() -> list[int]:
     return [hilbert(p) for p in product(range(1 << BITS), repeat=3)]
 
 
-#: Distinct values of a column that its levels are cut from, the first by hash. Levels shape the curve; every row has its place whatever they are.
-SAMPLE = 4096
-
-
 def _levels(rows: DataFrame, name: str) -> list[str]:
-    """At most 2**BITS values that cut the distinct values of a text column into runs of about equal number."""
-    some = sorted((r[0] for r in bounded(rows.filter(F.col(name).isNotNull()).select(name).distinct(), SAMPLE, name).collect()), key=str.encode)
-    return [some[len(some) * i >> BITS] for i in range(1 << BITS)] if len(some) >= 1 << BITS else some
+    """At most 2**BITS values that cut the distinct values of a text column into runs of about equal number.
+
+    All distinct values are sorted by range and numbered within their partitions. The driver gets the partitions' counts, which
+    tell where each wanted rank is, and the values at those ranks.
+    """
+    values = rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("v")).distinct().orderBy("v")
+    values = cut(values.select("v", F.monotonically_increasing_id().alias("at")), name)  # partition << 33 | number in it
+    parts = sorted((r.part, r.n) for r in values.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in parts)
+    ranks, wanted, before = sorted({total * i >> BITS for i in range(1 << BITS)}), [], 0  # fewer values than levels: each
+    for part, n in parts:
+        wanted += [part << 33 | r - before for r in ranks if before <= r < before + n]
+        before += n
+    found = sorted((r.at, r.v) for r in values.filter(F.col("at").isin(wanted)).collect())
+    drop_cut(values)
+    return [v for _, v in found]
 
 
 def _level(value: Column, levels: list[str]) -> Column:

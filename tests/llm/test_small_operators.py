@@ -132,6 +132,19 @@ def test_shards_follow_the_curve_and_prune(spark):
     assert np.mean(read) < 8  # of 24
 
 
+def test_shards_take_levels_from_all_values(spark):
+    """Levels are cut from every distinct value of a column, however many there are and however often each occurs."""
+    rng = random.Random(12)
+    names = [f"{rng.choice('aéz日🎉')}{i}" for i in range(5000)]
+    rows = [(i, f"text {i}", rng.choice([None, "de", "en", "fr"]), s) for i, s in enumerate([*names, *names[:9] * 100, *[None] * 50])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in sharding.shards(d).collect()}
+    edges = [sorted(names)[5000 * i >> 4] for i in range(16)]
+    for i, t, lang, s in rows:
+        cell = sum(s is not None and s >= e for e in edges[1:]), sum(lang is not None and lang >= x for x in ("en", "fr")), (len(t) + 8).bit_length() - 4
+        assert got[i].curve == sharding.hilbert(cell)
+
+
 def test_lines(spark, docs):
     rng = random.Random(5)
     say = [" ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(rng.randrange(1, 14))) + rng.choice(". ! ? \n".split(" ")) for _ in range(60)]
