@@ -21,8 +21,16 @@ SPACE = r"\x20\x09-\x0D"
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def tidy() -> None:
-    """At the end of a task, give what it has freed back to the system: workers are used again and would keep their largest size."""
+#: What a worker keeps of a task for the next ones of its kind, such as a model; a task of another kind drops it when it ends.
+remembered: dict = {}
+
+
+def tidy(keep: bool = False) -> None:
+    """At the end of a task, give what it has freed back to the system: workers are used again and would keep their largest size.
+
+    keep: the task is of the kind that `remembered` is for, which else goes as well."""
+    if not keep:
+        remembered.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim:

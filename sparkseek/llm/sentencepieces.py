@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spread import spread
-from .common import tidy
+from .common import remembered, tidy
 
 SPACE = "▁"
 #: Remembered chunks, and pairs of pieces, in a worker; beyond this they are forgotten and found anew.
@@ -399,14 +399,11 @@ def decode(model: Model, ids: np.ndarray | list[int]) -> str:
     return text[1:] if model.prefix and text[:1] == " " else text
 
 
-_models: dict[str, Model] = {}
-
-
 def worker_model(path: str) -> Model:
-    """One model for each Python worker."""
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    """One model for each Python worker, until it ends a task of another operator."""
+    if path not in remembered:
+        remembered[path] = Model(path)
+    return remembered[path]
 
 
 def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_text: bool = False) -> DataFrame:
@@ -439,7 +436,7 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_text: bool
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names)
         m.memo.clear()
-        tidy()
+        tidy(keep=True)
 
     schema = "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_crc32 long, round_trip boolean" + ", text string" * keep_text
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)

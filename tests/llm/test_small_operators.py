@@ -1,12 +1,14 @@
 """Each operator against a brute-force version on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from sparkseek.llm import graph, hashing, lines, mixing, order, quality, sentencepieces, sharding, tokencounts
+from sparkseek.llm import common, graph, hashing, lines, mixing, order, quality, sentencepieces, sharding, shingles, tokencounts
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "All rights reserved."), (5, "ALL  rights\treserved.\nOther line of text\nall rights reserved."), (6, "é ü <s> ▁ 日本 🎉\x00end"), (7, "long " * 20000), (8, "x" * 50000), (None, "Other line of text"), (9, "one two"), (9, "one two"), (10, "a  b ")]
 
@@ -199,6 +201,16 @@ def test_token_counts(spark, docs, tmp_path):
     assert tokencounts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_worker_drops_a_model_after_another_task():
+    path = sentencepieces.tokenizer_path()
+    alive = weakref.ref(sentencepieces.worker_model(path))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], ["doc", "text"])
+    assert len(list(shingles._sketches(iter([batch]), 5))) == 1 and alive() is None
+    model = sentencepieces.worker_model(path)
+    common.tidy(keep=True)
+    assert sentencepieces.worker_model(path) is model
+
+
 def test_sentencepiece_rows(spark, docs):
     sp = library()
     got = sentencepieces.encoded(docs, keep_text=True).collect()
