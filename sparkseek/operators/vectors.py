@@ -41,18 +41,27 @@ def knn(df: DataFrame, vector_col: str, target: list[float], k: int, id_col: str
     """The k rows most similar to the target, most similar first, ties by id; `where` is applied before."""
     rows = df if where is None else df.filter(where)
     near = cosine_to(F.col(vector_col), target) if len(target) <= FLAT else cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in target]))
-    return rows.withColumn("similarity", near).filter("similarity is not null").orderBy(F.desc("similarity"), id_col).limit(k)
+    # a filter before the limit would go below the vectors, which are then made twice; nulls come last
+    return rows.withColumn("similarity", near).orderBy(F.desc_nulls_last("similarity"), id_col).limit(k).filter("similarity is not null")
+
+
+_fresh = hashlib.blake2b(digest_size=8).copy  # takes less than a new one with its parameters
+
+
+def _digest(word: bytes) -> bytes:
+    h = _fresh()
+    h.update(word)
+    return h.digest()
 
 
 def hashing_embedding(text: str, size: int = 64) -> list[float]:
     """A deterministic embedding without a model: signed hashing of words and their pairs, unit length."""
-    out = np.zeros(size)
-    words = text.lower().split()
-    for w in (*words, *(" ".join(p) for p in zip(words, words[1:]))):
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        out[h % size] += 1 if h >> 63 else -1
+    words = " ".join(text.lower().split()).encode().split()  # ASCII blanks alone are left
+    found = [_digest(w) for w in words] + [_digest(a + b" " + b) for a, b in zip(words, words[1:])]
+    h = np.frombuffer(b"".join(found), ">u8")
+    out = np.bincount((h % size).astype(np.int64), np.where(h >> 63, 1.0, -1.0), size)
     length = np.linalg.norm(out)
-    return [float(x) for x in (out / length if length else out).astype(np.float32)]
+    return (out / length if length else out).astype(np.float32).tolist()
 
 
 #: Models by name: each makes an embedding function, once in each worker.
@@ -72,8 +81,8 @@ def model_of(model: str | Callable | None) -> Callable[[], Callable[[str], list[
     return model or MODELS["hashing"]
 
 
-def vectorize(col: Column, model: str | Callable | None = None, prefix: str = "") -> Column:
-    """array<float> of a text column. model: a name, or what makes the embedding function."""
+def vectorize(col: Column, model: str | Callable | None = None, prefix: str = "", once: bool = False) -> Column:
+    """array<float> of a text column. model: a name, or what makes the embedding function; once: filters stay above it."""
     make = model_of(model)
 
     @F.pandas_udf("array<float>")
@@ -82,7 +91,7 @@ def vectorize(col: Column, model: str | Callable | None = None, prefix: str = ""
         for s in batches:
             yield s.map(lambda t: None if t is None else embed(prefix + t))
 
-    return run(col)
+    return (run.asNondeterministic() if once else run)(col)
 
 
 def semantic_search(df: DataFrame, text_col: str, query: str, k: int, id_col: str, model=None, passage_prefix: str = "", query_prefix: str = "") -> DataFrame:
@@ -99,7 +108,7 @@ class SemanticIndex:
 
     def append(self, df: DataFrame, id_col: str, text_col: str) -> None:
         """Embed and keep more rows; null texts have no embedding."""
-        rows = df.select(F.col(id_col).alias("doc_id"), vectorize(F.col(text_col), self.model, self.passage_prefix).alias("v"))
+        rows = df.select(F.col(id_col).alias("doc_id"), vectorize(F.col(text_col), self.model, self.passage_prefix, once=True).alias("v"))
         rows.filter("v is not null").write.mode("append").parquet(self.path)
 
     def search(self, query: str, k: int, where: DataFrame | None = None) -> DataFrame:
