@@ -63,12 +63,31 @@ class TokenIndex:
     columns: tuple[str, ...] = ()
     #: The distinct tokens, where a stored index keeps them; tokens may repeat.
     words: DataFrame | None = None
+    #: (doc_id, texts) of the indexed rows, where the index is computed as it is searched and all its columns are texts.
+    rows: DataFrame | None = None
 
     def lexicon(self) -> DataFrame:
         """(token, df, tf): documents that have it and how often it occurs."""
+        if self.rows is not None:
+            return self._lexicon_of_rows()
         each = self.postings.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
         return each.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
+    def _lexicon_of_rows(self) -> DataFrame:
+        """The lexicon from whole rows: each tells its distinct tokens by itself, so that only sums by token are shuffled.
+
+        Rows that share their doc_id are one document, and are told apart by it as far as their tokens are counted.
+        """
+        again = self.documents.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared"), F.lit(True).alias("again"))
+        rows = spread(self.rows).join(again, F.expr("doc_id <=> shared"), "left")
+        tokens = [F.coalesce(tokens_column(F.col(c), self.analyzer), F.array().cast("array<string>")) for c in self.rows.columns if c != "doc_id"]
+        rows = rows.select(F.when(F.col("again"), F.struct("doc_id")).alias("shared"), F.concat(*tokens).alias("t"))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        both = F.array(F.struct(none.alias("df"), one.alias("tf"), F.col("t")), F.struct(one.alias("df"), none.alias("tf"), F.array_distinct("t").alias("t")))
+        each = rows.select("shared", F.explode(both).alias("x")).select("shared", "x.df", "x.tf", F.explode("x.t").alias("token")).filter("token <> ''")
+        each = each.groupBy("token", "shared").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        return each.groupBy("token").agg(F.sum(F.when(F.col("shared").isNull(), F.col("df")).otherwise(one)).alias("df"), F.sum("tf").alias("tf"))
+
     def _words(self, wanted: list[Leaf], fuzzy: float | None, loose: bool) -> tuple[list[tuple], list[Column]]:
         """The tokens of leaves, (leaf, place, how many the leaf has, token, whether a prefix, edits allowed), and what meets each."""
         rows, any_token = [], []
@@ -247,7 +266,10 @@ def key_column(id_col: str | list[str]) -> Column:
 
 def build_index(df: DataFrame, id_col: str | list[str], columns: list[str], analyzer: Analyzer = FULL_TEXT) -> TokenIndex:
     """An index over columns of df, computed as it is searched; sources.store keeps one on disk. id_col: the key, of any type."""
-    return TokenIndex(postings_of(df, id_col, columns, analyzer), df.select(key_column(id_col).alias("doc_id")), analyzer, len(columns), tuple(columns))
+    rows = None
+    if not any(df.schema[c].dataType.typeName() == "array" for c in columns):
+        rows = df.select(key_column(id_col).alias("doc_id"), *[F.col(c).alias(f"text{n}") for n, c in enumerate(columns)])
+    return TokenIndex(postings_of(df, id_col, columns, analyzer), df.select(key_column(id_col).alias("doc_id")), analyzer, len(columns), tuple(columns), rows=rows)
 
 
 TOKEN_ROWS = "array<struct<value:string,position:int,source_offset:int,source_length:int>>"
