@@ -1,6 +1,7 @@
 """Token indexes on disk: segments of postings in Parquet, tombstones of deleted documents, and a row of manifests for each index.
 
-A segment's postings are range-partitioned and sorted by token, so that a search prunes files and row groups by its tokens. A
+Each file of a segment's postings is sorted by token, so that a search prunes row groups by its tokens. A new segment has a file for
+each task that tokenized rows, and its postings are not shuffled; a merged one is range-partitioned, so that files are pruned too. A
 segment becomes visible with the manifest that names it. Manifests are numbered and never replaced: each change writes the next
 number by a rename that fails if that number is taken, and is then made anew on what the other writer left. An append whose key is
 in the manifest already has been made, so that a streaming batch that is run again adds nothing.
@@ -97,11 +98,12 @@ class IndexStore:
         if not self.is_writable():
             raise ReadOnly("the store is not writable")
 
-    def _segment(self, name: str, key: str, postings: DataFrame, documents: DataFrame, id_type: str | None = None) -> None:
+    def _segment(self, name: str, key: str, postings: DataFrame, documents: DataFrame, id_type: str | None = None, merged: bool = False) -> None:
         if id_type:
             postings, documents = (d.withColumn("doc_id", F.col("doc_id").cast(id_type)) for d in (postings, documents))
-        # so many partitions as there are, fewer where adaptive execution finds them small
-        postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "section", "position").write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/postings")
+        if merged:  # so many partitions as there are, fewer where adaptive execution finds them small; bounds take a pass over the postings
+            postings = postings.repartitionByRange("token", "doc_id")
+        postings.sortWithinPartitions("token", "doc_id", "section", "position").write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/postings")
         documents.write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/documents")
         written = self.spark.read.schema("token string").parquet(f"{self.path}/{name}/{key}/postings")
         written.distinct().write.mode("overwrite").parquet(f"{self.path}/{name}/{key}/words")
@@ -153,7 +155,7 @@ class IndexStore:
                 return made
             some = levels[full[0]][:FAN]
             live, key = self._open(name, m | {"segments": some}), f"segment-level{full[0] + 1}-{uuid.uuid4().hex}"
-            self._segment(name, key, live.postings, live.documents)
+            self._segment(name, key, live.postings, live.documents, merged=True)
             seen = {k for k, of in m["deleted"]}
 
             def change(now: dict) -> dict | None:
@@ -205,7 +207,7 @@ class IndexStore:
         self._check()
         old, live = self._read(name), self.open(name)
         key = f"segment-{uuid.uuid4().hex}"
-        self._segment(name, key, live.postings, live.documents)
+        self._segment(name, key, live.postings, live.documents, merged=True)
         gone = {*old["segments"], *(k for k, _ in old["deleted"])}
 
         def change(m: dict) -> dict | None:
